@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, mixing, packing, sharding
+from . import chat, fingerprints, mixing, packing, sharding, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_suffixes": op5_suffixes,
     "op6_mixing": op6_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_chat": op10_chat,
