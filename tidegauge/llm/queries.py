@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, mixing, packing, sharding, suffixes
+from . import chat, chunks, fingerprints, mixing, packing, sharding, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.remove_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_text")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_suffixes": op5_suffixes,
     "op6_mixing": op6_mixing,
+    "op7_chunks": op7_chunks,
     "op9_fingerprints": op9_fingerprints,
     "op10_chat": op10_chat,
 }
