@@ -27,38 +27,57 @@ GRIDS = ((64, 3), (128, 3), (32, 4))
 #: Shares of the fitted repeats that are tried.
 SHARES = (1.0, 0.7, 0.4, 0.2, 0.1)
 BUCKET_BITS = 10
-#: Entries of a worker's cache of words; it is emptied when full.
-CACHE = 800_000
+#: Entries of each of a worker's two caches, of words and of stems; one that is full is emptied.
+CACHE = 500_000
 
 
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers, by a cache of words.
 
-    Words are split at blanks and line ends, which the tokenizer never joins across; a slice's unknown
-    words are encoded in one call.
+    Words are split at blanks and line ends, which the tokenizer never joins across. It lower-cases and
+    splits letters from punctuation itself, so a Latin word with a tail of stops is looked up as its
+    lower-case stem and its tail; whatever is still unknown in a slice is encoded in one call.
     """
 
+    TAIL = ".,!?;:"
+
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer, self.known, self.stems = Tokenizer.from_file(vocabulary), {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
+        own = {w for words in split for w in words}
+        new = [w for w in own if w not in self.known]
         if new:
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
-                new = list({w for words in split for w in words})
-            got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
-            ends = np.searchsorted(of, np.arange(len(new)), side="right").tolist()
-            start = 0
-            for word, end in zip(new, ends, strict=True):
-                self.known[word] = ids[start:end].tobytes()
-                start = end
+                new = list(own)
+            parts = [self._parts(w) for w in new]
+            todo = {p for pair in parts for p in pair if p not in self.stems}
+            if len(self.stems) + len(todo) > CACHE:
+                self.stems.clear()
+                todo = {p for pair in parts for p in pair}
+            self._encode(list(todo))
+            stems = self.stems
+            self.known.update((w, stems[a] + stems[b]) for w, (a, b) in zip(new, parts, strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
+    def _parts(self, word: str) -> tuple[str, str]:
+        stem = word.rstrip(self.TAIL)
+        if stem.isalpha() and max(stem) < "\u0250" and (low := stem.lower()).isalpha():
+            return low, word[len(stem) :]
+        return word, ""
+
+    def _encode(self, words: list[str]) -> None:
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
+        start = 0
+        for word, end in zip(words, np.searchsorted(of, np.arange(len(words)), side="right").tolist(), strict=True):
+            self.stems[word] = ids[start:end].tobytes()
+            start = end
+
 
 _loaded: dict[str, Encoder] = {}
 
