@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, chunks, fingerprints, mixing, packing, sharding, suffixes
+from . import chat, chunks, fingerprints, mixing, neighbours, packing, sharding, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,11 @@ def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_text")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,7 @@ QUERIES = {
     "op5_suffixes": op5_suffixes,
     "op6_mixing": op6_mixing,
     "op7_chunks": op7_chunks,
+    "op8_neighbours": op8_neighbours,
     "op9_fingerprints": op9_fingerprints,
     "op10_chat": op10_chat,
 }
