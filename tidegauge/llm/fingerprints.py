@@ -21,14 +21,14 @@ BITS = 24
 
 
 def terms(text: Column) -> Column:
-    """array<struct<term, w>>: hashed pairs of neighbouring words with their counts; a single word is a term itself."""
-    h = F.transform(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return h
+    """Hashes of all pairs of neighbouring words, sorted; a single word is a term itself."""
+    return F.transform(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _sample(j: int) -> Column:
     """Score and identity of sample ``j`` in one long, lowest score first."""
-    h1, h2 = F.xxhash64(F.col("term"), F.lit(2 * j)), F.xxhash64(F.col("term"), F.lit(2 * j + 1))
+    h1 = F.xxhash64(F.col("term"), F.lit(j))
+    h2 = F.xxhash64(h1)
     def u(h: Column, shift: int, bits: int) -> Column:
         return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
     r = -F.ln(u(h1, 32, 32) * u(h1, 0, 32))
@@ -38,7 +38,7 @@ def _sample(j: int) -> Column:
     score = F.ln(c) - r * (t - b + 1)
     # Scores lie between -1e4 and 1e4; 39 bits order them to about 4e-8.
     rank = F.greatest(F.lit(0.0), F.least(F.lit(2.0), score / 1e4 + 1)) * float(1 << 37)
-    ident = F.xxhash64(F.col("term"), t, F.lit(j)).bitwiseAND(F.lit((1 << BITS) - 1))
+    ident = F.shiftrightunsigned(h1, 17).bitwiseXOR(F.shiftleft(t, 3)).bitwiseAND(F.lit((1 << BITS) - 1))
     return F.shiftleft(rank.cast("long"), BITS).bitwiseOR(ident)
 
 
@@ -51,10 +51,9 @@ def signatures(texts: DataFrame, keys: list[str], columns: list[str], samples: i
     which = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.coalesce(F.col(c), F.lit("")).alias("text")) for k, c in enumerate(columns)]))
     rows = texts.select(*keys, which.alias("x")).select(*keys, "x.which", terms(F.col("x.text")).alias("h"))
     pairs = F.when(F.size("h") < 2, F.col("h")).otherwise(F.sort_array(F.zip_with(F.slice("h", F.lit(1), F.size("h") - 1), F.slice("h", F.lit(2), F.size("h") - 1), lambda a, b: F.xxhash64(a, b))))
-    rows = rows.withColumn("s", pairs)
-    at = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (F.element_at("s", i) != F.element_at("s", i - (i > 1).cast("int"))))
-    rows = rows.withColumn("at", F.when(F.size("s") > 0, at).otherwise(F.array().cast("array<int>")))
-    each = F.expr("explode(transform(at, (i, k) -> named_struct('term', s[i - 1], 'w', if(k + 1 < size(at), at[k + 1], size(s) + 1) - i)))")
+    # A term's weight is the length of its run in the sorted hashes.
+    rows = rows.select(*keys, "which", pairs.alias("s")).withColumn("at", F.expr("filter(transform(s, (x, i) -> if(x <=> get(s, i - 1), -1, i)), i -> i >= 0)"))
+    each = F.expr("explode(transform(at, (i, k) -> named_struct('term', s[i], 'w', coalesce(get(at, k + 1), size(s)) - i)))")
     rows = rows.select(*keys, "which", each.alias("x")).select(*keys, "which", F.col("x.term").alias("term"), F.ln(F.col("x.w").cast("double")).alias("lnw"))
     low = rows.groupBy(*keys, "which").agg(*[F.min(_sample(j)).alias(f"s{j}") for j in range(samples)])
     mask = F.lit((1 << BITS) - 1)
