@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunks, fingerprints, mixing, neighbours, ngrams, packing, sharding, suffixes
+from . import chat, chunks, fingerprints, mixing, neighbours, ngrams, packing, quality, sharding, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs).drop("text")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=8)
 
@@ -56,6 +61,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngrams": op1_ngrams,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_suffixes": op5_suffixes,
