@@ -12,9 +12,11 @@ prefixes of one order, so what the shorter one shares lies in the longer one). C
 inside groups of a class by token hash; the number of groups follows the document's size, and each
 document is indexed for its own class of sizes and the next, so that the partners agree on it.
 
-Documents under one key are verified against the smallest of them, and components formed; what is left
-in the same key but in different components is verified pairwise, so no link is lost while a group of
-copies of any size costs a verification a document.
+Documents under one key are verified against the one with the fewest tokens of its own, and components
+formed. What is then left under the same key in different components is compared in pairs, so no link is
+lost while a group of copies of any size costs a verification a document. Pairs are told apart before
+their tokens are looked up: each document has PARITY bits, the parities of how many of its tokens hash to
+each, and two documents differ in at least as many tokens as their parities do.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from .suffixes import pair
 CLASSES = (1, 8, 256)
 #: Tokens that a group of combined ones holds, about, if a whole prefix is frequent.
 GROUP = 8
+PARITY = 512
 #: Sizes up to which a document's tokens are all indexed alone.
 TINY = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -204,12 +207,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         count = np.minimum(np.bincount(sent.of, minlength=len(sent.keys)), 255).astype(np.uint8)[sent.sent]
         return rows.set_column(3, "docs", pa.array([c.tobytes() for c in np.split(count, sent.cuts)] if len(count) else [], pa.binary()))
 
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ["kind", "key", "doc", "n", "tokens"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    names = ["kind", "key", "doc", "n", "own", "tokens", "parity"]
 
     def index(table: pa.Table, side: pa.Table) -> pa.Table:
         """Kind 0: a document's size; 1: a key of a document; 2: the tokens of an indexed document that others hold, too."""
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[] for _ in names]
+
+        def add(*values) -> None:
+            for c, v in zip(cols, values, strict=True):
+                c.append(v)
+
         if table.num_rows:
             ids, toks, live, sent = opened(table, side)
             bits = B.bits_of(side, 1)
@@ -220,39 +228,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                     level[sent.sent[own]] = planes[: len(own)] + 2 * planes[len(own) :]
             level, at = level[sent.of], 0
             for i, t, ok in zip(ids.tolist(), toks, live, strict=True):
-                for c, v in zip(cols, (0, None, i, len(t), None), strict=True):
-                    c.append(v)
+                add(0, None, i, len(t), None, None, None)
                 if not ok or not len(t):
                     continue
                 own = level[at : at + len(t)]
                 at += len(t)
                 keys = index_keys(t, own, num, den, bounds)
+                single = int(np.count_nonzero(own == 0))
+                for key in keys.view(np.int64).tolist():
+                    add(1, key, i, len(t), single, None, None)
                 if len(keys):
-                    for c, v in zip(cols, ([1] * len(keys), keys.view(np.int64).tolist(), [i] * len(keys), [len(t)] * len(keys), [None] * len(keys)), strict=True):
-                        c.extend(v)
-                    for c, v in zip(cols, (2, None, i, len(t), t[own > 0].tobytes()), strict=True):
-                        c.append(v)
+                    held = t[own > 0]
+                    odd = np.bincount((held >> np.uint64(33)).astype(np.int64) % PARITY, minlength=PARITY).astype(np.uint8) & 1
+                    add(2, None, i, len(t), single, held.tobytes(), np.packbits(odd).view(np.int64).tolist())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     asked = by.cogroup(known.groupBy("batch")).applyInArrow(send, B.SENT)
     levels = _frequencies(asked, n)
-    indexed = cut(by.cogroup(known.unionByName(levels).groupBy("batch")).applyInArrow(index, "kind int, key long, doc long, n long, tokens binary"))
+    indexed = cut(by.cogroup(known.unionByName(levels).groupBy("batch")).applyInArrow(index, "kind int, key long, doc long, n long, own long, tokens binary, parity array<long>"))
 
-    keys = indexed.filter("kind = 1").select("key", "doc", "n")
-    sets = indexed.filter("kind = 2").select("doc", "n", "tokens")
-    shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    shared = cut(keys.join(shared, "key"))
-    to_least = shared.filter("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+    keys = indexed.filter("kind = 1").select("key", "doc", "own")
+    sets = indexed.filter("kind = 2").select("doc", "n", "own", "tokens", "parity")
+    shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min_by("doc", "own").alias("centre")).filter("least < most").drop("least", "most")
+    shared = cut(keys.join(shared, "key").select("key", "doc", "centre"))
+    to_least = shared.filter("doc <> centre").select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
     links = cut(verified(to_least, sets, num, den))
     equal = copies.select(F.col("least").alias("a"), F.col("doc").alias("b"))
     found = cut(components(links))
     # Under each key, what is in different components now.
-    placed = shared.join(found, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    placed = shared.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    mixed = cut(placed.join(mixed, "key").join(sets.select("doc", F.expr("octet_length(tokens) div 8").alias("held")), "doc"))
+    mixed = cut(placed.join(mixed, "key").join(sets.select("doc", "n", "own", "parity"), "doc"))
     x, y = mixed.alias("x"), mixed.alias("y")
-    enough = f"least(x.held, y.held) * {num + den} >= {num} * (x.n + y.n)"  # shared <= held, and den s >= num (n + m - s)
-    apart = x.join(y, F.expr(f"x.key = y.key and x.doc < y.doc and x.component <> y.component and {enough}"))
+    differ = " + ".join(f"bit_count(x.parity[{k}] ^ y.parity[{k}])" for k in range(PARITY // 64))
+    # den s >= num (n + m - s) is the same as (num + den) (tokens that differ) <= (den - num) (n + m).
+    near = f"({num} + {den}) * ({differ} + x.own + y.own) <= ({den} - {num}) * (x.n + y.n)"
+    apart = x.join(y, F.expr(f"x.key = y.key and x.doc < y.doc and x.component <> y.component and {near}"))
     rest = apart.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(to_least, ["a", "b"], "left_anti")
     more = verified(rest, sets, num, den)
     found = components(links.unionByName(more).unionByName(equal))
