@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import cut
+
 #: Vectors (those of the smallest hash) on which centroids are fitted and bounds are taken; also the bound of what is broadcast.
 SAMPLE = 20_000
 #: A query's bound comes from one vector in so many, at most, so that it is a bound and not the search.
@@ -26,7 +28,8 @@ BOUND = 16
 PROBE = 0.75
 #: Vectors and queries of a tile, about.
 TILE, QUERIES = 8192, 16384
-BLOCK, DEVIATIONS = 16, 4.0
+#: Columns of a block; standard deviations below its share at which a pair is abandoned; pairs that are scored at once.
+BLOCK, DEVIATIONS, PAIRS = 16, 2.5, 1 << 20
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -50,21 +53,31 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(vectors: np.ndarray, turned: np.ndarray, query: np.ndarray, query_turned: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``vectors`` whose product with ``query`` reaches ``bound``, and the products; blocks of rotated columns decide who is read on."""
+def scan(turned: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) whose product may reach the query's bound; both sides are rotated.
+
+    Products grow by blocks of columns. After each block a pair is abandoned if what it has is too far
+    below its share of the bound. While many pairs are alive they are read as matrices, then one by one.
+    """
     size = turned.shape[1]
-    alive, partial = np.arange(len(turned)), np.zeros(len(turned))
-    scale = np.linalg.norm(query) * np.linalg.norm(vectors, axis=1)
-    for d in range(BLOCK, size, BLOCK):
-        partial = partial + turned[alive, d - BLOCK : d] @ query_turned[d - BLOCK : d]
-        slack = DEVIATIONS * scale[alive] * np.sqrt(2 * d * (1 - d / size)) / size
-        keep = partial >= bound * d / size - slack
-        alive, partial = alive[keep], partial[keep]
-        if not len(alive):
+    scale = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(turned, axis=1)[None, :]
+    with np.errstate(over="ignore"):
+        spread = DEVIATIONS / size * np.sqrt(scale * scale + np.minimum(np.square(np.where(np.isfinite(bound), bound, 0.0))[:, None], scale * scale))
+    partial, d = np.zeros((len(queries), len(turned))), 0
+    while d < size:
+        partial += queries[:, d : d + BLOCK] @ turned[:, d : d + BLOCK].T
+        d = min(size, d + BLOCK)
+        alive = partial >= bound[:, None] * (d / size) - spread * np.sqrt(d * (1 - d / size))
+        if 8 * np.count_nonzero(alive) < alive.size:
             break
-    score = np.einsum("ij,j->i", vectors[alive], query)
-    good = score >= bound
-    return alive[good], score[good]
+    i, j = np.nonzero(alive)
+    sums, spread = partial[i, j], spread[i, j]
+    while d < size and len(i):
+        sums = sums + np.einsum("ij,ij->i", queries[i, d : d + BLOCK], turned[j, d : d + BLOCK])
+        d = min(size, d + BLOCK)
+        keep = sums >= bound[i] * (d / size) - spread * np.sqrt(d * (1 - d / size))
+        i, j, sums, spread = i[keep], j[keep], sums[keep], spread[keep]
+    return i, j
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -91,7 +104,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = P
     base, asked = base.filter(F.size("embedding") == size), asked.filter(F.size("embedding") == size).distinct()
     few = W.partitionBy("embedding").orderBy("vec_id")
     kept = base.distinct().withColumn("k", F.row_number().over(few)).filter(F.col("k") <= k + 1)  # cut down before the shuffle, too
-    classes = kept.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0])
+    classes = cut(kept.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]))
     mine = asked.join(classes.select("embedding", "cid"), "embedding", "left")
 
     # At most `sample` rows reach the driver, and go out again.
@@ -110,7 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = P
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32())], names=["cid", "embedding", "ids", "list"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    listed = classes.select("cid", "embedding", "ids").mapInArrow(assign, f"cid long, embedding {kind}, ids array<long>, list int")
+    listed = cut(classes.select("cid", "embedding", "ids").mapInArrow(assign, f"cid long, embedding {kind}, ids array<long>, list int"))
     counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 1024 rows
     # Small lists share a tile, a large one is spread over several by id.
     first: dict[int, tuple[int, int]] = {}
@@ -126,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = P
                 tile, filled = tile + 1, 0
             first[x] = (tile, 1)
             filled += n
-    searched = mine.groupBy("embedding").agg(F.min(F.coalesce("cid", "vec_id")).alias("cid"), F.max(F.col("cid").isNotNull()).alias("stored"))
+    searched = cut(mine.groupBy("embedding").agg(F.coalesce(F.min("cid"), F.xxhash64("embedding")).alias("cid")))
     parts = max(1, -(-int(searched.count() * min(1.0, probe * 1.5)) // QUERIES))
     where = F.create_map(*[F.lit(v) for x, (t, n) in first.items() for v in (x, t)])
     spread = F.create_map(*[F.lit(v) for x, (t, n) in first.items() for v in (x, n)])
@@ -170,17 +183,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = P
             x, ids, own = _matrix(cells["embedding"]), cells["ids"].to_pylist(), cells["list"].to_numpy()
             turn = shared.value[3]
             xt = x @ turn
-            order = np.argsort(own, kind="stable")
-            edge = np.searchsorted(own[order], np.arange(lists + 1))
-            q = _matrix(sent["embedding"])
+            q, cid, bound = _matrix(sent["embedding"]), sent["cid"].to_numpy(), sent["bound"].to_numpy()
             qt = q @ turn
-            for i, (cid, xs, bound) in enumerate(zip(sent["cid"].to_pylist(), sent["lists"].to_pylist(), sent["bound"].to_pylist(), strict=True)):
-                at = np.concatenate([order[edge[z] : edge[z + 1]] for z in xs])
-                hit, score = scan(x[at], xt[at], q[i], qt[i], bound)
-                got = sorted(((-s, v) for h, s in zip(at[hit].tolist(), score.tolist(), strict=True) for v in ids[h]))[: k + 1]
-                out[0].extend([cid] * len(got))
-                out[1].extend(v for _, v in got)
-                out[2].extend(-s for s, _ in got)
+            xs = sent["lists"].combine_chunks()
+            asks, asked = np.repeat(np.arange(len(q)), np.diff(xs.offsets.to_numpy())), xs.flatten().to_numpy()
+            near, far, score = [], [], []
+            for z in np.unique(own):
+                at, who = np.flatnonzero(own == z), asks[asked == z]
+                for part in np.array_split(who, -(-len(who) * len(at) // PAIRS)) if len(who) else []:
+                    i, j = scan(xt[at], qt[part], bound[part] - 1e-9 * np.abs(np.where(np.isfinite(bound[part]), bound[part], 0.0)))
+                    i, j = part[i], at[j]
+                    exact = np.einsum("ij,ij->i", q[i], x[j])
+                    good = exact >= bound[i]
+                    near.append(i[good])
+                    far.append(j[good])
+                    score.append(exact[good])
+            near, far, score = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (near, far, score))
+            many = np.array([len(v) for v in ids])[far] if len(far) else far
+            flat = np.array([v for j in far.tolist() for v in ids[j]], np.int64)
+            near, score = np.repeat(near, many), np.repeat(score, many)
+            order = np.lexsort((flat, -score, near))
+            near, flat, score = near[order], flat[order], score[order]
+            keep = np.arange(len(near)) - np.searchsorted(near, near) <= k
+            out = [cid[near[keep]], flat[keep], score[keep]]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["cid", "vec_id", "score"])
 
     found = cells.groupBy("tile", "part").cogroup(sent.groupBy("tile", "part")).applyInArrow(look, "cid long, vec_id long, score double")
