@@ -43,22 +43,23 @@ def _sample(j: int) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and, for each text column, ``<column>_fp``: the hex fingerprint of its text (null: empty).
+    """``keys`` and, for each text column, ``<column>_fp``: the hex fingerprint of its text, null without words.
 
     Terms are exploded and their scores reduced by ``min`` in the tasks that read them, so what is
-    shuffled is one row a document. A text without words has a fingerprint of dashes.
+    shuffled is one row a text. Rows with equal keys must have equal texts. A row stays even if no text
+    has words.
     """
     which = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.coalesce(F.col(c), F.lit("")).alias("text")) for k, c in enumerate(columns)]))
     rows = texts.select(*keys, which.alias("x")).select(*keys, "x.which", terms(F.col("x.text")).alias("h"))
     pairs = F.when(F.size("h") < 2, F.col("h")).otherwise(F.sort_array(F.zip_with(F.slice("h", F.lit(1), F.size("h") - 1), F.slice("h", F.lit(2), F.size("h") - 1), lambda a, b: F.xxhash64(a, b))))
     # A term's weight is the length of its run in the sorted hashes.
     rows = rows.select(*keys, "which", pairs.alias("s")).withColumn("at", F.expr("filter(transform(s, (x, i) -> if(x <=> get(s, i - 1), -1, i)), i -> i >= 0)"))
-    each = F.expr("explode(transform(at, (i, k) -> named_struct('term', s[i], 'w', coalesce(get(at, k + 1), size(s)) - i)))")
+    each = F.expr("explode_outer(transform(at, (i, k) -> named_struct('term', s[i], 'w', coalesce(get(at, k + 1), size(s)) - i)))")
     rows = rows.select(*keys, "which", each.alias("x")).select(*keys, "which", F.col("x.term").alias("term"), F.ln(F.col("x.w").cast("double")).alias("lnw"))
-    low = rows.groupBy(*keys, "which").agg(*[F.min(_sample(j)).alias(f"s{j}") for j in range(samples)])
+    low = rows.groupBy(*keys, "which").agg(*[F.min(F.when(F.col("term").isNotNull(), _sample(j))).alias(f"s{j}") for j in range(samples)])
     mask = F.lit((1 << BITS) - 1)
     fp = F.concat(*[F.lpad(F.lower(F.hex(F.col(f"s{j}").bitwiseAND(mask))), BITS // 4, "0") for j in range(samples)])
-    return low.select(*keys, "which", fp.alias("fp"))
+    return low.select(*keys, "which", fp.alias("fp")).groupBy(*keys).agg(*[F.max(F.when(F.col("which") == k, F.col("fp"))).alias(f"{c}_fp") for k, c in enumerate(columns)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -69,21 +70,21 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, th, next_id, next_th, n: each distinct (doc_id, text)'s follower in descending doc_id; the last is followed by the first.
+    """The key (h1, h2) of each distinct row's follower in descending doc_id, as (n1, n2); the last is followed by the first.
 
-    Ids alone are range-partitioned; a partition's last row takes the first row of the next one.
+    Ids and keys alone are range-partitioned; a partition's last row takes the first row of the next one.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("th")]
-    ids = docs.select("doc_id", "th", F.length("text").alias("n")).distinct()
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h1"), F.col("h2")]
+    ids = docs.select("doc_id", "h1", "h2", F.length("text").alias("n")).distinct()
     laid = cut(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    me = F.struct("doc_id", "th")
+    me = F.struct("h1", "h2")
     inside = W.partitionBy("part").orderBy(*order)
     # One row a partition.
     firsts = laid.withColumn("k", F.row_number().over(inside)).filter("k = 1").select("part", me.alias("first"))
     whole = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(W.orderBy("part")), F.first("first").over(whole)).alias("after"))
     rows = laid.withColumn("next", F.lead(me).over(inside)).join(F.broadcast(firsts), "part").withColumn("next", F.coalesce("next", "after"))
-    return rows.select("doc_id", "th", F.col("next.doc_id").alias("next_id"), F.col("next.th").alias("next_th"), "n")
+    return cut(rows.select("h1", "h2", F.col("next.h1").alias("n1"), F.col("next.h2").alias("n2"), "n"))
 
 
 def edited_and_fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -95,27 +96,26 @@ def edited_and_fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFra
     fingerprint and are alike; a null id comes last. No rows give no rows; other columns are ignored.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    base = base.withColumn("th", F.xxhash64("text", F.lit(7)))
+    base = base.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    key = ["h1", "h2"]
     after = next_documents(base)
-    key = ["doc_id", "th"]
-    copies = base.groupBy(*key).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    lead = copies.alias("d").join(after.alias("a"), (F.col("d.doc_id").eqNullSafe(F.col("a.next_id"))) & (F.col("d.th") == F.col("a.next_th")))
-    lead = lead.select(F.col("a.doc_id").alias("of"), F.col("a.th").alias("of_th"), F.col("a.n").alias("n"), F.col("a.next_id"), F.col("a.next_th"), F.expr("substring(d.text, 1, a.n div 2)").alias("tail"))
-    whole = copies.join(lead, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
-    edited = F.concat(F.expr("substring(text, 1, n - n div 2)"), F.col("tail"))
-    both = whole.select(*key, "copies", "next_id", "next_th", F.col("n").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    fps = signatures(both, key, ["text", "edited"], samples)
+    before = after.select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), F.col("n1").alias("h1"), F.col("n2").alias("h2"), "n")
+    # Each document's start goes to the one before it; repeated rows send the same start.
+    tails = base.select(*key, "text").join(before, key).select(F.col("of1").alias("h1"), F.col("of2").alias("h2"), F.col("n"), F.expr("substring(text, 1, n div 2)").alias("tail"))
+    tails = tails.groupBy(*key).agg(F.first("n").alias("n"), F.first("tail").alias("tail"))
+    both = base.select(*key, "text").join(tails, key).select(*key, "n", "text", F.expr("concat(substring(text, 1, n - n div 2), tail)").alias("edited"))
+    # A digest is carried through as four longs, next to the scores that min reduces.
+    sha = F.sha2("edited", 256)
+    sums = [F.conv(F.substring(sha, 1 + 16 * k, 16), 16, -10).cast("long").alias(f"d{k}") for k in range(4)]
+    carried = [*key, "n", *[f"d{k}" for k in range(4)]]
+    low = signatures(both.select(*key, "n", *sums, "text", "edited"), carried, ["text", "edited"], samples)
     none = F.lit("-" * (BITS // 4 * samples))
-    fps = fps.groupBy(*key).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
-    facts = both.select(*key, "copies", "next_id", "next_th", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
-    f = fps.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "fp", "efp")
-    rows = facts.join(f, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
-    rows = cut(rows.select(*key, "copies", "next_id", "next_th", "n_chars", "edited_sha256", F.coalesce("fp", none).alias("fingerprint"), F.coalesce("efp", none).alias("edited_fingerprint")))
-    other = rows.select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), F.col("fingerprint").alias("next_fp"))
-    rows = rows.join(other, F.col("next_id").eqNullSafe(F.col("o_id")) & (F.col("next_th") == F.col("o_th")))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    digest = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
+    fps = cut(low.select(*key, "n", digest.alias("edited_sha256"), F.coalesce("text_fp", none).alias("fingerprint"), F.coalesce("edited_fp", none).alias("edited_fingerprint")))
+    chain = after.join(fps.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.col("fingerprint").alias("next_fp")), ["n1", "n2"]).select(*key, "next_fp")
+    rows = base.select("doc_id", *key).join(fps, key).join(chain, key)
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fp"), samples).alias("near_next"),
     )
