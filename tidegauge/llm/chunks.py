@@ -81,7 +81,7 @@ def _split(text: np.ndarray, ends: list[int], most: int) -> list[int]:
 
 
 def remove_passages(docs: DataFrame, apart: int = 12, most: int = 256, passage: int = 64) -> DataFrame:
-    """doc_id, n_bytes, n_chunks, n_removed, n_spans, kept_text: one row a document.
+    """doc_id, text_hash (Spark's xxhash64 of the text), n_bytes, n_chunks, n_removed, n_spans, kept_text: one row a document.
 
     Cuts are more than ``apart`` (at most 32) bytes from one another, about twice that on average, and a
     chunk has no more than about ``most`` bytes. A chunk is a repeat if a document with a smaller doc_id
@@ -133,10 +133,11 @@ def remove_passages(docs: DataFrame, apart: int = 12, most: int = 256, passage:
                     if not h:
                         kept.append(t[start:z])
                     start = z
-            rows.append((None if i == B.LAST else i, len(t), len(e), removed, spans, b"".join(kept).decode()))
-        return pa.table([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
+            hashed = int.from_bytes(xxhash.xxh64_digest(t, seed=42), "big", signed=True)  # the seed of Spark's function
+            rows.append((None if i == B.LAST else i, hashed, len(t), len(e), removed, spans, b"".join(kept).decode()))
+        return pa.table([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=names)
 
-    names = ["doc_id", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_text"]
-    kinds = [pa.int64()] * 5 + [pa.string()]
+    names = ["doc_id", "text_hash", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_text"]
+    kinds = [pa.int64()] * 6 + [pa.string()]
     answers = B.answer(by.applyInArrow(send, B.SENT), n, 1, exact=True, owners=True)
-    return by.cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_text string")
+    return by.cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, text_hash long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_text string")

@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     """
     source = F.col("source")
     rows = docs.select(
-        "doc_id", *keep, words(F.col("text")).alias("size"), source,
+        "doc_id", F.struct(F.lit(0), *keep).alias("kept"), words(F.col("text")).alias("size"), source,
         F.concat(F.when(source.isNull(), "1").otherwise("0"), F.coalesce(source.cast("string"), F.lit(""))).alias("skey"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("h"),
     ).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     ranks = "transform(sequence(0L, passes - if(part > 0, 0L, 1L)), p -> p * filled + rank)"
     shards = F.expr(f"if(size = 0 or passes + if(part > 0, 1, 0) = 0, cast(array() as array<int>), transform({ranks}, r -> cast(size(filter(begins, b -> b <= r)) - 1 as int)))")
     return placed.join(begins, "skey").select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"), shards.alias("shards"), *keep,
+        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"), shards.alias("shards"), *[F.col("kept")[c].alias(c) for c in keep],
     )
 
 

@@ -59,6 +59,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ngrams": op1_ngrams,
     "op2_quality": op2_quality,
@@ -70,6 +76,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_fingerprints": op9_fingerprints,
     "op10_chat": op10_chat,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
