@@ -60,21 +60,20 @@ def long_frames(rows: DataFrame, track: str, order: list[str], value: str, folde
             raise ConfigurationError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    by = [F.col(track), *[F.col(c) for c in order]]
+    keys = [f"_o{k}" for k in range(len(order))]
+    named = rows.select(F.col(track).alias("track"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], F.col(value).cast("double").alias("v"))
     path = f"{folder.rstrip('/')}/frames-{uuid.uuid4().hex}"
-    ranged = rows.select(track, *order, value).repartitionByRange(*by).withColumn("part", F.spark_partition_id())
+    ranged = named.repartitionByRange("track", *keys).withColumn("part", F.spark_partition_id())
     ranged.write.parquet(path)
     laid = spark.read.schema(ranged.schema).parquet(path)
-    each = W.partitionBy(track)
+    each = W.partitionBy("track")
     # A row for each track and range it lies in.
-    starts = laid.groupBy(track, "part").count().select(
-        F.col(track).alias("t"), F.col("part").alias("p"), F.sum("count").over(each.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.sum("count").over(each).alias("frames"),
+    starts = laid.groupBy("track", "part").count().select(
+        "track", "part", F.coalesce(F.sum("count").over(each.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("count").over(each).alias("frames"),
     )
-    inside = W.partitionBy(track, "part").orderBy(*[F.col(c) for c in order])
+    inside = W.partitionBy("track", "part").orderBy(*keys)
     placed = laid.withColumn("at", F.row_number().over(inside) - 1)
-    return placed.join(starts, (F.col(track) == F.col("t")) & (F.col("part") == F.col("p"))).select(
-        F.col(track).alias("track"), (F.coalesce("before", F.lit(0)) + F.col("at")).cast("long").alias("frame"), "frames", F.col(value).cast("double").alias("v"),
-    )
+    return placed.join(starts, ["track", "part"]).select("track", (F.col("before") + F.col("at")).cast("long").alias("frame"), "frames", "v")
 
 
 def downsample(framed: DataFrame, resolution: int, algorithm: str = "rms", short: str = "passthrough") -> DataFrame:

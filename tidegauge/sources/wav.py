@@ -122,7 +122,7 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
-    """Decoded signals of all files below ``path``."""
+    """Decoded signals of all files below ``path``; Spark's reader lists no empty files, so those are missing."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return decode_files(files.select("path", "content"))
 
