@@ -11,6 +11,7 @@ finds its slot by its rank among the pieces of its length, and ranks come from d
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,88 +21,160 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import batches as B
 from .common import cut
+from .ngrams import _BYTES, _powers
+from .suffixes import pair
 
 #: Steps of a sequence to which lengths are rounded up when patterns are enumerated, and the most pieces of a pattern.
 GRIDS = ((64, 3), (128, 3), (32, 4))
 #: Shares of the fitted repeats that are tried.
 SHARES = (1.0, 0.7, 0.4, 0.2, 0.1)
 BUCKET_BITS = 10
-#: Entries of each of a worker's two caches, of words and of stems; one that is full is emptied.
-CACHE = 500_000
+#: Of a worker's table of words: slots as a power of two, of which two thirds are used at most, and ids; a full one is emptied.
+SLOTS, POOL = 22, 1 << 24
+
+
+class _Table:
+    """Word fingerprint -> ids, in flat arrays with open addressing: some thirty bytes a word."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << SLOTS, np.uint64)
+        self.start, self.size = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
+        self.pool, self.used, self.held = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each fingerprint, -1 for one that is not there."""
+        at, left = (h & np.uint64(len(self.keys) - 1)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            key = self.keys[at[left]]
+            gone, open_ = key == 0, (key != 0) & (key != h[left])
+            at[left[gone]] = -1
+            left = left[open_]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        return at
+
+    def add(self, h: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Distinct new fingerprints with their ids end to end; when too much is held, all else is forgotten first."""
+        if 3 * (self.held + len(h)) > 2 * len(self.keys) or self.used + len(ids) > POOL:
+            self.clear()
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        at, left = (h & np.uint64(len(self.keys) - 1)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = h[free]
+            left = left[self.keys[at[left]] != h[left]]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        self.start[at], self.size[at] = self.used + begin, ends - begin
+        self.used, self.held = self.used + len(ids), self.held + len(h)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slots end to end, and where each one's end."""
+        size = self.size[at].astype(np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)], ends
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers, by a cache of words.
+    """Texts to ids, by a table of words.
 
     Words are split at blanks and line ends, which the tokenizer never joins across. It lower-cases and
-    splits letters from punctuation itself, so a Latin word with a tail of stops is looked up as its
-    lower-case stem and its tail; whatever is still unknown in a slice is encoded in one call.
+    splits letters from punctuation itself, so a Latin word with a tail of stops is its lower-case stem
+    and its tail; what is still unknown in a slice of texts is encoded in one call. Words are told apart
+    by 64-bit fingerprints.
     """
 
-    TAIL = ".,!?;:"
+    #: A word of Latin letters (but the one whose lower case is no single letter) with stops behind it.
+    LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:]*)").fullmatch
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.stems = Tokenizer.from_file(vocabulary), {}, {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        own = {w for words in split for w in words}
-        new = [w for w in own if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(own)
-            parts = [self._parts(w) for w in new]
-            todo = {p for pair in parts for p in pair if p not in self.stems}
-            if len(self.stems) + len(todo) > CACHE:
-                self.stems.clear()
-                todo = {p for pair in parts for p in pair}
-            self._encode(list(todo))
-            stems = self.stems
-            self.known.update((w, stems[a] + stems[b]) for w, (a, b) in zip(new, parts, strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-    def _parts(self, word: str) -> tuple[str, str]:
-        stem = word.rstrip(self.TAIL)
-        if stem.isalpha() and max(stem) < "\u0250" and (low := stem.lower()).isalpha():
-            return low, word[len(stem) :]
-        return word, ""
-
-    def _encode(self, words: list[str]) -> None:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        self.tokenizer, self.words = Tokenizer.from_file(vocabulary), _Table()
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        start, stop, h = _fingerprints(data)
+        distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
+        at = self.words.find(distinct)
+        if (new := np.flatnonzero(at < 0)).size:
+            raw = data.tobytes()
+            self._learn([raw[a:z].decode() for a, z in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)], distinct[new])
+            at = self.words.find(distinct)
+            if (at < 0).any():  # the table was emptied on the way
+                lost = np.flatnonzero(at < 0)
+                self._learn([raw[a:z].decode() for a, z in zip(start[first[lost]].tolist(), stop[first[lost]].tolist(), strict=True)], distinct[lost])
+                at = self.words.find(distinct)
+        ids, ends = self.words.take(at[of])
+        ends = np.concatenate(([0], ends))
+        edge = ends[np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))]
+        return [ids[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+    def _learn(self, words: list[str], h: np.ndarray) -> None:
+        parts = [(m[1].lower(), m[2]) if (m := self.LATIN(w)) else (w, "") for w in words]
+        pieces = list({p for pair in parts for p in pair if p})
+        data = np.frombuffer(" ".join(pieces).encode() + b" ", np.uint8)
+        key = _fingerprints(data)[2]
+        at = self.words.find(key)
+        known = dict(zip([pieces[k] for k in np.flatnonzero(at >= 0).tolist()], np.flatnonzero(at >= 0).tolist(), strict=True))
+        ids, ends = self.words.take(at[at >= 0])
+        raw = ids.tobytes()
+        cuts = (4 * ends).tolist()
+        got = dict(zip(known, [raw[a:z] for a, z in zip([0, *cuts], cuts, strict=False)], strict=True)) | {"": b""}
+        got |= self._encode([pieces[k] for k in np.flatnonzero(at < 0).tolist()])
+        found = [got[a] + got[b] if b else got[a] for a, b in parts]
+        # Stems are kept as the words that they are, unless they are among the new ones themselves.
+        fresh = np.flatnonzero(at < 0)
+        keys, one = np.unique(np.concatenate((h, key[fresh])), return_index=True)
+        values = found + [got[pieces[k]] for k in fresh.tolist()]
+        values = [values[k] for k in one.tolist()]
+        self.words.add(keys, np.frombuffer(b"".join(values), "<u4"), np.cumsum([len(v) // 4 for v in values]))
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Stems are one piece to the tokenizer each, so a text of them is numbered by word; other words are given one by one."""
+        letters = [w for w in words if self.LATIN(w) and w[-1].isalpha()]
+        found = self._cut(letters, self.tokenizer.encode(" ".join(letters), add_special_tokens=False)) if letters else {}
+        rest = [w for w in words if w not in found]
+        return found | self._cut(rest, self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)) if rest else found
+
+    @staticmethod
+    def _cut(words: list[str], got) -> dict[str, bytes]:
         ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
-        start = 0
-        for word, end in zip(words, np.searchsorted(of, np.arange(len(words)), side="right").tolist(), strict=True):
-            self.stems[word] = ids[start:end].tobytes()
-            start = end
+        raw, ends = ids.tobytes(), (4 * np.searchsorted(of, np.arange(len(words)), side="right")).tolist()
+        return dict(zip(words, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
+
+
+def _fingerprints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and fingerprints (never 0) of the words between blanks and line ends; ``data`` ends with one."""
+    space = (data == 0x20) | (data == 0x0A)
+    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    stop = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+    if not len(start):
+        return start, stop, np.zeros(0, np.uint64)
+    lens = stop - start
+    inner = np.arange(len(data)) - np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [len(data)]))))
+    value = _BYTES[data] * _powers(int(lens.max()) + 1)[np.minimum(inner, lens.max())]
+    value[space] = 0
+    return start, stop, pair(np.add.reduceat(value, start), lens.astype(np.uint64)) | np.uint64(1)
 
 
 _loaded: dict[str, Encoder] = {}
 
 
-def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
-    """The ids of each text without special tokens, as little-endian unsigned 32-bit integers."""
+def token_ids(texts: list[bytes], vocabulary: str) -> list[np.ndarray]:
+    """The ids of each UTF-8 text without special tokens."""
     if vocabulary not in _loaded:
         _loaded[vocabulary] = Encoder(vocabulary)
     return _loaded[vocabulary](texts)
 
 
-def _slices(texts: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``chars`` characters with the number of texts before them."""
-    held, size, at = [], 0, 0
-    for k, text in enumerate(texts):
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= chars:
-            yield at, held
-            held, size, at = [], 0, k + 1
-    if held:
-        yield at, held
-
-
 def pieces(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids with a closing 0, cut into pieces of ``length``."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -112,7 +185,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             which, piece, start, size, crc = [], [], [], [], []
-            encoded = ((first + k, got + b"\0\0\0\0") for first, held in _slices(texts) for k, got in enumerate(token_bytes(held, vocabulary)))
+            encoded = ((first + k, got.tobytes() + b"\0\0\0\0") for first, held in B.slices([t or b"" for t in texts.cast(pa.binary()).to_pylist()]) for k, got in enumerate(token_ids(held, vocabulary)))
             for k, got in encoded:
                 for p, at in enumerate(range(0, len(got), 4 * length)):
                     part = got[at : at + 4 * length]
