@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import parallelism
 
 #: Text bytes of a batch, on average.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Stands for a null id: after all others.
 LAST = 2**63 - 1
 
