@@ -20,7 +20,7 @@ from . import batches as B
 from .ngrams import _BYTES, _SPACE
 
 #: Hashed features, and documents (those of the smallest id hash) on which the scorer is fitted.
-FEATURES, SAMPLE = 1024, 10_000
+FEATURES, SAMPLE = 1024, 5_000
 #: Labellers: measure, bad above, good below.
 LABELLERS = (
     ("symbols", 0.04, 0.01),  # symbols of characters
@@ -28,7 +28,6 @@ LABELLERS = (
     ("repeated", 0.20, 0.05),  # words that equal the one before
     ("bare", 0.20, 0.05),  # words without a letter or digit
     ("long", 0.60, 0.35),  # characters in words of over 16 bytes
-    ("unstopped", 0.98, 0.93),  # words without a sentence's end behind them
 )
 _CLASS = np.zeros((4, 256), np.uint8)
 _CLASS[0, list(b"%$#*&|~^<>{}[]\\@=+_!")] = 1
@@ -39,7 +38,9 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Labellers are made to speak against a good document at most so often. Without that bound a rare kind of bad
 #: document, which one labeller alone sees and all others call good, would be taken for that labeller's errors.
-WRONG = 0.001
+WRONG = 0.00002
+#: Share of the bad documents, at most, that no labeller speaks against.
+MISSED = 0.05
 #: Bytes from which a text's byte pairs count in full; those of shorter ones say little.
 FULL = 300
 #: Words below which a document says too little to vote on.
@@ -80,7 +81,7 @@ class Measured:
         w = np.maximum(1, self.words).astype(np.float64)
         self.measures = np.stack([
             symbols / n, capitals / np.maximum(1, letters), per_text(again) / w, per_text(bare) / w,
-            per_text(lens * (lens > 16)) / n, 1 - per_text(ended) / w,
+            per_text(lens * (lens > 16)) / n,
         ], axis=1)
         if features:
             self.features = self._hashed(data, starts, ends, per_text, again, bare, ended, w)
@@ -110,7 +111,8 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     codes = np.array(sorted(counts), np.int64)
     n = np.array([counts[c] for c in codes.tolist()], np.float64)
     votes = np.stack([codes // 3**k % 3 for k in range(len(LABELLERS))], axis=1)
-    good = np.where((votes == 2).any(axis=1), 0.1, 0.9)
+    seen_bad = (votes == 2).any(axis=1)
+    good, unseen = np.where(seen_bad, 0.1, 0.9), np.where(seen_bad, 0.0, np.log(MISSED))
     for _ in range(rounds):
         logs = []
         right = good * n
@@ -122,22 +124,21 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
                 if share is right:
                     chance[2] = min(chance[2], WRONG)
                 log += np.where(votes[:, k] > 0, np.log(chance)[votes[:, k]], 0.0)
-            logs.append(log)
+            logs.append(log if share is right else log + unseen)
         good = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
     return dict(zip(codes.tolist(), good.tolist(), strict=True))
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 600, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Nesterov's gradient steps; a text that says nothing scores as the average one."""
-    x = x.astype(np.float64)
-    w = v = np.zeros(x.shape[1] + 1)
-    xb = np.hstack([x, np.ones((len(x), 1))])
-    step = 4 / (np.mean((xb * xb).sum(1)) + decay)
+    w = v = np.zeros(x.shape[1])
+    a = b = 0.0
+    step = 4 / (float(np.einsum("ij,ij->", x, x)) / len(x) + 1 + decay)
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(xb @ v, -50, 50)))
-        new = v - step * (xb.T @ (p - y) / len(x) + decay * v)
-        v, w = new + k / (k + 3) * (new - w), new
-    return w[:-1], float(w[-1])
+        error = 1 / (1 + np.exp(-np.clip(x @ v.astype(x.dtype) + b, -50, 50))) - y
+        new, shift = v - step * ((error.astype(x.dtype) @ x) / len(x) + decay * v), b - step * float(error.mean())
+        v, w, b, a = new + k / (k + 3) * (new - w), new, shift + k / (k + 3) * (shift - a), shift
+    return w, float(a)
 
 
 def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -158,7 +159,7 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
                 code, n = np.unique(Measured(held, False).votes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["votes", "n"])
 
-    counted = docs.select(text).mapInArrow(patterns, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 3^6 rows
+    counted = docs.select(text).mapInArrow(patterns, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 3 ** len(LABELLERS) rows
     counts = {r["votes"]: r["n"] for r in counted}
     if not counts:
         return docs.select("doc_id", F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(True).alias("keep"), *[c for c in docs.columns if c != "doc_id"])
@@ -175,8 +176,9 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
     h = F.xxhash64("doc_id", F.xxhash64("text"))
     drawn = docs.select(h.alias("h"), text.alias("t")).filter(F.pmod("h", F.lit(grain)) <= min(grain, 1.2 * sample * grain / total + 1))
     rows = drawn.mapInArrow(featured, "h long, votes long, x binary").orderBy("h").limit(sample).toArrow()
-    x = np.stack([np.frombuffer(v.as_py(), np.float32) for v in rows["x"]]) if rows.num_rows else np.zeros((1, FEATURES))
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, FEATURES) if rows.num_rows else np.zeros((1, FEATURES), np.float32)
     y = np.array([labels[v] for v in rows["votes"].to_pylist()]) if rows.num_rows else np.full(1, 0.5)
+    del rows
     model = spark.sparkContext.broadcast((*fit(x, y), labels))  # FEATURES weights and a label a pattern
 
     kept = [c for c in docs.columns if c != "doc_id"]
