@@ -17,7 +17,7 @@ from .operators import geometry as G
 from .operators import stats as S
 from .operators.signals import Signals, waveform_array
 from .plans import files as P
-from .sources import wav
+from .sources import headers, wav
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,3 +356,27 @@ query("wav_header", "select 'tone_00' || t || '.wav' as path, cast(1 as bigint)
 query("wav_format", "select 'tone_00' || t || '.wav' as path, 'wav' as format from (select unnest(range(4)) as t)")(lambda s, d: _tones(s).select("path", P.format_of_content(F.col("content")).alias("format")))
 query("stream_bins", "select event_type as track, date_trunc('day', ts) as start, count(*) as n, round(sqrt(avg(value * value)), 6) as rms, round(max(abs(value)), 6) as peak, round(avg(abs(value)), 6) as average from events group by 1, 2")(
     lambda s, d: incremental.settle(incremental.windowed(incremental.read(s, d, "events.parquet"), "ts", "event_type", "value", late=None)).select("track", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("rms").alias("rms"), r6("peak").alias("peak"), r6("average").alias("average")))
+
+MARKS = ["FFFB9064", "664C614300000022100010000000000000000000000000000000000000000000000000000000000000000000", "4F67675300020000000000000000000000000000000000000000000000", "52494646000000005741564500000000"]
+
+
+def _marked(spark, d) -> DataFrame:
+    """Documents as files that begin with the marks of the four formats in turn."""
+    k = (F.col("doc_id") % 4).cast("int")
+    mark = F.unhex(F.element_at(F.array(*[F.lit(m) for m in MARKS]), k + 1))
+    fmt = F.element_at(F.array(*[F.lit(f) for f in ("mp3", "flac", "ogg", "wav")]), k + 1)
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), fmt.alias("fmt"), F.concat(mark, F.col("text").cast("binary")).alias("content"))
+
+
+query("signatures", "select cast(doc_id as varchar) as path, ['mp3','flac','ogg','wav'][doc_id % 4 + 1] as detected, true as matches, doc_id % 4 = 0 as is_mp3 from documents")(
+    lambda s, d: _marked(s, d).select("path", P.format_of_content(F.col("content")).alias("detected"), headers.signature_matches(F.col("content"), F.col("fmt")).alias("matches"), headers.signature_matches(F.col("content"), F.lit("mp3")).alias("is_mp3")))
+query("header_fields", """select cast(doc_id as varchar) as path, case when doc_id % 4 = 0 then 3 end as version, case when doc_id % 4 = 0 then 1 end as layer, case when doc_id % 4 = 0 then 9 end as bitrate_index, case when doc_id % 4 = 0 then 1 end as channel_mode,
+    case when doc_id % 4 = 1 then 4096 end as min_block, case when doc_id % 4 = 2 then 2 end as header_type from documents""")(
+    lambda s, d: _marked(s, d).select("path", F.when(F.col("fmt") == "mp3", headers.mp3_header(F.col("content"))).alias("m"), F.when(F.col("fmt") == "flac", headers.flac_header(F.col("content"))).alias("f"), F.when(F.col("fmt") == "ogg", headers.ogg_header(F.col("content"))).alias("o")).select("path", "m.version", "m.layer", "m.bitrate_index", "m.channel_mode", "f.min_block", "o.header_type"))
+query("pattern_counts", "select cast(doc_id as varchar) as path, cast(case when doc_id % 4 = 0 then 1 else 0 end as bigint) as mp3_frames, cast(case when doc_id % 4 = 2 then 1 else 0 end as bigint) as ogg_pages from documents")(lambda s, d: headers.count_patterns(_marked(s, d)))
+query("byte_checksum", "select cast(doc_id as varchar) as path, lpad(lower(to_hex(list_sum(list_transform(range(1, strlen(c) + 1), lambda k: ascii(c[k]))) :: bigint)), 8, '0') as checksum from (select doc_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 200) as c from documents) where strlen(c) > 0")(
+    lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200).alias("c")).filter("c <> ''").select("path", wav.checksum(F.col("c").cast("binary")).alias("checksum")))
+query("harmonics", "select f as frame, round(greatest(-1.0, least(1.0, (0.5 * sin(w) + 0.25 * sin(2 * w) + 0.125 * sin(3 * w)) * (1 + 0.3 * sin(2 * t)) * 0.7)), 6) as v from (select f, f / 8000.0::double as t, 2 * pi() * 440 * (f / 8000.0::double) as w from (select unnest(range(2000)) as f))")(
+    lambda s, d: s.range(2000).select(F.col("id").alias("frame"), r6(wav.harmonics(F.col("id"), F.lit(0), 8000)).alias("v")))
+query("file_listing", f"with {FILES} select {SQL_EXT} as extension, count(*) as n from fl group by 1")(lambda s, d: headers.listing(files(s, d)).groupBy("extension").agg(F.sum("n").alias("n")))
+query("seek_frames", f"with {EVENTS} select track, frame from fr where frame >= case when 1500 >= frames then greatest(0, frames - 10) else 1500 end")(lambda s, d: wav.seek(event_frames(s, d), 15000, 100).select("track", "frame"))

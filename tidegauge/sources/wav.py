@@ -172,6 +172,14 @@ def tones(spark: SparkSession, tracks: int, seconds: float, rate: int, channels:
     return rows.select(F.format_string("tone_%03d.wav", "track").alias("path"), "frame", "channel", v.alias("v"))
 
 
+def harmonics(frame: Column, channel: Column, rate: int) -> Column:
+    """A tone of three partials with a slow swell, within [-1, 1]."""
+    t = frame / rate
+    f = 2 * np.pi * (440 + 220 * channel) * t
+    v = (0.5 * F.sin(f) + 0.25 * F.sin(2 * f) + 0.125 * F.sin(3 * f)) * (1 + 0.3 * F.sin(2 * t)) * 0.7
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
+
+
 def encode_rows(rows: DataFrame, rate: int, channels: int, bits: int = 16) -> DataFrame:
     """path, content: a WAVE file of each path's rows (frame, channel, v)."""
     each = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "channel", "v"))), lambda x: x["v"]).alias("vs"))
