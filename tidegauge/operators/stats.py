@@ -68,9 +68,10 @@ def benchmark(results: DataFrame, key: str = "results") -> DataFrame:
 
 def memory_curve(changes: DataFrame, limit: int) -> DataFrame:
     """track, seq, used, level: memory after each change (never below 0), and whether it is normal, high (over 80 %) or critical (over 90 %)."""
-    rows = changes.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("seq", "change"))).alias("cs"))
-    used = F.expr("aggregate(cs, cast(array() as array<bigint>), (a, c) -> concat(a, array(greatest(0L, coalesce(get(a, size(a) - 1), 0L) + c.change))))")
-    rows = rows.select("track", F.explode(F.arrays_zip(F.col("cs"), used.alias("used"))).alias("x")).select("track", F.col("x.cs.seq").alias("seq"), F.col("x.used").alias("used"))
+    upto = W.partitionBy("track").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # A sum that is held at 0 is the plain sum less the lowest that it has been below 0.
+    rows = changes.withColumn("_s", F.sum("change").over(upto)).withColumn("_low", F.least(F.lit(0), F.min("_s").over(upto)))
+    rows = rows.select("track", "seq", (F.col("_s") - F.col("_low")).cast("long").alias("used"))
     share = F.col("used") / limit
     return rows.withColumn("level", F.when(share > 0.9, "critical").when(share > 0.8, "high").otherwise("normal"))
 

@@ -277,7 +277,9 @@ query("chunk_advice", f"""with {FILES} select doc_id, cast(size // (case fmt whe
 query("quality_advice", """select event_id, case when u > 0.9 then 'critical' when u > 0.8 then 'high' else 'normal' end as pressure,
     case when u > 0.9 then 0.25 when u > 0.8 then 0.5 when u > 0.7 then 0.75 end as factor, case when u > 0.8 then true when u > 0.7 then false end as streaming from (select event_id, (event_id % 100) / 100.0::double as u from events)""")(
     lambda s, d: table(s, d, "events").withColumn("u", F.col("event_id") % 100 / 100.0).withColumn("q", P.quality_advice(F.col("u"))).select("event_id", P.pressure(F.col("u")).alias("pressure"), "q.factor", "q.streaming"))
-query("memory_curve")(lambda s, d: S.memory_curve(table(s, d, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, F.floor("value")).otherwise(-F.floor("value")).cast("long").alias("change")), 500))
+query("memory_curve", """with c as (select user_id as track, event_id as seq, case when event_id % 2 = 0 then floor(value) else -floor(value) end as change from events),
+    s as (select *, sum(change) over (partition by track order by seq) as s from c), u as (select track, seq, s - least(0, min(s) over (partition by track order by seq)) as used from s)
+    select track, seq, cast(used as bigint) as used, case when used / 500 > 0.9 then 'critical' when used / 500 > 0.8 then 'high' else 'normal' end as level from u""")(lambda s, d: S.memory_curve(table(s, d, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, F.floor("value")).otherwise(-F.floor("value")).cast("long").alias("change")), 500))
 query("durations", "select c_custkey as k, cast((c_custkey * 1000) // (44100 * (c_custkey % 2 + 1)) as bigint) as ms, cast(round(c_custkey / 44100.0::double * 1000000 / (c_custkey % 2 + 1)) as bigint) as us from customer")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k"), duration_ms(F.col("c_custkey"), F.lit(44100), F.col("c_custkey") % 2 + 1).alias("ms"), duration_us(F.col("c_custkey"), F.lit(44100), F.col("c_custkey") % 2 + 1).alias("us")))
 
