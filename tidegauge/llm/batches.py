@@ -1,6 +1,6 @@
 """Exchange of content keys between batches of documents.
 
-A batch is a set of documents of some megabytes, chosen by a hash of the id and held as compressed rows.
+A batch is a set of documents of some megabytes, chosen by a hash of id and text and held as compressed rows.
 A batch names its content (chunks, strings) by 64-bit keys and sends each distinct key once, with the
 smallest document that holds it, to the key's bucket. The bucket finds which batches' keys occur
 elsewhere or belong to a smaller document, and answers every batch with one bit a key, in the order in
@@ -10,14 +10,15 @@ documents hold it; texts and keys move as blobs, so a row is a batch's share of
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism
@@ -58,7 +59,7 @@ def sizes(docs: DataFrame, bytes_per_key: float, batch_bytes: int = BATCH_BYTES)
 def gather(docs: DataFrame, n: Sizes) -> DataFrame:
     """batch, docs, lens, texts: documents by batch, many to a row, texts compressed; dealt out by batch."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(n.batches)).cast("int"))
+    rows = rows.withColumn("batch", batch_of(F.col("doc"), F.xxhash64("text"), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -75,6 +76,7 @@ def gather(docs: DataFrame, n: Sizes) -> DataFrame:
                     [pa.array([to[own[0]]], pa.int32()), pa.array([doc[own].tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([press.compress(b"".join(texts))], pa.binary())],
                     names=["batch", "docs", "lens", "texts"],
                 )
+            release()
 
     packed = rows.select("doc", "text", "batch").mapInArrow(run, "batch int, docs binary, lens binary, texts binary")
     return packed.repartition(parallelism(docs.sparkSession), "batch")
@@ -95,7 +97,12 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return np.array([ids[k] for k in order], np.int64), [texts[k] for k in order]
 
 
-def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def batch_of(doc: Column, text_hash: Column, n: Sizes) -> Column:
+    """A row's batch. The text takes part, so that rows of one id do not meet in one batch."""
+    return F.pmod(F.xxhash64(doc, text_hash), F.lit(n.batches)).cast("int")
+
+
+def slices(texts: Iterable[bytes], size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``size`` bytes, with the number of texts before each."""
     first, held, total = 0, [], 0
     for k, t in enumerate(texts):
@@ -108,6 +115,37 @@ def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[
         yield first, held
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine; idle workers stay for the next stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def released(run):
+    """A function of a table, after which memory is released."""
+
+    def call(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return call
+
+
+def released_both(run):
+    """The same for a function of two tables."""
+
+    def call(table: pa.Table, side: pa.Table) -> pa.Table:
+        try:
+            return run(table, side)
+        finally:
+            release()
+
+    return call
+
+
 class Sending:
     """A batch's distinct keys in the order in which they are sent, and the smallest document of each.
 
@@ -187,7 +225,7 @@ def answer(sent: DataFrame, n: Sizes, kind: int, exact: bool, owners: bool) -> D
             pa.array([np.packbits(parts[k]).tobytes() for k in keep], pa.binary()),
         ], names=["batch", "kind", "bucket", "bits"])
 
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
+    return sent.groupBy("bucket").applyInArrow(released(run), ANSWER)
 
 
 def bits_of(side: pa.Table, kind: int) -> dict[int, bytes]:

@@ -139,5 +139,5 @@ def remove_passages(docs: DataFrame, apart: int = 12, most: int = 256, passage:
 
     names = ["doc_id", "text_hash", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_text"]
     kinds = [pa.int64()] * 6 + [pa.string()]
-    answers = B.answer(by.applyInArrow(send, B.SENT), n, 1, exact=True, owners=True)
-    return by.cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, text_hash long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_text string")
+    answers = B.answer(by.applyInArrow(B.released(send), B.SENT), n, 1, exact=True, owners=True)
+    return by.cogroup(answers.groupBy("batch")).applyInArrow(B.released_both(finish), "doc_id long, text_hash long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_text string")

@@ -162,7 +162,7 @@ def _frequencies(sent: DataFrame, n: B.Sizes) -> DataFrame:
             pa.array([np.packbits(np.concatenate((parts[k] & 1, parts[k] >> 1))).tobytes() for k in keep], pa.binary()),
         ], names=["batch", "kind", "bucket", "bits"])
 
-    return sent.groupBy("bucket").applyInArrow(run, B.ANSWER)
+    return sent.groupBy("bucket").applyInArrow(B.released(run), B.ANSWER)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     least = facts.groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
     copies = cut(facts.join(least, same).filter("doc > least").select("doc", "least", "h1").distinct())
     known = copies.select(
-        F.pmod(F.xxhash64("doc"), F.lit(n.batches)).cast("int").alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
+        B.batch_of(F.col("doc"), F.col("h1"), n).alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
         F.expr("unhex(concat(lpad(hex(doc), 16, '0'), lpad(hex(h1), 16, '0')))").alias("bits"),
     )
 
@@ -243,9 +243,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                     add(2, None, i, len(t), single, held.tobytes(), np.packbits(odd).view(np.int64).tolist())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    asked = by.cogroup(known.groupBy("batch")).applyInArrow(send, B.SENT)
+    asked = by.cogroup(known.groupBy("batch")).applyInArrow(B.released_both(send), B.SENT)
     levels = _frequencies(asked, n)
-    indexed = cut(by.cogroup(known.unionByName(levels).groupBy("batch")).applyInArrow(index, "kind int, key long, doc long, n long, own long, tokens binary, parity array<long>"))
+    indexed = cut(by.cogroup(known.unionByName(levels).groupBy("batch")).applyInArrow(B.released_both(index), "kind int, key long, doc long, n long, own long, tokens binary, parity array<long>"))
 
     keys = indexed.filter("kind = 1").select("key", "doc", "own")
     sets = indexed.filter("kind = 2").select("doc", "n", "own", "tokens", "parity")

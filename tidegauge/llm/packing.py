@@ -32,7 +32,7 @@ GRIDS = ((64, 3), (128, 3), (32, 4))
 SHARES = (1.0, 0.7, 0.4, 0.2, 0.1)
 BUCKET_BITS = 10
 #: Of a worker's table of words: slots as a power of two, of which two thirds are used at most, and ids; a full one is emptied.
-SLOTS, POOL = 22, 1 << 24
+SLOTS, POOL = 20, 1 << 22
 
 
 class _Table:
@@ -44,7 +44,7 @@ class _Table:
     def clear(self) -> None:
         self.keys = np.zeros(1 << SLOTS, np.uint64)
         self.start, self.size = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
-        self.pool, self.used, self.held = np.zeros(1 << 20, np.uint32), 0, 0
+        self.pool, self.used, self.held = np.zeros(1 << 18, np.uint32), 0, 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each fingerprint, -1 for one that is not there."""
@@ -185,7 +185,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             which, piece, start, size, crc = [], [], [], [], []
-            encoded = ((first + k, got.tobytes() + b"\0\0\0\0") for first, held in B.slices([t or b"" for t in texts.cast(pa.binary()).to_pylist()]) for k, got in enumerate(token_ids(held, vocabulary)))
+            encoded = ((first + k, got.tobytes() + b"\0\0\0\0") for first, held in B.slices(t.as_py() or b"" for t in texts.cast(pa.binary())) for k, got in enumerate(token_ids(held, vocabulary)))
             for k, got in encoded:
                 for p, at in enumerate(range(0, len(got), 4 * length)):
                     part = got[at : at + 4 * length]
@@ -198,6 +198,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
                 [ids.take(pa.array(which, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            B.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -155,9 +155,10 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, held in B.slices(b.column(0).to_pylist()):
+            for _, held in B.slices(t.as_py() for t in b.column(0)):
                 code, n = np.unique(Measured(held, False).votes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["votes", "n"])
+            B.release()
 
     counted = docs.select(text).mapInArrow(patterns, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 3 ** len(LABELLERS) rows
     counts = {r["votes"]: r["n"] for r in counted}
@@ -167,7 +168,7 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, held in B.slices(b.column(1).to_pylist()):
+            for first, held in B.slices(t.as_py() for t in b.column(1)):
                 m = Measured(held, True)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), pa.array(m.votes()), pa.array([r.tobytes() for r in m.features], pa.binary())], names=["h", "votes", "x"])
 
@@ -187,12 +188,13 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, labels = model.value
         for b in batches:
-            for first, held in B.slices([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]):
+            for first, held in B.slices(t.as_py() or b"" for t in b.column(0).cast(pa.binary())):
                 m = Measured(held, True)
                 votes = m.votes()
                 p = 1 / (1 + np.exp(-np.clip(m.features @ w + bias, -50, 50)))
                 part = b.slice(first, len(held))
                 new = [pa.array(votes), pa.array([labels[v] for v in votes.tolist()]), pa.array(p), pa.array(p >= threshold)]
                 yield pa.RecordBatch.from_arrays([part.column(1), *new, *part.columns[2:]], names=["doc_id", "votes", "label", "score", "keep", *kept])
+            B.release()
 
     return docs.select(F.col("text").alias("_t"), "doc_id", *kept).mapInArrow(scored, schema)

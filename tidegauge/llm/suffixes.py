@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False) -
     copies = facts.join(least, same).filter("doc > least").select("doc", "h1").distinct()
     # Kind 0 of a batch's answers: such a copy's id and text hash, 8 bytes each, in ``bits``.
     copies = copies.select(
-        F.pmod(F.xxhash64("doc"), F.lit(n.batches)).cast("int").alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
+        B.batch_of(F.col("doc"), F.col("h1"), n).alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
         F.expr("unhex(concat(lpad(hex(doc), 16, '0'), lpad(hex(h1), 16, '0')))").alias("bits"),
     )
 
@@ -189,10 +189,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False) -
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     by = packed.groupBy("batch")
-    one = B.answer(by.cogroup(copies.groupBy("batch")).applyInArrow(send_first, B.SENT), n, 1, exact=False, owners=False)
+    one = B.answer(by.cogroup(copies.groupBy("batch")).applyInArrow(B.released_both(send_first), B.SENT), n, 1, exact=False, owners=False)
     side = copies.unionByName(one)
-    two = B.answer(by.cogroup(side.groupBy("batch")).applyInArrow(send_second, B.SENT), n, 2, exact=True, owners=True)
-    return by.cogroup(side.unionByName(two).groupBy("batch")).applyInArrow(finish, schema)
+    two = B.answer(by.cogroup(side.groupBy("batch")).applyInArrow(B.released_both(send_second), B.SENT), n, 2, exact=True, owners=True)
+    return by.cogroup(side.unionByName(two).groupBy("batch")).applyInArrow(B.released_both(finish), schema)
 
 
 def _group(ids: np.ndarray) -> np.ndarray:
