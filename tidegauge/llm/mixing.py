@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import words
+from .common import cut, words
 
 #: Order buckets of a source: rows of a hot source are ranked in this many pieces.
 BUCKET_BITS = 12
@@ -101,11 +101,13 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     others; documents without words take nothing; no rows give no rows; other columns are ignored.
     """
     source = F.col("source")
+    # Written once: words are counted once, and what follows reads a few numbers a document.
     rows = docs.select(
         "doc_id", F.struct(F.lit(0), *keep).alias("kept"), words(F.col("text")).alias("size"), source,
         F.concat(F.when(source.isNull(), "1").otherwise("0"), F.coalesce(source.cast("string"), F.lit(""))).alias("skey"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("h"),
-    ).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
+    )
+    rows = cut(rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int")))
     goal = targets(rows, weights, share, cap, floor)
     goal = goal.withColumn("want", F.round("target").cast("long")).withColumn("passes", F.expr("if(source_size = 0, 0L, want div source_size)")).withColumn("rest", F.expr("if(source_size = 0, 0L, want % source_size)"))
     # Running sums in each source's order, in pieces: a bucket's start from the totals of those before it, then inside the bucket.
