@@ -32,7 +32,7 @@ GRIDS = ((64, 3), (128, 3), (32, 4))
 SHARES = (1.0, 0.7, 0.4, 0.2, 0.1)
 BUCKET_BITS = 10
 #: Of a worker's table of words: slots as a power of two, of which two thirds are used at most, and ids; a full one is emptied.
-SLOTS, POOL = 20, 1 << 22
+SLOTS, POOL = 21, 1 << 23
 
 
 class _Table:
