@@ -173,6 +173,19 @@ def test_encoder_forgets_and_still_agrees(vocabulary, monkeypatch):
             assert got.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_of_a_slice_larger_than_the_table(vocabulary, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SLOTS", 9)
+    monkeypatch.setattr(packing, "POOL", 64)
+    t, e = Tokenizer.from_file(vocabulary), packing.Encoder(vocabulary)
+    run = "".join(f"q{k}Z" for k in range(200))  # ids of one word that the table cannot hold
+    many = " ".join(f"{k}x{k}" for k in range(600))  # more words than the table has slots
+    for texts in (["known words."], [f"known {run} words."], ["known new"], [f"known {many}", run, "", many], ["known words."]):
+        for text, got in zip(texts, e([x.encode() for x in texts]), strict=True):
+            assert got.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 # --- 6
 
 def test_mix(docs):

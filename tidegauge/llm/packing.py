@@ -31,7 +31,8 @@ GRIDS = ((64, 3), (128, 3), (32, 4))
 #: Shares of the fitted repeats that are tried.
 SHARES = (1.0, 0.7, 0.4, 0.2, 0.1)
 BUCKET_BITS = 10
-#: Of a worker's table of words: slots as a power of two, of which two thirds are used at most, and ids; a full one is emptied.
+#: Of a worker's table of words: slots as a power of two, of which two thirds are used at most, and ids; a full one is emptied,
+#: and words that would not fit an empty one are not kept. What a slice of texts needs never depends on it.
 SLOTS, POOL = 21, 1 << 23
 
 
@@ -58,7 +59,9 @@ class _Table:
         return at
 
     def add(self, h: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
-        """Distinct new fingerprints with their ids end to end; when too much is held, all else is forgotten first."""
+        """Distinct new fingerprints with their ids end to end; when too much is held, all else is forgotten first, and more than fits is not kept."""
+        if 3 * len(h) > 2 * len(self.keys) or len(ids) > POOL:
+            return
         if 3 * (self.held + len(h)) > 2 * len(self.keys) or self.used + len(ids) > POOL:
             self.clear()
         while self.used + len(ids) > len(self.pool):
@@ -76,10 +79,14 @@ class _Table:
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of slots end to end, and where each one's end."""
-        size = self.size[at].astype(np.int64)
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)], ends
+        return _runs(self.pool, self.start[at], self.size[at].astype(np.int64))
+
+
+def _runs(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``pool`` end to end, and where each one ends."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(start - (ends - size), size) + np.arange(total)], ends
 
 
 class Encoder:
@@ -104,20 +111,25 @@ class Encoder:
         start, stop, h = _fingerprints(data)
         distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
         at = self.words.find(distinct)
-        if (new := np.flatnonzero(at < 0)).size:
+        known, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        # The ids of this slice's words: copied from the table before it learns, as it may be emptied or too small for them.
+        pool, ends = self.words.take(at[known])
+        begin, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        size[known] = np.diff(ends, prepend=0)
+        begin[known] = ends - size[known]
+        if new.size:
             raw = data.tobytes()
-            self._learn([raw[a:z].decode() for a, z in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)], distinct[new])
-            at = self.words.find(distinct)
-            if (at < 0).any():  # the table was emptied on the way
-                lost = np.flatnonzero(at < 0)
-                self._learn([raw[a:z].decode() for a, z in zip(start[first[lost]].tolist(), stop[first[lost]].tolist(), strict=True)], distinct[lost])
-                at = self.words.find(distinct)
-        ids, ends = self.words.take(at[of])
+            got, ends = self._learn([raw[a:z].decode() for a, z in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)], distinct[new])
+            size[new] = np.diff(ends, prepend=0)
+            begin[new] = len(pool) + ends - size[new]
+            pool = np.concatenate((pool, got))
+        ids, ends = _runs(pool, begin[of], size[of])
         ends = np.concatenate(([0], ends))
         edge = ends[np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))]
         return [ids[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
-    def _learn(self, words: list[str], h: np.ndarray) -> None:
+    def _learn(self, words: list[str], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new words end to end, and where each one's end; the table gets them, too, if they fit."""
         parts = [(m[1].lower(), m[2]) if (m := self.LATIN(w)) else (w, "") for w in words]
         pieces = list({p for pair in parts for p in pair if p})
         data = np.frombuffer(" ".join(pieces).encode() + b" ", np.uint8)
@@ -136,6 +148,7 @@ class Encoder:
         values = found + [got[pieces[k]] for k in fresh.tolist()]
         values = [values[k] for k in one.tolist()]
         self.words.add(keys, np.frombuffer(b"".join(values), "<u4"), np.cumsum([len(v) // 4 for v in values]))
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum([len(v) // 4 for v in found])
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Stems are one piece to the tokenizer each, so a text of them is numbered by word; other words are given one by one."""
