@@ -28,10 +28,17 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are at least 0.8 alike: that of the smallest id. Of rows with the same id and text one stays."""
-    found = ngrams.near_duplicates(docs, words=5, num=80, den=100)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("rows"))
-    kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    """One row of each group whose five-word shingles are at least 0.8 alike: that of the smallest id, null after all others. Of rows with the same id and text one stays.
+
+    Rows are told apart by a 64-bit key of id and text, so rows that share an id, or have none, link on their own.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    found = ngrams.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), words=5, num=80, den=100)
+    rows = found.groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count("*").alias("rows"))
+    ids = keyed.select("key", "doc_id").distinct()
+    first = rows.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "rows")).alias("x")).select(F.col("x.key").alias("first_key"), F.col("x.rows").alias("rows"))
+    kept = keyed.join(first, F.col("key") == F.col("first_key"))
     once = kept.filter("rows = 1").select(*COLUMNS)
     return once.unionByName(kept.filter("rows > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 

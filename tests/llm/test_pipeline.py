@@ -37,3 +37,18 @@ def test_stages_of_nothing(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [
+        (1, text("a")), (None, text("a") + " end"), (None, text("b")), (None, text("c")), (None, text("c") + " end"), (None, None), (None, ""),
+        (5, text("a") + " more"), (5, text("d")), (5, text("d")), (7, text("d") + " end"), (5, text("e")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], cases.SCHEMA).repartition(3)
+    kept = sorted(((x.doc_id, x.text) for x in p.near_duplicates(spark, docs, "").collect()), key=repr)
+    one_c = [x for x in kept if x[1] and x[1].startswith("c")]
+    assert len(one_c) == 1 and one_c[0] in rows
+    assert [x for x in kept if x not in one_c] == sorted([(1, text("a")), (None, text("b")), (None, None), (None, ""), (5, text("d")), (5, text("e"))], key=repr)
