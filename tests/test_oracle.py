@@ -34,6 +34,19 @@ def test_same_rows(spark, duck, name):
     assert got == normal(c.fetchall(), [x[0] for x in c.description])
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_short_tracks_pass_through(spark):
+    """Short tracks are only in the larger tables."""
+    con, d = duckdb.connect(), "/root/testdata/sf0.1"
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select * from '{d}/events.parquet'")
+    short = con.execute("select count(*) from (select user_id from events group by 1 having count(*) <= 49)").fetchone()[0]
+    df = queries.QUERIES["down_odd_resolution_all"](spark, d)
+    got = normal([tuple(r) for r in df.collect()], df.columns)
+    c = con.execute(queries.ORACLES["down_odd_resolution_all"])
+    assert short > 0 and got == normal(c.fetchall(), [x[0] for x in c.description])
+
+
 def test_entry_imports_without_optional_folder():
     import __spark_entry__ as e
 

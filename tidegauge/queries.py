@@ -97,6 +97,8 @@ for _a in ("rms", "peak", "average", "median"):
 query("down_odd_resolution", f"with {sql_bins(49, EVENTS.replace('event_type', 'user_id'))} select track, bin, round(amp, 6) as amp from bins")(
     lambda s, d: rounded(B.downsample(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value").filter("frames > 49"), 49, "rms"), "amp"))
 ORACLES["down_odd_resolution"] += " where track in (select track from fr where frames > 49)"
+query("down_odd_resolution_all", f"with {sql_bins(49, EVENTS.replace('event_type', 'user_id'))} select track, bin, round(amp, 6) as amp from bins where track in (select track from fr where frames > 49) union all select track, cast(frame as bigint) as bin, round(v, 6) as amp from fr where frames <= 49")(
+    lambda s, d: rounded(B.downsample(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"), 49, "rms"), "amp"))
 
 EMB = "em as (select vec_id as track, cast(embedding as double[]) as a from embeddings)"
 EMB_LONG = f"{EMB}, lo as (select track, unnest(range(len(a))) as i, unnest(a) as x, len(a) as n from em)"
