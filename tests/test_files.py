@@ -73,6 +73,15 @@ def test_header_checksum_and_concatenation(spark):
         wav.concatenate(parts.withColumn("sample_rate", F.col("idx") + 8000)).collect()
 
 
+def test_checksum_of_whole_texts(spark, tmp_path):
+    from tidegauge import queries
+
+    texts = ["a" * 5000, "é漢😀" * 300, "", None, "z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.path: r.checksum for r in queries.QUERIES["byte_checksum_all"](spark, str(tmp_path)).collect()}
+    assert got == {str(k): f"{sum((t or '').encode()):08x}" for k, t in enumerate(texts)}
+
+
 def test_json(spark):
     row = spark.createDataFrame([([0.1, 0.5], "[0.1, 0.5, 0.8]", "no list")], "a array<double>, t string, u string")
     w = row.select(serde.waveform_from_json(serde.waveform_to_json(serde.waveform(F.col("a"), kind="odd"))).alias("w")).first().w

@@ -380,6 +380,8 @@ query("header_fields", """select cast(doc_id as varchar) as path, case when doc_
 query("pattern_counts", "select cast(doc_id as varchar) as path, cast(case when doc_id % 4 = 0 then 1 else 0 end as bigint) as mp3_frames, cast(case when doc_id % 4 = 2 then 1 else 0 end as bigint) as ogg_pages from documents")(lambda s, d: headers.count_patterns(_marked(s, d)))
 query("byte_checksum", "select cast(doc_id as varchar) as path, lpad(lower(to_hex(list_sum(list_transform(range(1, strlen(c) + 1), lambda k: ascii(c[k]))) :: bigint)), 8, '0') as checksum from (select doc_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 200) as c from documents) where strlen(c) > 0")(
     lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200).alias("c")).filter("c <> ''").select("path", wav.checksum(F.col("c").cast("binary")).alias("checksum")))
+query("byte_checksum_all")(
+    lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum")))
 query("harmonics", "select f as frame, round(greatest(-1.0, least(1.0, (0.5 * sin(w) + 0.25 * sin(2 * w) + 0.125 * sin(3 * w)) * (1 + 0.3 * sin(2 * t)) * 0.7)), 6) as v from (select f, f / 8000.0::double as t, 2 * pi() * 440 * (f / 8000.0::double) as w from (select unnest(range(2000)) as f))")(
     lambda s, d: s.range(2000).select(F.col("id").alias("frame"), r6(wav.harmonics(F.col("id"), F.lit(0), 8000)).alias("v")))
 query("file_listing", f"with {FILES} select {SQL_EXT} as extension, count(*) as n from fl group by 1")(lambda s, d: headers.listing(files(s, d)).groupBy("extension").agg(F.sum("n").alias("n")))
