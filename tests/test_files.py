@@ -73,6 +73,16 @@ def test_header_checksum_and_concatenation(spark):
         wav.concatenate(parts.withColumn("sample_rate", F.col("idx") + 8000)).collect()
 
 
+def test_large_file_is_decoded(spark, tmp_path):
+    n = P.DECODE_LIMIT // 4 + 1000
+    x = np.zeros((n, 2))
+    x[-1] = 0.5, -0.5
+    (tmp_path / "long.wav").write_bytes(wav.encode(x.ravel(), 44100, 2, 16))
+    del x
+    r = wav.read_signals(spark, str(tmp_path)).select("error", "channels", F.size("samples").alias("n"), F.slice("samples", -2, 2).alias("end")).first()
+    assert (r.error, r.channels, r.n) == (None, 2, 2 * n) and np.allclose(r.end, [0.5, -0.5], atol=1e-4)
+
+
 def test_checksum_of_whole_texts(spark, tmp_path):
     from tidegauge import queries
 

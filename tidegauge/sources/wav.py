@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, CorruptedFile, DecodingError, SignalError, UnsupportedFormat
-from ..plans.files import DECODE_LIMIT, format_of
+from ..plans.files import format_of
 
 SIGNALS = "path string, samples array<float>, sample_rate int, channels int, duration_us long, error string"
 
@@ -93,7 +93,8 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
     """path, samples, sample_rate, channels, duration_us, error of files with path and content.
 
     A file that cannot be decoded has null samples and the code of its error, so it does not end the
-    job. ``trim`` frames of encoder delay are dropped from the start.
+    job. ``trim`` frames of encoder delay are dropped from the start. Files of any size are decoded, each
+    in one task, so a file and its samples have to fit a row.
     """
     decoders = dict(DECODERS)
 
@@ -105,16 +106,13 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
                     raw = content.as_py()
                     if fmt not in decoders:
                         raise UnsupportedFormat(fmt)
-                    if raw is not None and len(raw) > DECODE_LIMIT:
-                        error = "memory"
-                    else:
-                        samples, rate, channels = decoders[fmt](raw or b"")
-                        samples = samples[trim * channels :]
-                        us = round(len(samples) / rate * 1e6 / channels)
+                    samples, rate, channels = decoders[fmt](raw or b"")
+                    samples = samples[trim * channels :]
+                    us = round(len(samples) / rate * 1e6 / channels)
                 except SignalError as e:
                     error = e.code
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path], pa.string()), pa.array([None if samples is None else samples.astype(np.float32)], pa.list_(pa.float32())), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.array([us], pa.int64()), pa.array([error], pa.string())],
+                    [pa.array([path], pa.string()), pa.array([None if samples is None else np.asarray(samples, np.float32)], pa.list_(pa.float32())), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.array([us], pa.int64()), pa.array([error], pa.string())],
                     names=["path", "samples", "sample_rate", "channels", "duration_us", "error"],
                 )
 
