@@ -13,13 +13,23 @@ def test_waveforms_of_files(spark, tmp_path):
     (tmp_path / "up.wav").write_bytes(wav.encode(x, 8000))
     (tmp_path / "stereo.wav").write_bytes(wav.encode(x, 8000, 2))
     (tmp_path / "none.wav").write_bytes(wav.encode([], 8000))
+    (tmp_path / "song.MP3").write_bytes(b"ID3" + b"\0" * 60)
     (tmp_path / "bad.wav").write_bytes(b"RIFF" + b"\0" * 60)
     with Engine(spark, WaveformConfig(20)) as e:
         rows = {r.path.rsplit("/", 1)[1]: r for r in e.waveforms(str(tmp_path)).collect()}
         up = rows["up.wav"].amplitudes
         assert len(up) == 20 and up[-1] == 1.0 and up == sorted(up)
-        assert (rows["stereo.wav"].error, rows["none.wav"].error, rows["bad.wav"].error) == ("configuration", "invalid_waveform", "corrupted")
-        assert e.waveforms_json(str(tmp_path)).count() == 1
+        assert (rows["stereo.wav"].error, rows["none.wav"].error, rows["bad.wav"].error, rows["song.MP3"].error) == (None, "invalid_waveform", "corrupted", "unsupported_format")
+        two = x.reshape(-1, 2).mean(1)
+        want = np.array([np.sqrt(np.mean(two[k * 200 : k * 200 + 200] ** 2)) for k in range(20)])
+        assert np.allclose(rows["stereo.wav"].amplitudes, want / want.max(), atol=1e-3)
+        assert e.waveforms_json(str(tmp_path)).count() == 2
+        # Files read in ranges give what whole ones give.
+        ranged = {r.path.rsplit("/", 1)[1]: r for r in e.waveforms(str(tmp_path), large=0).collect()}
+        assert ranged.keys() == rows.keys()
+        for name, r in rows.items():
+            assert (ranged[name].error, ranged[name].duration_us, ranged[name].sample_rate) == (r.error, r.duration_us, r.sample_rate)
+            assert r.amplitudes is None or np.allclose(ranged[name].amplitudes, r.amplitudes, atol=1e-9)
         assert e.is_supported("a.b.MP3") and not e.is_supported("a")
         with pytest.raises(UnsupportedFormat):
             e.waveforms("/x/y.xyz")
@@ -49,7 +59,7 @@ def test_headers(spark):
     m = {r.path: r.m for r in f.select("path", headers.mp3_header(F.col("content")).alias("m")).collect()}
     assert (m["a_small_x.mp3"].version, m["a_small_x.mp3"].layer, m["a_small_x.mp3"].bitrate_index) == (3, 1, 9) and m["c"] is None and m["d"] is None
     assert headers.damaged(f).first().path == "corrupted_b.ogg"
-    assert {r.size_tag for r in headers.listing(f).collect()} == {"small", ""}
+    assert {r.size_tag for r in headers.listing(f).collect()} == {"small", ""} and sum(r.n for r in headers.listed(f).collect()) == 4
     x = f.select("path", headers.signature_matches(F.col("content"), F.lit("MP3")).alias("s")).collect()
     assert {r.path: r.s for r in x} == {"a_small_x.mp3": True, "corrupted_b.ogg": False, "c": False, "d": False}
 

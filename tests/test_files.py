@@ -33,7 +33,7 @@ def test_chunks(spark, size, chunk, lengths):
 def test_chunks_come_back(spark):
     data = bytes(range(256))
     f = spark.createDataFrame([("a", data, 256)], "path string, content binary, size long")
-    assert bytes(P.reassemble(P.with_content(P.chunks(f, 100), f)).first().content) == data
+    assert bytes(P.reassemble(P.with_content(f, 100)).first().content) == data
     assert P.chunk_count(F.lit(0)) is not None
 
 
@@ -125,3 +125,24 @@ def test_geometry_edges(spark):
     bar = geometry.bars(lone, 100, 0.0).first()
     assert (bar.h, bar.top, bar.played) == (25.0, 37.5, False)
     assert arrays.OF.keys() == {"rms", "peak", "average", "median"}
+
+
+def test_chunks_of_samples(spark, tmp_path):
+    x = np.sin(np.arange(5000) * 0.01) * 0.9
+    for bits in (16, 24, 32):
+        (tmp_path / f"{bits}.wav").write_bytes(wav.encode(x, 8000, 2, bits))
+    extra = wav.encode(x, 8000, 2, 16)
+    (tmp_path / "list.wav").write_bytes(extra[:36] + b"LIST" + (5).to_bytes(4, "little") + b"words\0" + extra[36:])
+    (tmp_path / "none.wav").write_bytes(wav.encode([], 8000, 2))
+    (tmp_path / "bad.wav").write_bytes(b"RIFF" + b"\0" * 60)
+    rows = wav.read_chunks(spark, str(tmp_path), chunk_frames=700).orderBy("path", "idx").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
+    for name in ("16.wav", "24.wav", "32.wav", "list.wav"):
+        held = by[name]
+        assert [r["first"] for r in held] == [0, 700, 1400, 2100] and [r.is_last for r in held] == [False] * 3 + [True] and {r.frames for r in held} == {2500}
+        assert np.allclose(np.concatenate([r.samples for r in held]), x, atol=1e-4)
+    assert by["bad.wav"][0].error == "corrupted" and by["none.wav"][0].samples == [] and by["none.wav"][0].is_last
+    whole = {r.path: r.samples for r in wav.concatenate(wav.read_chunks(spark, str(tmp_path), 700, "16.wav")).collect()}
+    assert np.allclose(*whole.values(), x, atol=1e-4)

@@ -26,7 +26,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["wf_rms_events", "wf_rms_events_long", "down_odd_resolution", "down_lines_median", "down_zero_fill", "peaks_min_distance", "pipeline_music", "disp_down_rms", "disp_up_linear", "geom_line", "chunk_reassemble", "op_report", "sample_table_seek", "stream_bins", "wav_decode"])
+@pytest.mark.parametrize("name", ["wf_rms_events", "wf_rms_events_long", "down_odd_resolution", "down_lines_median", "down_zero_fill", "peaks_min_distance", "pipeline_music", "disp_down_rms", "disp_up_linear", "geom_line", "chunk_reassemble", "op_report", "sample_table_seek", "stream_bins", "wav_decode", "wav_header", "signatures", "header_fields", "byte_checksum", "wf_array_smooth", "memory_curve", "position_changes", "op_bottlenecks", "container_map", "samples_concatenate", "file_listing"])
 def test_same_rows(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     got = normal([tuple(r) for r in df.collect()], df.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import WaveformConfig
 from .errors import Disposed, UnsupportedFormat
 from .functions import serde
-from .operators.signals import waveform_array
+from .operators.signals import Signals, waveform_array
 from .plans import files as P
 from .sources import wav
 
@@ -58,21 +58,40 @@ class Engine:
         self._open()
         return P.formats(self.spark)
 
-    def waveforms(self, path: str, config: WaveformConfig | None = None, channels: int = 1) -> DataFrame:
-        """path, amplitudes, duration_us, sample_rate, error of all WAVE files below ``path`` with ``channels`` channels."""
+    def waveforms(self, path: str, config: WaveformConfig | None = None, large: int = P.IN_MEMORY) -> DataFrame:
+        """path, amplitudes, duration_us, sample_rate, error of all audio files below ``path``, channels mixed.
+
+        WAVE files of more than ``large`` bytes are read in ranges of frames and binned as rows; all others
+        are decoded whole. Formats without a registered decoder give rows with the error ``unsupported_format``.
+        """
         self._open()
         if "." in path.rsplit("/", 1)[-1] and "*" not in path and not self.is_supported(path):
             raise UnsupportedFormat(path)
         c = config or self.config
-        rows = wav.read_signals(self.spark, path)
-        amps = F.when((F.size("samples") > 0) & (F.col("channels") == channels), waveform_array(F.col("samples"), c, channels))
-        error = F.coalesce("error", F.when(F.size("samples") == 0, "invalid_waveform"), F.when(F.col("channels") != channels, "configuration"))
-        return rows.select("path", amps.alias("amplitudes"), "duration_us", "sample_rate", error.alias("error"))
-
-    def waveforms_json(self, path: str, config: WaveformConfig | None = None, channels: int = 1) -> DataFrame:
+        rows = wav.read_signals(self.spark, path, most=large)
+        others = [e for f in P.FORMATS for e in f[2] if e != "wav"]
+        rows = rows.unionByName(wav.read_signals(self.spark, path, "*.{" + ",".join(x for e in others for x in (e, e.upper())) + "}", least=large + 1))
+        amps = F.when(F.size("samples") > 0, waveform_array(F.col("samples"), c, F.col("channels")))
+        error = F.coalesce("error", F.when(F.size("samples") == 0, "invalid_waveform"))
+        whole = rows.select("path", amps.alias("amplitudes"), "duration_us", "sample_rate", error.alias("error"))
+        return whole.unionByName(self._streamed(path, c, large + 1))
+
+    def _streamed(self, path: str, c: WaveformConfig, least: int) -> DataFrame:
+        """The same of WAVE files of ``least`` bytes or more, no one of which is ever held whole."""
+        chunks = wav.read_chunks(self.spark, path, least=least)
+        bins = Signals(wav.chunk_frames(chunks)).waveform(c).bins
+        grid = F.sequence(F.lit(0), F.lit(c.resolution - 1))
+        # A bin without frames is 0, as in the array form.
+        made = bins.groupBy("track").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), "amp"))).alias("at"), F.max("bin").alias("last"))
+        made = made.select("track", F.transform(grid, lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0))).alias("amplitudes"))
+        files = chunks.filter("idx = 0").select("path", "frames", "sample_rate", F.coalesce("error", F.when(F.col("frames") == 0, "invalid_waveform")).alias("error"))
+        rows = files.join(made, F.col("path") == F.col("track"), "left")
+        return rows.select("path", "amplitudes", F.round(F.col("frames") / F.col("sample_rate") * 1e6).cast("long").alias("duration_us"), "sample_rate", "error")
+
+    def waveforms_json(self, path: str, config: WaveformConfig | None = None) -> DataFrame:
         """path and the waveform as JSON, of the files without error."""
         c = config or self.config
-        rows = self.waveforms(path, c, channels).filter("error is null")
+        rows = self.waveforms(path, c).filter("error is null")
         return rows.select("path", serde.waveform_to_json(serde.waveform(F.col("amplitudes"), F.col("duration_us"), kind=c.kind, normalized=c.normalize)).alias("json"))
 
     def on_pressure(self, callback) -> None:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..errors import ConfigurationError
 from ..functions.scalar import bin_of
+from .ordered import Ordered
 
 
 def rms(x: Column) -> Column:
@@ -33,11 +31,15 @@ def median(x: Column) -> Column:
 OF = {"rms": rms, "peak": peak, "average": average, "median": median}
 
 
-def frames(rows: DataFrame, track: str, order: list, value: Column | str) -> DataFrame:
-    """track, frame, frames, v of rows in order.
+def frames(rows: DataFrame, track: str, order: list[str], value: Column | str, pieces: int | None = None) -> DataFrame:
+    """track, frame, frames, v of rows in order, for tracks of any length: see ``ordered``."""
+    v = F.col(value) if isinstance(value, str) else value
+    named = rows.select(F.col(track).alias("track"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], v.cast("double").alias("v"))
+    return Ordered(named, "track", [f"_o{k}" for k in range(len(order))], pieces).numbered().select("track", "frame", "frames", "v")
 
-    One window a track gives both columns. A track that is too long for a task is numbered by ``long_frames``.
-    """
+
+def short_frames(rows: DataFrame, track: str, order: list, value: Column | str) -> DataFrame:
+    """The same for tracks that are known to be short: one window a track, which a task sorts and holds."""
     w = W.partitionBy(track)
     v = F.col(value) if isinstance(value, str) else value
     return rows.select(
@@ -48,34 +50,6 @@ def frames(rows: DataFrame, track: str, order: list, value: Column | str) -> Dat
     )
 
 
-def long_frames(rows: DataFrame, track: str, order: list[str], value: str, folder: str | None = None) -> DataFrame:
-    """The same as ``frames`` for tracks of any length: ranges of (track, order), counted, then numbered from the counts before them.
-
-    The ranges are written once to ``folder`` (``spark.checkpoint.dir`` if it is not given), because their bounds are drawn anew on every run.
-    """
-    spark = rows.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ConfigurationError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    keys = [f"_o{k}" for k in range(len(order))]
-    named = rows.select(F.col(track).alias("track"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], F.col(value).cast("double").alias("v"))
-    path = f"{folder.rstrip('/')}/frames-{uuid.uuid4().hex}"
-    ranged = named.repartitionByRange("track", *keys).withColumn("part", F.spark_partition_id())
-    ranged.write.parquet(path)
-    laid = spark.read.schema(ranged.schema).parquet(path)
-    each = W.partitionBy("track")
-    # A row for each track and range it lies in.
-    starts = laid.groupBy("track", "part").count().select(
-        "track", "part", F.coalesce(F.sum("count").over(each.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("count").over(each).alias("frames"),
-    )
-    inside = W.partitionBy("track", "part").orderBy(*keys)
-    placed = laid.withColumn("at", F.row_number().over(inside) - 1)
-    return placed.join(starts, ["track", "part"]).select("track", (F.col("before") + F.col("at")).cast("long").alias("frame"), "frames", "v")
-
-
 def downsample(framed: DataFrame, resolution: int, algorithm: str = "rms", short: str = "passthrough") -> DataFrame:
     """track, bin, amp: ``resolution`` bins of each track.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import clamp01
+from .ordered import Ordered
 
 
 def played_width(width: float, position: float, animation: float = 1.0) -> float:
@@ -46,5 +47,4 @@ def filled(bins: DataFrame, width: float, height: float, played: float, left: fl
 def changes(positions: DataFrame) -> DataFrame:
     """track, seq, position: positions within [0, 1], where they differ from the one before."""
     rows = positions.withColumn("position", clamp01(F.col("position")))
-    before = F.lag("position").over(W.partitionBy("track").orderBy("seq"))
-    return rows.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col("position"))).drop("_b")
+    return Ordered(rows, "track", ["seq"]).neighbour("position", "_b").filter(F.col("_b").isNull() | (F.col("_b") != F.col("position"))).drop("_b")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordered import KEYS, Ordered
+
 SLOW_MS, HEAVY_BYTES, HISTORY = 1000, 10 << 20, 100
 
 
@@ -20,7 +22,7 @@ def statistics(ops: DataFrame) -> DataFrame:
     n, ok = F.count(F.lit(1)), F.count_if(F.col("success"))
     return ops.groupBy("name").agg(
         n.alias("n"), ok.alias("ok"), ((n - ok) / n).alias("failure_rate"), F.avg(ms).alias("avg_ms"), F.median(ms).alias("median_ms"),
-        F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.stddev_pop(ms).alias("stddev_ms"), F.avg("memory_bytes").alias("avg_memory"), F.sum("memory_bytes").alias("sum_memory"),
+        F.sum(ms).alias("sum_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.stddev_pop(ms).alias("stddev_ms"), F.avg("memory_bytes").alias("avg_memory"), F.sum("memory_bytes").alias("sum_memory"),
     )
 
 
@@ -31,12 +33,13 @@ def bottlenecks(ops: DataFrame) -> DataFrame:
 
 
 def report(ops: DataFrame) -> DataFrame:
-    """One row: totals, failure rate (NaN without operations), names that are slow or heavy, sorted."""
+    """One row: totals (operations, failures, milliseconds, bytes), failure rate (NaN without operations), names that are slow or heavy, sorted."""
     s = statistics(ops)
     total, failed = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") - F.col("ok")), F.lit(0))
     names = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("name"))))
     return s.agg(
         total.alias("total"), failed.alias("failed"), F.when(total == 0, F.lit(float("nan"))).otherwise(F.try_divide(failed, total)).alias("failure_rate"),
+        F.coalesce(F.sum("sum_ms"), F.lit(0)).alias("total_ms"), F.coalesce(F.sum("sum_memory"), F.lit(0)).alias("total_memory"),
         F.count(F.lit(1)).alias("names"), names(F.col("avg_ms") > SLOW_MS).alias("slow"), names(F.col("avg_memory") > HEAVY_BYTES).alias("heavy"),
     )
 
@@ -68,10 +71,14 @@ def benchmark(results: DataFrame, key: str = "results") -> DataFrame:
 
 def memory_curve(changes: DataFrame, limit: int) -> DataFrame:
     """track, seq, used, level: memory after each change (never below 0), and whether it is normal, high (over 80 %) or critical (over 90 %)."""
-    upto = W.partitionBy("track").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     # A sum that is held at 0 is the plain sum less the lowest that it has been below 0.
-    rows = changes.withColumn("_s", F.sum("change").over(upto)).withColumn("_low", F.least(F.lit(0), F.min("_s").over(upto)))
-    rows = rows.select("track", "seq", (F.col("_s") - F.col("_low")).cast("long").alias("used"))
+    o = Ordered(changes, "track", ["seq"])
+    rows = o.rows.withColumn("_s", F.sum("change").over(o.upto)).withColumn("_low", F.min("_s").over(o.upto))
+    past = o.pieces(F.sum("change").alias("_sum"), F.min("_s").alias("_least"), rows=rows).withColumn("_from", F.coalesce(F.sum("_sum").over(o.before), F.lit(0)))
+    past = past.select(*KEYS, "_from", F.least(F.lit(0), F.min(F.col("_from") + F.col("_least")).over(o.before)).alias("_floor"))
+    rows = o.given(rows, past)
+    low = F.least("_floor", F.col("_from") + F.col("_low"))
+    rows = rows.select("track", "seq", (F.col("_from") + F.col("_s") - low).cast("long").alias("used"))
     share = F.col("used") / limit
     return rows.withColumn("level", F.when(share > 0.9, "critical").when(share > 0.8, "high").otherwise("normal"))
 

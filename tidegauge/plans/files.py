@@ -91,15 +91,19 @@ def chunks(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
-def with_content(plan: DataFrame, files: DataFrame) -> DataFrame:
-    """The chunks of ``plan`` with their bytes."""
-    return plan.join(files.select("path", "content"), "path").withColumn("content", F.expr("substring(content, cast(offset + 1 as int), cast(length as int))"))
+def with_content(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``chunks`` with their bytes: each file's content is cut where it is and travels once, in its parts."""
+    n = F.octet_length("content")
+    at = lambda i: F.substring(F.col("content"), (i * chunk + 1).cast("int"), F.lit(chunk))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), chunk_count(n, chunk) - 1), lambda i: F.struct(i.alias("idx"), at(i).alias("content")))
+    rows = files.filter(n > 0).select("path", n.cast("long").alias("size"), chunk_count(n, chunk).alias("total"), F.explode(parts).alias("p"))
+    return rows.select("path", "p.idx", (F.col("p.idx") * chunk).alias("offset"), F.octet_length("p.content").cast("long").alias("length"), (F.col("p.idx") == F.col("total") - 1).alias("is_last"), "total", F.col("p.content").alias("content"))
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
     """path, content: a file's chunks in order. A file has to fit a row."""
-    whole = F.array_sort(F.collect_list(F.struct("idx", F.hex("content").alias("hex"))))
-    return parts.groupBy("path").agg(F.unhex(F.array_join(F.transform(whole, lambda c: c["hex"]), "")).alias("content"))
+    whole = F.array_sort(F.collect_list(F.struct("idx", "content")))
+    return parts.groupBy("path").agg(F.aggregate(whole, F.lit(b""), lambda s, c: F.concat(s, c["content"])).alias("content"))
 
 
 def decoded_bytes(size: Column, fmt: Column) -> Column:

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .config import WaveformConfig
 from .functions import arrays as A
 from .functions import serde
-from .functions.scalar import clamp01, curve, display_resolution, duration_ms, duration_us, progress_text, seek_position
+from .functions.scalar import clamp01, curve, display_resolution, duration_ms, duration_us, progress_text, seek_position, size_text
 from .operators import bins as B
 from .operators import geometry as G
 from .operators import stats as S
+from .operators.ordered import Ordered
 from .operators.signals import Signals, waveform_array
 from .plans import files as P
 from .sources import headers, wav
@@ -94,11 +94,9 @@ for _a in ("rms", "peak", "average", "median"):
     query(f"down_lines_{_a}", f"with {sql_bins(50, LINES, _a)} select track, bin, round(amp, 6) as amp from bins")(
         lambda s, d, a=_a: rounded(B.downsample(line_frames(s, d), 50, a), "amp"))
 
-query("down_odd_resolution", f"with {sql_bins(49, EVENTS.replace('event_type', 'user_id'))} select track, bin, round(amp, 6) as amp from bins")(
-    lambda s, d: rounded(B.downsample(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value").filter("frames > 49"), 49, "rms"), "amp"))
-ORACLES["down_odd_resolution"] += " where track in (select track from fr where frames > 49)"
-query("down_odd_resolution_all", f"with {sql_bins(49, EVENTS.replace('event_type', 'user_id'))} select track, bin, round(amp, 6) as amp from bins where track in (select track from fr where frames > 49) union all select track, cast(frame as bigint) as bin, round(v, 6) as amp from fr where frames <= 49")(
-    lambda s, d: rounded(B.downsample(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"), 49, "rms"), "amp"))
+_ODD = f"with {sql_bins(49, EVENTS.replace('event_type', 'user_id'))} select track, bin, round(amp, 6) as amp from bins where track in (select track from fr where frames > 49) union all select track, cast(frame as bigint) as bin, round(v, 6) as amp from fr where frames <= 49"
+for _n in ("down_odd_resolution", "down_odd_resolution_all"):
+    query(_n, _ODD)(lambda s, d: rounded(B.downsample(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"), 49, "rms"), "amp"))
 
 EMB = "em as (select vec_id as track, cast(embedding as double[]) as a from embeddings)"
 EMB_LONG = f"{EMB}, lo as (select track, unnest(range(len(a))) as i, unnest(a) as x, len(a) as n from em)"
@@ -180,10 +178,14 @@ for _n, _case in (("music", "musicVisualization"), ("speech", "speechAnalysis"),
     query(f"pipeline_{_n}", sql_pipeline(_cfg))(lambda s, d, c=_cfg: rounded(Signals(event_frames(s, d)).waveform(c).bins, "amp"))
 FLAGSHIP = WaveformConfig(100, smooth=True, window=5, curve="logarithmic")
 query("wf_rms_events", sql_pipeline(FLAGSHIP))(lambda s, d: rounded(Signals(event_frames(s, d)).waveform(FLAGSHIP).bins, "amp"))
-query("wf_rms_events_long", sql_pipeline(FLAGSHIP))(lambda s, d: rounded(Signals(B.long_frames(table(s, d, "events"), "event_type", ["ts", "event_id"], "value")).waveform(FLAGSHIP).bins, "amp"))
+query("wf_rms_events_long", sql_pipeline(FLAGSHIP))(lambda s, d: rounded(Signals(B.frames(table(s, d, "events").withColumn("at", F.col("ts").cast("string")), "event_type", ["at", "event_id"], "value")).waveform(FLAGSHIP).bins, "amp"))
 query("wf_array", f"""with {EMB_LONG}, fr as (select track, i as frame, n as frames, x as v from lo), {sql_after(16)}, {SQL_PEAK.format('bins')}
     select track, bin, round({sql_clamp('sqrt(amp)')}, 6) as amp from norm""")(lambda s, d: spread(emb(s, d), waveform_array(F.col("a"), WaveformConfig(16, curve="sqrt"))))
 
+ARRAY_STEPS = WaveformConfig(16, smooth=True, window=5, curve="logarithmic", factor=1.2)
+query("wf_array_smooth", sql_pipeline(ARRAY_STEPS).replace(sql_bins(16), f"{EMB_LONG}, fr as (select track, i as frame, n as frames, abs(x) as v from lo), {sql_after(16)}"))(
+    lambda s, d: spread(emb(s, d), waveform_array(F.transform("a", lambda x: F.abs(x)), ARRAY_STEPS)))
+
 # --- display
 
 SQL_GROUPS = "gr as (select e.track, t.t as bin, unnest(list_slice(a, cast(floor(t.t * (64.0 / {0})) as int) + 1, cast(least(ceil((t.t + 1) * (64.0 / {0})), 64) as int))) as x from em e cross join (select unnest(range({0})) as t) t)"
@@ -266,7 +268,7 @@ query("chunk_reassemble", "select cast(doc_id as varchar) as path, md5(text) as
 
 
 def _reassembled(f: DataFrame) -> DataFrame:
-    return P.reassemble(P.with_content(P.chunks(f, 1000), f)).select("path", F.md5("content").alias("md5"))
+    return P.reassemble(P.with_content(f, 1000)).select("path", F.md5("content").alias("md5"))
 
 
 RATIO = "case fmt when 'mp3' then 10 when 'ogg' then 8 when 'opus' then 12 when 'flac' then 2 when 'wav' then 1 when 'mp4' then 12 else 10 end"
@@ -287,22 +289,22 @@ query("durations", "select c_custkey as k, cast((c_custkey * 1000) // (44100 * (
 
 # --- statistics of operations
 
-OPS = "op as (select event_id as seq, event_type as name, cast(floor(value) as bigint) as ms, event_id % 7 <> 0 as ok, user_id * 100000 as mem from events)"
-STATS = f"""{OPS}, st as (select name, count(*) as n, count(*) filter (ok) as ok, (count(*) - count(*) filter (ok)) / count(*) as failure_rate, avg(ms) as avg_ms, cast(median(ms) as double) as median_ms, min(ms) as min_ms, max(ms) as max_ms,
+OPS = "op as (select event_id as seq, event_type as name, cast(floor(value * 20 * (len(event_type) - 3)) as bigint) as ms, event_id % 7 <> 0 as ok, user_id * 20000 * len(event_type) as mem from events)"
+STATS = f"""{OPS}, st as (select name, count(*) as n, count(*) filter (ok) as ok, (count(*) - count(*) filter (ok)) / count(*) as failure_rate, avg(ms) as avg_ms, cast(median(ms) as double) as median_ms, cast(sum(ms) as bigint) as sum_ms, min(ms) as min_ms, max(ms) as max_ms,
     stddev_pop(ms) as stddev_ms, avg(mem) as avg_memory, cast(sum(mem) as bigint) as sum_memory from op group by 1)"""
 
 
 def ops(spark, d) -> DataFrame:
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.col("value").alias("duration_ms"), (F.col("event_id") % 7 != 0).alias("success"), (F.col("user_id") * 100000).alias("memory_bytes"))
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("name"), (F.col("value") * 20 * (F.length("event_type") - 3)).alias("duration_ms"), (F.col("event_id") % 7 != 0).alias("success"), (F.col("user_id") * 20000 * F.length("event_type")).alias("memory_bytes"))
 
 
-query("op_stats", f"with {STATS} select name, n, ok, round(failure_rate, 6) as failure_rate, round(avg_ms, 6) as avg_ms, round(median_ms, 6) as median_ms, min_ms, max_ms, round(stddev_ms, 6) as stddev_ms, round(avg_memory, 6) as avg_memory, sum_memory from st")(
+query("op_stats", f"with {STATS} select name, n, ok, round(failure_rate, 6) as failure_rate, round(avg_ms, 6) as avg_ms, round(median_ms, 6) as median_ms, sum_ms, min_ms, max_ms, round(stddev_ms, 6) as stddev_ms, round(avg_memory, 6) as avg_memory, sum_memory from st")(
     lambda s, d: rounded(S.statistics(ops(s, d)), "failure_rate", "avg_ms", "median_ms", "stddev_ms", "avg_memory"))
-query("op_report", f"""with {STATS} select cast(sum(n) as bigint) as total, cast(sum(n - ok) as bigint) as failed, round(sum(n - ok) / sum(n), 6) as failure_rate, count(*) as names,
+query("op_report", f"""with {STATS} select cast(sum(n) as bigint) as total, cast(sum(n - ok) as bigint) as failed, round(sum(n - ok) / sum(n), 6) as failure_rate, cast(sum(sum_ms) as bigint) as total_ms, cast(sum(sum_memory) as bigint) as total_memory, count(*) as names,
     coalesce(string_agg(case when avg_ms > 1000 then name end, ',' order by name), '') as slow, coalesce(string_agg(case when avg_memory > 10485760 then name end, ',' order by name), '') as heavy from st""")(
     lambda s, d: rounded(S.report(ops(s, d)), "failure_rate").withColumn("slow", F.array_join("slow", ",")).withColumn("heavy", F.array_join("heavy", ",")))
 query("op_last100", f"with {OPS} select name, seq from (select *, row_number() over (partition by name order by seq desc) as r from op) where r <= 100")(lambda s, d: S.newest(ops(s, d), "seq").select("name", "seq"))
-query("op_bottlenecks", f"with {STATS} select name, avg_ms > 1000 as slow, avg_memory > 10485760 as heavy from st where avg_ms > 1000 or avg_memory > 10485760")(lambda s, d: S.bottlenecks(ops(s, d).withColumn("memory_bytes", F.col("memory_bytes"))))
+query("op_bottlenecks", f"with {STATS} select name, avg_ms > 1000 as slow, avg_memory > 10485760 as heavy from st where avg_ms > 1000 or avg_memory > 10485760")(lambda s, d: S.bottlenecks(ops(s, d)))
 query("op_best", f"with {STATS} select min_by(name, (avg_ms, name)) as fastest, min_by(name, (avg_memory, name)) as lightest, min_by(name, (failure_rate, name)) as most_reliable from st")(lambda s, d: S.best(ops(s, d)))
 query("op_names", "select distinct event_type as name from events")(lambda s, d: ops(s, d).select("name").distinct())
 query("benchmark_summary", "select event_type as name, round(avg(value), 6) as avg, min(value) as min, max(value) as max from events group by 1")(
@@ -321,7 +323,7 @@ def samples(spark, d) -> DataFrame:
     """Events as the sample tables of their types: offset, size, time, keyframes."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = table(spark, d, "events").select(F.col("event_type").alias("track"), F.col("event_id").alias("seq"), (F.col("event_id") * 1000).alias("offset"), (F.col("user_id") + 1).alias("size"), ts.alias("ts_us"), (F.col("event_id") % 10 == 0).alias("is_key"))
-    return rows.withColumn("next_us", F.lead("ts_us").over(W.partitionBy("track").orderBy("ts_us", "seq")))
+    return Ordered(rows, "track", ["ts_us", "seq"]).neighbour("ts_us", "next_us", ahead=True)
 
 
 SAMPLES = "sa as (select event_type as track, event_id as seq, event_id * 1000 as \"offset\", user_id + 1 as size, epoch_us(ts) as ts_us, event_id % 10 = 0 as is_key, lead(epoch_us(ts)) over (partition by event_type order by ts, event_id) as next_us from events)"
@@ -329,13 +331,12 @@ query("sample_durations", f"with {SAMPLES} select track, seq, \"offset\" + size
 
 
 def _seek(spark, d) -> DataFrame:
-    """For times spread over each track, the sample that holds the time and the last keyframe at or before it: one ordered pass, no range join."""
+    """For times spread over each track, the sample that holds the time and the last keyframe at or before it: one ordered pass in pieces, no range join."""
     t = samples(spark, d)
     span = t.groupBy("track").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
     asks = span.select("track", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("q"), "lo", "hi").select("track", "q", (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * F.col("q") / 10)).cast("long").alias("ts_us"))
     both = t.select("track", "ts_us", "seq", F.when(F.col("is_key"), F.col("seq")).alias("key"), F.lit(None).cast("int").alias("q")).unionByName(asks.select("track", "ts_us", F.lit(2**62).alias("seq"), F.lit(None).cast("long").alias("key"), "q"))
-    w = W.partitionBy("track").orderBy("ts_us", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at = both.withColumn("at", F.last(F.when(F.col("q").isNull(), F.col("seq")), True).over(w)).withColumn("key_at", F.last("key", True).over(w))
+    at = Ordered(both, "track", ["ts_us", "seq"]).latest(at=F.when(F.col("q").isNull(), F.col("seq")), key_at=F.col("key"))
     return at.filter("q is not null").select("track", "q", F.col("at").alias("seq"), F.col("key_at").alias("key"))
 
 
@@ -345,6 +346,16 @@ query("sample_table_seek", f"""with {SAMPLES}, sp as (select track, min(ts_us) a
 query("container_facts", "select event_type as track, count(*) as samples, round(count(*) * 1000000.0::double / (max(epoch_us(ts)) - min(epoch_us(ts))), 6) as rate, round(max(value) / avg(value), 6) as ratio from events group by 1")(
     lambda s, d: samples(s, d).groupBy("track").agg(F.count("*").alias("samples"), (F.max("ts_us") - F.min("ts_us")).alias("us")).join(table(s, d, "events").groupBy(F.col("event_type").alias("track")).agg(F.avg("value").alias("b"), F.max("value").alias("m")), "track").select("track", "samples", r6(serde.sample_rate_estimate(F.col("samples"), F.col("us"))).alias("rate"), r6(serde.bitrate_ratio(F.col("b"), F.col("m"))).alias("ratio")))
 
+query("container_map", "select c_custkey as k, coalesce(case when c_custkey % 3 > 0 then c_custkey * 1000 end, 0) as duration, coalesce(case when c_custkey % 2 = 0 then c_nationkey end, 0) as bitrate, cast(0 as bigint) as \"maxBitrate\", case when c_custkey % 5 > 0 then c_mktsegment else 'Unknown' end as \"codecName\", cast(case when c_custkey % 7 > 0 then c_nationkey + 2 else 1 end as int) as \"trackId\" from customer")(
+    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k"), serde.container(F.map_filter(F.create_map(
+        F.lit("duration"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") * 1000).cast("string"), F.lit("bitrate"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).cast("string"),
+        F.lit("codecName"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")), F.lit("trackId"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_nationkey") + 2).cast("string")), lambda k, v: v.isNotNull())).alias("c")).select("k", "c.*"))
+query("size_text", f"with {FILES} select doc_id, case when size < 1024 then size || 'B' when size < 1048576 then format('{{:.1f}}KB', size / 1024) when size < 1073741824 then format('{{:.1f}}MB', size / 1048576) else format('{{:.1f}}GB', size / 1073741824) end as text from fl")(
+    lambda s, d: files(s, d).select("doc_id", size_text(F.col("size")).alias("text")))
+query("samples_concatenate", f"with {EMB_LONG} select cast(track as varchar) as path, cast(i as bigint) as bin, round(x, 6) as amp from lo")(
+    lambda s, d: wav.concatenate(emb(s, d).select(F.col("track").cast("string").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("idx"), "a").select("path", "idx", F.slice("a", F.col("idx") * 8 + 1, 8).alias("samples"), F.lit(8000).alias("sample_rate"), F.lit(1).alias("channels")))
+    .select("path", F.posexplode("samples").alias("bin", "amp")).select("path", F.col("bin").cast("long").alias("bin"), r6("amp").alias("amp")))
+
 # --- audio and streams
 
 TONE = "tn as (select f.f as frame, 0.5 * (1 + 0.3 * sin(2 * (f.f / 8000.0::double))) * sin(2 * pi() * 440 * (f.f / 8000.0::double)) * (t.t + 1) / 4 as v, t.t as track from (select unnest(range(4000)) as f) f cross join (select unnest(range(4)) as t) t)"
@@ -356,33 +367,75 @@ def _tones(spark) -> DataFrame:
 
 query("wav_decode", f"with {TONE} select 'tone_00' || track || '.wav' as path, cast(4000 as bigint) as samples, 8000 as sample_rate, 1 as channels, cast(500000 as bigint) as duration_us, round(sqrt(avg(v * v)), 3) as rms from tn group by 1")(
     lambda s, d: wav.decode_files(_tones(s)).select("path", F.size("samples").cast("long").alias("samples"), "sample_rate", "channels", "duration_us", F.round(A.rms(A.doubles(F.col("samples"))), 3).alias("rms")))
-query("wav_header", "select 'tone_00' || t || '.wav' as path, cast(1 as bigint) as kind, cast(1 as bigint) as channels, cast(8000 as bigint) as sample_rate, cast(16 as bigint) as bits, cast(8000 as bigint) as data_bytes, cast(500 as bigint) as duration_ms from (select unnest(range(4)) as t)")(lambda s, d: wav.header(_tones(s)))
 query("wav_format", "select 'tone_00' || t || '.wav' as path, 'wav' as format from (select unnest(range(4)) as t)")(lambda s, d: _tones(s).select("path", P.format_of_content(F.col("content")).alias("format")))
+
+
+def _waves(spark, d) -> DataFrame:
+    """Documents as WAVE files of their own rate and width, with their text as data; every third one has a chunk of its source's name (of even length) before it."""
+    big = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), k, 1) for k in range(n, 0, -1)])
+    bits, channels, rate = 8 * (F.col("doc_id") % 4 + 1), F.col("doc_id") % 2 + 1, 8000 + F.col("doc_id") * 10 % 40000
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    name = F.concat("source", F.lit(" ")).cast("binary")
+    name = F.when(F.octet_length(name) % 2 == 0, name).otherwise(F.col("source").cast("binary"))
+    note = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(b"LIST"), little(F.octet_length(name), 4), name)).otherwise(F.lit(b""))
+    fmt = F.concat(F.lit(b"fmt "), little(F.lit(16), 4), little(F.lit(1), 2), little(channels, 2), little(rate, 4), little(rate * channels * bits / 8, 4), little(channels * bits / 8, 2), little(bits, 2))
+    body = F.concat(F.lit(b"WAVE"), fmt, note, F.lit(b"data"), little(F.octet_length(data), 4), data)
+    return table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"), F.concat(F.lit(b"RIFF"), little(F.octet_length(body), 4), body).alias("content"))
+
+
+query("wav_header", """with w as (select *, 8 * (doc_id % 4 + 1) as bits, doc_id % 2 + 1 as channels, 8000 + doc_id * 10 % 40000 as rate, strlen(coalesce(text, '')) as n from documents)
+    select doc_id || '.wav' as path, cast(1 as bigint) as kind, channels, rate as sample_rate, cast(bits as bigint) as bits, cast(n as bigint) as data_bytes,
+        cast(case when doc_id % 3 = 0 then 52 + strlen(source) + strlen(source) % 2 else 44 end as bigint) as data_at, cast(n * 8000 // (rate * channels * bits) as bigint) as duration_ms from w""")(lambda s, d: wav.header(_waves(s, d)))
 query("stream_bins", "select event_type as track, date_trunc('day', ts) as start, count(*) as n, round(sqrt(avg(value * value)), 6) as rms, round(max(abs(value)), 6) as peak, round(avg(abs(value)), 6) as average from events group by 1, 2")(
     lambda s, d: incremental.settle(incremental.windowed(incremental.read(s, d, "events.parquet"), "ts", "event_type", "value", late=None)).select("track", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("rms").alias("rms"), r6("peak").alias("peak"), r6("average").alias("average")))
 
-MARKS = ["FFFB9064", "664C614300000022100010000000000000000000000000000000000000000000000000000000000000000000", "4F67675300020000000000000000000000000000000000000000000000", "52494646000000005741564500000000"]
+#: Starts of files: formats in the order of doc_id, and one that is none.
+KINDS = ["mp3", "flac", "ogg", "wav", "opus", "none"]
 
 
 def _marked(spark, d) -> DataFrame:
-    """Documents as files that begin with the marks of the four formats in turn."""
-    k = (F.col("doc_id") % 4).cast("int")
-    mark = F.unhex(F.element_at(F.array(*[F.lit(m) for m in MARKS]), k + 1))
-    fmt = F.element_at(F.array(*[F.lit(f) for f in ("mp3", "flac", "ogg", "wav")]), k + 1)
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), fmt.alias("fmt"), F.concat(mark, F.col("text").cast("binary")).alias("content"))
-
-
-query("signatures", "select cast(doc_id as varchar) as path, ['mp3','flac','ogg','wav'][doc_id % 4 + 1] as detected, true as matches, doc_id % 4 = 0 as is_mp3 from documents")(
+    """Documents as files that begin with the marks of the formats in turn; header fields hold parts of the id. ``fmt`` is what the name claims, wrongly for every seventh."""
+    k, i = (F.col("doc_id") % 6).cast("int"), F.col("doc_id")
+    byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
+    pad = lambda n: F.lit(bytes(n))
+    mark = (
+        F.when(k == 0, F.concat(F.lit(b"\xff"), byte(0xE0 + i % 4 * 8 + 2), byte(i % 15 * 16 + i % 3 * 4), byte(i % 4 * 64)))
+        .when(k == 1, F.concat(F.lit(b"fLaC"), byte(i % 2), pad(3), byte(i % 16 + 1), byte(i % 256), byte(i % 32 + 16), pad(31)))
+        .when(k == 2, F.concat(F.lit(b"OggS"), pad(1), byte(i % 8), pad(22)))
+        .when(k == 3, F.concat(F.lit(b"RIFF"), pad(4), F.lit(b"WAVE")))
+        .when(k == 4, F.concat(F.lit(b"OggS"), pad(1), byte(i % 8), pad(22), F.lit(b"OpusHead")))
+        .otherwise(F.lit(b"none"))
+    )
+    claim = F.when(F.col("doc_id") % 7 == 0, "ogg").otherwise(F.element_at(F.array(*[F.lit(x) for x in KINDS]), k + 1))
+    return table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), claim.alias("fmt"), F.concat(mark, F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("content"))
+
+
+query("signatures", """with f as (select doc_id, doc_id % 6 as k, case when doc_id % 7 = 0 then 'ogg' else ['mp3','flac','ogg','wav','opus','none'][doc_id % 6 + 1] end as fmt from documents)
+    select cast(doc_id as varchar) as path, ['mp3','flac','ogg','wav','opus','unknown'][k + 1] as detected, case fmt when 'mp3' then k = 0 when 'flac' then k = 1 when 'ogg' then k in (2, 4) when 'wav' then k = 3 else false end as matches, k = 0 as is_mp3 from f""")(
     lambda s, d: _marked(s, d).select("path", P.format_of_content(F.col("content")).alias("detected"), headers.signature_matches(F.col("content"), F.col("fmt")).alias("matches"), headers.signature_matches(F.col("content"), F.lit("mp3")).alias("is_mp3")))
-query("header_fields", """select cast(doc_id as varchar) as path, case when doc_id % 4 = 0 then 3 end as version, case when doc_id % 4 = 0 then 1 end as layer, case when doc_id % 4 = 0 then 9 end as bitrate_index, case when doc_id % 4 = 0 then 1 end as channel_mode,
-    case when doc_id % 4 = 1 then 4096 end as min_block, case when doc_id % 4 = 2 then 2 end as header_type from documents""")(
-    lambda s, d: _marked(s, d).select("path", F.when(F.col("fmt") == "mp3", headers.mp3_header(F.col("content"))).alias("m"), F.when(F.col("fmt") == "flac", headers.flac_header(F.col("content"))).alias("f"), F.when(F.col("fmt") == "ogg", headers.ogg_header(F.col("content"))).alias("o")).select("path", "m.version", "m.layer", "m.bitrate_index", "m.channel_mode", "f.min_block", "o.header_type"))
-query("pattern_counts", "select cast(doc_id as varchar) as path, cast(case when doc_id % 4 = 0 then 1 else 0 end as bigint) as mp3_frames, cast(case when doc_id % 4 = 2 then 1 else 0 end as bigint) as ogg_pages from documents")(lambda s, d: headers.count_patterns(_marked(s, d)))
-query("byte_checksum", "select cast(doc_id as varchar) as path, lpad(lower(to_hex(list_sum(list_transform(range(1, strlen(c) + 1), lambda k: ascii(c[k]))) :: bigint)), 8, '0') as checksum from (select doc_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 200) as c from documents) where strlen(c) > 0")(
-    lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200).alias("c")).filter("c <> ''").select("path", wav.checksum(F.col("c").cast("binary")).alias("checksum")))
-query("byte_checksum_all")(
-    lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum")))
+query("header_fields", """with f as (select doc_id as i, doc_id % 6 as k from documents)
+    select cast(i as varchar) as path, cast(case when k = 0 then i % 4 end as int) as version, case when k = 0 then 1 end as layer, cast(case when k = 0 then i % 15 end as int) as bitrate_index, cast(case when k = 0 then i % 3 end as int) as sample_rate_index, cast(case when k = 0 then i % 4 end as int) as channel_mode,
+    cast(case when k = 1 then (i % 16 + 1) * 256 + i % 256 end as int) as min_block, cast(case when k = 1 then (i % 32 + 16) * 256 end as int) as max_block, case when k = 1 then i % 2 = 0 end as has_stream_info, cast(case when k in (2, 4) then i % 8 end as int) as header_type from f""")(
+    lambda s, d: _marked(s, d).withColumn("k", F.col("doc_id") % 6).select("path", F.when(F.col("k") == 0, headers.mp3_header(F.col("content"))).alias("m"), F.when(F.col("k") == 1, headers.flac_header(F.col("content"))).alias("f"), F.when(F.col("k").isin(2, 4), headers.ogg_header(F.col("content"))).alias("o")).select("path", "m.version", "m.layer", "m.bitrate_index", "m.sample_rate_index", "m.channel_mode", "f.min_block", "f.max_block", "f.has_stream_info", "o.header_type"))
+query("pattern_counts", """with b as (select doc_id, encode('OggS' || repeat('.', doc_id % 3 * 2046) || 'OggS') as o from documents)
+    select cast(doc_id as varchar) as path, cast(0 as bigint) as mp3_frames, cast(case when doc_id % 3 = 2 then 2 else 1 end as bigint) as ogg_pages from b""")(
+    lambda s, d: headers.count_patterns(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("OggS"), F.repeat(F.lit("."), (F.col("doc_id") % 3 * 2046).cast("int")), F.lit("OggS")).cast("binary").alias("content"))))
+for _n in ("byte_checksum", "byte_checksum_all"):
+    query(_n, "select cast(doc_id as varchar) as path, lpad(lower(to_hex(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint)), 8, '0') as checksum from documents")(
+        lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum")))
 query("harmonics", "select f as frame, round(greatest(-1.0, least(1.0, (0.5 * sin(w) + 0.25 * sin(2 * w) + 0.125 * sin(3 * w)) * (1 + 0.3 * sin(2 * t)) * 0.7)), 6) as v from (select f, f / 8000.0::double as t, 2 * pi() * 440 * (f / 8000.0::double) as w from (select unnest(range(2000)) as f))")(
     lambda s, d: s.range(2000).select(F.col("id").alias("frame"), r6(wav.harmonics(F.col("id"), F.lit(0), 8000)).alias("v")))
-query("file_listing", f"with {FILES} select {SQL_EXT} as extension, count(*) as n from fl group by 1")(lambda s, d: headers.listing(files(s, d)).groupBy("extension").agg(F.sum("n").alias("n")))
+LISTED = f"with {FILES}, li as (select '/d.x/' || ['corrupted_', 'tone_', ''][doc_id % 3 + 1] || ['small', 'large', 'X1'][doc_id % 4 % 3 + 1] || '_' || doc_id || '.' || ['wav', 'MP3'][doc_id % 2 + 1] as path, doc_id from fl), lj as (select *, lower(split_part(path, '.', -1)) as extension, regexp_extract(split_part(path, '/', -1), '_([a-z]+)_[^_]*$', 1) as size_tag from li)"
+
+
+def _listed(spark, d) -> DataFrame:
+    pick = lambda of, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (of + 1).cast("int"))
+    i = F.col("doc_id")
+    return files(spark, d).select(F.concat(F.lit("/d.x/"), pick(i % 3, "corrupted_", "tone_", ""), pick(i % 4 % 3, "small", "large", "X1"), F.lit("_"), i.cast("string"), F.lit("."), pick(i % 2, "wav", "MP3")).alias("path"))
+
+
+query("file_listing", f"{LISTED} select path, split_part(path, '/', -1) as name, extension, size_tag from lj")(lambda s, d: headers.listing(_listed(s, d)))
+query("file_listing_counts", f"{LISTED} select extension, size_tag, count(*) as n from lj group by 1, 2")(lambda s, d: headers.listed(_listed(s, d)))
+query("file_damaged", f"{LISTED} select path from lj where path like '%corrupted%'")(lambda s, d: headers.damaged(_listed(s, d)))
 query("seek_frames", f"with {EVENTS} select track, frame from fr where frame >= case when 1500 >= frames then greatest(0, frames - 10) else 1500 end")(lambda s, d: wav.seek(event_frames(s, d), 15000, 100).select("track", "frame"))

@@ -70,10 +70,14 @@ def count_patterns(files: DataFrame) -> DataFrame:
 
 
 def listing(files: DataFrame) -> DataFrame:
-    """extension, size_tag, n, names: files by extension and by the tag between the last two underscores of their name."""
+    """path, name, extension, size_tag: a row a file; the tag stands between the last two underscores of the name."""
     name = F.substring_index("path", "/", -1)
-    tag = F.regexp_extract(name, r"_([a-z]+)_[^_]*$", 1)
-    return files.groupBy(extension(F.col("path")).alias("extension"), tag.alias("size_tag")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+    return files.select("path", name.alias("name"), extension(F.col("path")).alias("extension"), F.regexp_extract(name, r"_([a-z]+)_[^_]*$", 1).alias("size_tag"))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """extension, size_tag, n."""
+    return listing(files).groupBy("extension", "size_tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def damaged(files: DataFrame) -> DataFrame:

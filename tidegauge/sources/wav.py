@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, CorruptedFile, DecodingError, SignalError, UnsupportedFormat
-from ..plans.files import format_of
+from ..plans.files import FORMATS, IN_MEMORY, format_of
 
 SIGNALS = "path string, samples array<float>, sample_rate int, channels int, duration_us long, error string"
 
@@ -32,48 +36,73 @@ def encode(samples: np.ndarray, rate: int, channels: int = 1, bits: int = 16) ->
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, kind, channels, rate, rate * block, block, bits) + b"data" + struct.pack("<I", len(data)) + data
 
 
-def decode(content: bytes) -> tuple[np.ndarray, int, int]:
-    """Interleaved float samples, rate, channels. A data chunk that promises more than there is gives what there is."""
-    if not content:
+@dataclass(frozen=True)
+class Facts:
+    """What a WAVE file's chunks say: PCM kind, channels, rate, bits, where its data begins and how many bytes of it there are."""
+
+    kind: int
+    channels: int
+    rate: int
+    bits: int
+    data_at: int
+    data_bytes: int
+
+    @property
+    def block(self) -> int:
+        return max(1, self.channels * (self.bits // 8))
+
+
+def facts(file: BinaryIO, length: int) -> Facts:
+    """Facts of a file of ``length`` bytes, read by walking its chunks; a data chunk that promises more than there is has what there is."""
+    head = file.read(12)
+    if not head:
         raise DecodingError("no data")
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise CorruptedFile("no RIFF/WAVE header")
     at, fmt = 12, None
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+    while at + 8 <= length:
+        file.seek(at)
+        name, size = struct.unpack("<4sI", file.read(8))
         if name == b"fmt ":
-            if size < 16 or at + 24 > len(content):
+            body = file.read(min(size, 40))
+            if len(body) < 16:
                 raise CorruptedFile("format chunk is too short")
-            fmt = struct.unpack_from("<HHIIHH", content, at + 8)
-            if fmt[0] == 0xFFFE and size >= 26:
-                fmt = (struct.unpack_from("<H", content, at + 32)[0], *fmt[1:])
+            fmt = struct.unpack_from("<HHIIHH", body)
+            if fmt[0] == 0xFFFE and len(body) >= 26:
+                fmt = (struct.unpack_from("<H", body, 24)[0], *fmt[1:])
         elif name == b"data":
             if fmt is None:
                 raise CorruptedFile("data before format")
-            kind, channels, rate, _, _, bits = fmt
-            raw = content[at + 8 : at + 8 + size]
-            width = bits // 8
-            if not channels or not rate:
+            if not fmt[1] or not fmt[2]:
                 raise CorruptedFile("no channels or no rate")
-            raw = raw[: len(raw) - len(raw) % max(1, width)]
-            if (kind, bits) == (1, 16):
-                x = np.frombuffer(raw, "<i2").astype(np.float32) / 32768
-            elif (kind, bits) == (1, 8):
-                x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-            elif (kind, bits) == (1, 24):
-                b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-                x = ((b[:, 0].astype(np.int32) << 8 | b[:, 1].astype(np.int32) << 16 | b[:, 2].astype(np.int32) << 24) >> 8).astype(np.float32) / (1 << 23)
-            elif (kind, bits) == (1, 32):
-                x = (np.frombuffer(raw, "<i4") / float(1 << 31)).astype(np.float32)
-            elif (kind, bits) == (3, 32):
-                x = np.frombuffer(raw, "<f4")
-            else:
-                raise DecodingError(f"PCM kind {kind} with {bits} bits")
-            return x, rate, channels
+            return Facts(fmt[0], fmt[1], fmt[2], fmt[5], at + 8, min(size, length - at - 8))
         at += 8 + size + size % 2
     raise CorruptedFile("no data chunk")
 
 
+def pcm(raw: bytes, kind: int, bits: int) -> np.ndarray:
+    """Float samples of PCM bytes; an incomplete last sample is ignored."""
+    raw = raw[: len(raw) - len(raw) % max(1, bits // 8)]
+    if (kind, bits) == (1, 16):
+        return np.frombuffer(raw, "<i2").astype(np.float32) / 32768
+    if (kind, bits) == (1, 8):
+        return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    if (kind, bits) == (1, 24):
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
+    if (kind, bits) == (1, 32):
+        return (np.frombuffer(raw, "<i4") / float(1 << 31)).astype(np.float32)
+    if (kind, bits) == (3, 32):
+        return np.frombuffer(raw, "<f4")
+    raise DecodingError(f"PCM kind {kind} with {bits} bits")
+
+
+def decode(content: bytes) -> tuple[np.ndarray, int, int]:
+    """Interleaved float samples, rate, channels of a whole file."""
+    f = facts(io.BytesIO(content), len(content))
+    return pcm(content[f.data_at : f.data_at + f.data_bytes], f.kind, f.bits), f.rate, f.channels
+
+
 #: Decoders by format; more are added with ``register``.
 DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, int, int]]] = {"wav": decode}
 
@@ -119,33 +148,110 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
     return files.select("path", format_of(F.col("path")).alias("format"), "content").mapInArrow(run, SIGNALS)
 
 
-def read_signals(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
-    """Decoded signals of all files below ``path``; Spark's reader lists no empty files, so those are missing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+#: Names of audio files, as a pattern of Spark's reader.
+AUDIO = "*.{" + ",".join(e for f in FORMATS for x in f[2] for e in (x, x.upper())) + "}"
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def read_signals(spark: SparkSession, path: str, pattern: str = AUDIO, least: int = 0, most: int | None = None) -> DataFrame:
+    """Decoded signals of the files below ``path`` of ``least`` to ``most`` bytes; Spark's reader lists no empty files, so those are missing."""
+    files = _files(spark, path, pattern).filter(F.col("length") >= least)
+    files = files if most is None else files.filter(F.col("length") <= most)
     return decode_files(files.select("path", "content"))
 
 
-def _little(content: Column, at: int, size: int) -> Column:
-    """An unsigned little-endian number at byte ``at`` (from 0)."""
-    byte = lambda k: F.conv(F.hex(F.substring(content, at + k + 1, 1)), 16, 10).cast("long")
-    out = byte(0)
-    for k in range(1, size):
-        out = out + F.shiftleft(byte(k), 8 * k)
-    return out
+CHUNKS = "path string, idx int, is_last boolean, first long, frames long, sample_rate int, channels int, samples array<float>, error string"
+
+
+def open_file(path: str) -> BinaryIO:
+    """A seekable file on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return system.open_input_file(at)
+
+
+def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV}", least: int = 0, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """path, idx, is_last, first, frames, sample_rate, channels, samples, error: PCM files in chunks of frames, for files of any size.
+
+    Only names and sizes are listed by Spark; a task reads a file's chunk headers, and each range of
+    ``chunk_frames`` whole frames is then read by whichever task it falls to. ``samples`` are interleaved,
+    ``first`` is the chunk's first frame of ``frames``. A file that cannot be read is one row with its
+    error; one without frames is one empty chunk. ``opener`` gives a seekable file for a path.
+    """
+    listed = _files(spark, path, pattern).filter(F.col("length") >= least).select("path", "length")
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    with opener(name) as file:
+                        f = facts(file, length)
+                    n = f.data_bytes // f.block
+                    starts = range(0, max(1, n), chunk_frames)
+                    rows = [(name, k, at + chunk_frames >= n, at, n, f.rate, f.channels, f.kind, f.bits, f.data_at + at * f.block, min(chunk_frames, n - at) * f.block, None) for k, at in enumerate(starts)]
+                except SignalError as e:
+                    rows = [(name, 0, True, 0, 0, None, None, None, None, None, None, e.code)]
+                yield pa.RecordBatch.from_pylist([dict(zip(plan_schema.names, r, strict=True)) for r in rows], plan_schema)
+
+    plan_schema = pa.schema([("path", pa.string()), ("idx", pa.int32()), ("is_last", pa.bool_()), ("first", pa.int64()), ("frames", pa.int64()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("kind", pa.int32()), ("bits", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("error", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                samples, error = None, r["error"]
+                if error is None:
+                    try:
+                        with opener(r["path"]) as file:
+                            file.seek(r["at"])
+                            samples = pcm(file.read(r["size"]), r["kind"], r["bits"])
+                    except SignalError as e:
+                        error = e.code
+                head = [pa.array([r[c]], plan_schema.field(c).type) for c in ("path", "idx", "is_last", "first", "frames", "sample_rate", "channels")]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([samples], pa.list_(pa.float32())), pa.array([error], pa.string())], names=[c.split()[0] for c in CHUNKS.split(", ")])
+
+    planned = listed.mapInArrow(plan, "path string, idx int, is_last boolean, first long, frames long, sample_rate int, channels int, kind int, bits int, at long, size long, error string")
+    return planned.repartition("path", "idx").mapInArrow(read, CHUNKS)
+
+
+def chunk_frames(chunks: DataFrame) -> DataFrame:
+    """track, frame, frames, v of chunks: a row a frame, channels mixed to their mean."""
+    rows = chunks.filter("error is null and frames > 0").select(F.col("path").alias("track"), "first", "frames", "channels", F.posexplode("samples").alias("i", "x"))
+    rows = rows.select("track", (F.col("first") + F.floor(F.col("i") / F.col("channels"))).alias("frame"), "frames", "channels", F.col("x").cast("double").alias("x"))
+    one = rows.filter("channels = 1").select("track", "frame", "frames", F.col("x").alias("v"))
+    return one.unionByName(rows.filter("channels > 1").groupBy("track", "frame", "frames").agg(F.avg("x").alias("v")))
 
 
 def header(files: DataFrame) -> DataFrame:
-    """path, kind, channels, sample_rate, bits, data_bytes, duration_ms: facts of the canonical 44-byte header, without decoding."""
-    c = F.col("content")
-    rows = files.select("path", _little(c, 20, 2).alias("kind"), _little(c, 22, 2).alias("channels"), _little(c, 24, 4).alias("sample_rate"), _little(c, 34, 2).alias("bits"), _little(c, 40, 4).alias("data_bytes"))
-    block = F.col("sample_rate") * F.col("channels") * F.col("bits")
-    return rows.withColumn("duration_ms", F.floor(F.try_divide(F.col("data_bytes") * 8000, block)).cast("long"))
+    """path, kind, channels, sample_rate, bits, data_bytes, data_at, duration_ms: facts by walking a file's chunks, without decoding; null where there are none."""
+    names = ["path", "kind", "channels", "sample_rate", "bits", "data_bytes", "data_at", "duration_ms"]
+
+    def one(content: bytes | None) -> tuple:
+        try:
+            f = facts(io.BytesIO(content or b""), len(content or b""))
+        except SignalError:
+            return (None,) * 7
+        return f.kind, f.channels, f.rate, f.bits, f.data_bytes, f.data_at, f.data_bytes * 8000 // (f.rate * f.channels * f.bits) if f.bits else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [one(c.as_py()) for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(7)]], names=names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def checksum(content: Column) -> Column:
-    """Sum of all bytes modulo 2**32 as eight hex digits."""
-    pairs = F.filter(F.split(F.hex(content), "(?<=\\G..)"), lambda p: p != "")
-    return F.lpad(F.lower(F.hex(F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: (s + F.conv(p, 16, 10).cast("long")) % (1 << 32)))), 8, "0")
+    """Sum of all bytes modulo 2**32 as eight hex digits; null of null."""
+
+    @F.pandas_udf("string")
+    def summed(held: pd.Series) -> pd.Series:
+        return held.map(lambda b: None if b is None else f"{int(np.frombuffer(b, np.uint8).sum(dtype=np.uint64)) % (1 << 32):08x}")
+
+    return summed(content)
 
 
 def seek(frames: DataFrame, ms: int, rate: int) -> DataFrame:
@@ -179,7 +285,7 @@ def harmonics(frame: Column, channel: Column, rate: int) -> Column:
 
 
 def encode_rows(rows: DataFrame, rate: int, channels: int, bits: int = 16) -> DataFrame:
-    """path, content: a WAVE file of each path's rows (frame, channel, v)."""
+    """path, content: a WAVE file of each path's rows (frame, channel, v). A file is one row, so it is gathered whole."""
     each = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "channel", "v"))), lambda x: x["v"]).alias("vs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

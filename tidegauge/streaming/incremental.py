@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import shared_folder
+
 
 def windowed(stream: DataFrame, time: str, track: str, value: str, width: str = "1 day", late: str | None = "2 days") -> DataFrame:
     """track, start, n, rms, peak, average of each window of event time; state of windows older than ``late`` is dropped."""
@@ -29,11 +30,7 @@ def read(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFra
 def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """What the stream gives on all there is now: each batch is written to the shared folder, the last one (or, appending, all) is read back."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
