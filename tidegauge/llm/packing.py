@@ -1,12 +1,13 @@
 """Packing token sequences by patterns of lengths.
 
 Documents longer than a sequence are cut; what is left is a histogram of piece lengths, at most one
-entry a length whatever the corpus. On a coarse grid of lengths every pattern of up to ``DEPTH`` pieces
-that fills a sequence is enumerated, and non-negative least squares fits how often each pattern repeats
-to the histogram. The counts are rounded down and filled with real lengths; what remains is packed best
-fit, into the gaps of those sequences first. All of this works on counts, so its cost does not depend on
-the number of documents. The plan is a table of slots (length, first rank, sequence, offset); each piece
-finds its slot by its rank among the pieces of its length, and ranks come from distributed prefix sums.
+entry a length whatever the corpus. On a coarse grid of lengths every pattern of a few pieces that fills a
+sequence is enumerated, and non-negative least squares fits how often each pattern repeats to the
+histogram. The counts are rounded and filled with real lengths, the last two of which close the sequence
+exactly; small pieces and what remains are packed best fit. All of this works on counts, so its cost does
+not depend on the number of documents. The plan is a table of slots (length, first rank, sequence,
+offset); each piece finds its slot by its rank among the pieces of its length, and ranks come from
+distributed prefix sums.
 """
 
 from __future__ import annotations
@@ -26,16 +27,23 @@ from .common import cut
 from .ngrams import _BYTES, _powers
 from .suffixes import pair
 
-#: Steps of a sequence to which lengths are rounded up when patterns are enumerated, and the most pieces of a pattern.
-GRIDS = ((64, 3), (128, 3), (32, 4))
-#: Shares of the fitted repeats that are tried.
-SHARES = (1.0, 0.7, 0.4, 0.2, 0.1)
+#: Pieces of less than one part in so many of a sequence take no part in patterns.
+SMALL = 16
+#: Steps of a sequence to which lengths are rounded when patterns are enumerated, and the most pieces of a pattern.
+GRIDS = ((64, 5), (32, 6))
 BUCKET_BITS = 10
 #: Of a worker's table of words: slots as a power of two, of which two thirds are used at most, and ids; a full one is emptied,
 #: and words that would not fit an empty one are not kept. What a slice of texts needs never depends on it.
 SLOTS, POOL = 21, 1 << 23
 
 
+#: Texts on which a tokenizer shows whether it encodes words on their own, in lower case, apart from stops behind them.
+PROBES = (
+    "Plain words, UPPER Words; and MiXed: ones! Are they? Yes.", "  two  blanks\nlines\n\n\nends \n", "caf\u00e9 CAF\u00c9. \u00dcber stra\u00dfe, \u0130stanbul \u0131 \u0178",
+    "a.b,c don't stop... wait?!, 12,5 3.14 x1 1x #tag @me", "word.word Word.Word ,,, . ; :", "\u6f22\u5b57 \u6f22 kana\u304b \U0001f600! emoji\U0001f600", "e\u0301 combining A\u030a \u1e9e \ufb01n", "", " ", "\n", "<|endoftext|> </s> [CLS] word",
+)
+
+
 class _Table:
     """Word fingerprint -> ids, in flat arrays with open addressing: some thirty bytes a word."""
 
@@ -105,8 +113,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(vocabulary), _Table()
+        # Words can only be told apart so for a tokenizer that works so; any other one encodes whole texts.
+        self.by_words = all(np.array_equal(x, y) for x, y in zip(self._by_words([t.encode() for t in PROBES]), self._plain([t.encode() for t in PROBES]), strict=True))
+        self.words.clear()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return self._by_words(texts) if self.by_words else self._plain(texts)
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         start, stop, h = _fingerprints(data)
         distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
@@ -265,54 +282,81 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
 def plan(histogram: dict[int, int], length: int) -> list[tuple[list[int], int]]:
     """Patterns of real lengths and how often each repeats; together they hold the histogram exactly.
 
-    Whole patterns leave gaps that only short pieces fill, so plans that place a smaller share of the
-    fitted repeats and leave more to best fit are tried as well; the one with the fewest sequences is kept.
+    Of a few grids the plan with the fewest sequences is kept.
     """
     least, best = -(-sum(x * n for x, n in histogram.items()) // length), None
     for grid, depth in GRIDS:
-        for share in SHARES:
-            groups = fit(histogram, length, grid, depth, share)
-            n = sum(k for _, k in groups)
-            if best is None or n < best[0]:
-                best = n, groups
-            if n == least:
-                return groups
+        groups, _ = fit(histogram, length, grid, depth)
+        n = sum(k for _, k in groups)
+        if best is None or n < best[0]:
+            best = n, groups
+        if n == least:
+            return groups
     return best[1]
 
 
-def fit(histogram: dict[int, int], length: int, grid: int, depth: int, share: float) -> list[tuple[list[int], int]]:
-    """One plan: ``share`` of the repeats that least squares finds on ``grid`` steps, then best fit."""
+def fit(histogram: dict[int, int], length: int, grid: int, depth: int) -> tuple[list[tuple[list[int], int]], int]:
+    """One plan, and how many pieces of it the fitted patterns place; the rest goes best fit.
+
+    Lengths are rounded to the nearest of ``grid`` steps, so that patterns are neither too full nor too
+    empty on average. A repeat takes the longest pieces left of its steps but for the last two, which are
+    chosen to fill the sequence to the end; repeats for which that cannot be are left to best fit.
+    """
     left = np.zeros(length + 1, np.int64)
     for size, n in histogram.items():
         left[size] = n
-    step = -(-length // grid)
+    step = -(-length // min(grid, length))
     grid = -(-length // step)
-    while grid * step > length:  # patterns of grid cells must fit the sequence
-        grid -= 1
-    cells = -(-np.arange(length + 1) // step)  # of a length, rounded up
+    cells = np.minimum(grid, (np.arange(length + 1) + step // 2) // step)
     want = np.bincount(cells, weights=left, minlength=grid + 1)
+    small = grid // SMALL  # pieces of so many steps fill gaps later
+    want[: small + 1] = 0
     shapes = _patterns(grid, depth)
+    shapes = shapes[shapes[:, : small + 1].sum(1) == 0]
     # Cells weigh by their length: what stays over of the long pieces is the hardest to place.
     weight = np.sqrt(np.arange(grid + 1) / grid)
-    repeats = np.floor(share * nnls((shapes * weight).T, want * weight)).astype(np.int64) if want.sum() else np.zeros(len(shapes), np.int64)
+    repeats = np.round(nnls((shapes * weight).T, want * weight)).astype(np.int64) if want.sum() else np.zeros(len(shapes), np.int64)
+    low = np.searchsorted(cells, np.arange(grid + 2))  # a cell's lengths: low[c] to low[c + 1] - 1
     groups: list[tuple[list[int], int]] = []
-    for k in np.argsort(-repeats, kind="stable"):
+    placed = 0
+
+    def longest(below: int, least: int, took: list[int]) -> int:
+        """The longest length under ``below`` and from ``least`` on of which a piece is left beside those in ``took``; 0 if none."""
+        for x in range(below - 1, least - 1, -1):
+            if left[x] > 0 and left[x] > took.count(x):
+                return x
+        return 0
+
+    def closing(gap: int, c: int, d: int, took: list[int]) -> list[int]:
+        """Two lengths of the steps ``c`` and about ``d`` that fill ``gap`` exactly; a 0 if there are none."""
+        near = range(max(1, int(low[max(0, d - 1)])), int(low[min(grid, d + 1) + 1]))
+        for x in range(int(low[c + 1]) - 1, int(low[c]) - 1, -1):
+            y = gap - x
+            if y in near and left[x] > took.count(x) and left[y] > took.count(y) + (x == y):
+                return [x, y]
+        return [0]
+
+    for k in np.argsort(-repeats * (shapes * np.arange(grid + 1)).max(1), kind="stable"):
         todo = int(repeats[k])
         parts = [c for c in range(grid, 0, -1) for _ in range(int(shapes[k][c]))]
-        while todo > 0:  # the longest lengths of each cell first; a group ends when one of its lengths runs out
+        while todo > 0:
             took: list[int] = []
-            for c in parts:
-                own = np.arange(max(1, (c - 1) * step + 1), min(length, c * step) + 1)
-                have = [int(x) for x in own[::-1] if left[x] > took.count(int(x))]
-                if not have:
-                    break
-                took.append(have[0])
-            if len(took) < len(parts):
+            for c in parts[:-2]:
+                took.append(longest(int(low[c + 1]), int(low[c]), took))
+            gap = length - sum(took)
+            if len(parts) == 1:
+                took.append(longest(length + 1, int(low[max(0, grid - 1)]), took))
+            elif all(took):
+                took += closing(gap, *parts[-2:], took)
+            else:
+                break
+            if not all(took):
                 break
             n = min(todo, *(int(left[x]) // took.count(x) for x in took))
             for x in took:
                 left[x] -= n
             groups.append((took, n))
+            placed += n * len(took)
             todo -= n
     # Best fit of the rest, longest first, over groups of sequences with the same gap.
     gaps: dict[int, list[tuple[list[int], int]]] = {}
@@ -339,7 +383,7 @@ def fit(histogram: dict[int, int], length: int, grid: int, depth: int, share: fl
                 gaps[gap].append((took, n - m))
             gaps.setdefault(gap - x, []).append(([*took, x], m))
             left[x] -= m
-    return [g for same in gaps.values() for g in same]
+    return [g for same in gaps.values() for g in same], placed
 
 
 def slots(groups: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:

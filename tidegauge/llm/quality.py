@@ -1,10 +1,11 @@
 """Quality by weak supervision.
 
-Heuristic labellers vote good, bad or nothing on every document. Expectation maximisation over the counts
-of vote patterns (three to the number of labellers at most, whatever the corpus) estimates how often each
-labeller votes what on good and on bad documents, and with that the probability that a pattern's
-documents are good. These probabilities are the labels of a linear scorer on hashed features, which is
-fitted on a bounded sample and then decides on all documents.
+Heuristic labellers vote good, bad or nothing on every document; they overlap, so that most kinds of bad
+text are seen by two or three of them. Expectation maximisation over the counts of vote patterns (three to
+the number of labellers at most, whatever the corpus) estimates how often each labeller votes what good
+documents and on each kind of bad ones, and with that the probability that a pattern's documents are good: a
+labeller that stands alone against the others is taken for wrong. These probabilities are the labels of a linear
+scorer on hashed features, which is fitted on a bounded sample and then decides on all documents.
 """
 
 from __future__ import annotations
@@ -18,33 +19,37 @@ from pyspark.sql import functions as F
 
 from . import batches as B
 from .ngrams import _BYTES, _SPACE
+from .suffixes import pair
 
 #: Hashed features, and documents (those of the smallest id hash) on which the scorer is fitted.
 FEATURES, SAMPLE = 1024, 5_000
-#: Labellers: measure, bad above, good below.
+#: Labellers: share, bad above, good below, and how many units a share has to rest on to count half.
 LABELLERS = (
-    ("symbols", 0.04, 0.01),  # symbols of characters
-    ("capitals", 0.45, 0.15),  # capitals of ASCII letters
-    ("repeated", 0.20, 0.05),  # words that equal the one before
-    ("bare", 0.20, 0.05),  # words without a letter or digit
-    ("long", 0.60, 0.35),  # characters in words of over 16 bytes
+    ("symbols", 0.04, 0.015, 60),  # symbols of characters
+    ("capitals", 0.40, 0.15, 40),  # capitals of ASCII letters
+    ("shouted", 0.40, 0.10, 8),  # words of three letters or more without a small one
+    ("marked", 0.10, 0.03, 8),  # words that end in two marks or more
+    ("ended", 0.35, 0.25, 40),  # words that end a sentence
+    ("repeated", 0.15, 0.05, 8),  # words that equal the one before
+    ("again", 0.30, 0.15, 8),  # pairs of words that the text had already
+    ("bare", 0.15, 0.05, 8),  # words without a letter or digit
+    ("long", 0.60, 0.35, 60),  # characters in words of over 16 bytes
 )
 _CLASS = np.zeros((4, 256), np.uint8)
 _CLASS[0, list(b"%$#*&|~^<>{}[]\\@=+_!")] = 1
 _CLASS[1, 65:91] = 1
 _CLASS[2, 65:91] = _CLASS[2, 97:123] = 1
 _CLASS[3, list(b".?!:;")] = 1
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b"%$#*&|~^<>{}[]\\@=+_!?.,:;-")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-#: Labellers are made to speak against a good document at most so often. Without that bound a rare kind of bad
-#: document, which one labeller alone sees and all others call good, would be taken for that labeller's errors.
-WRONG = 0.00002
-#: Share of the bad documents, at most, that no labeller speaks against.
-MISSED = 0.05
-#: Bytes from which a text's byte pairs count in full; those of shorter ones say little.
-FULL = 300
-#: Words below which a document says too little to vote on.
-FEW = 4
+#: Votes that the prior of a labeller in a class is worth, halved.
+PRIOR = 1.0
+#: Characters on which a text's byte pairs have to rest to count half.
+HALF = 100
 
 
 class Measured:
@@ -54,7 +59,6 @@ class Measured:
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
         starts = np.concatenate(([0], ends[:-1]))
-        n = np.maximum(1, ends - starts - 1).astype(np.float64)
         space = _SPACE[data]
         word = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
         stop = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
@@ -79,54 +83,81 @@ class Measured:
         else:
             again = bare = ended = np.zeros(0, bool)
         w = np.maximum(1, self.words).astype(np.float64)
-        self.measures = np.stack([
-            symbols / n, capitals / np.maximum(1, letters), per_text(again) / w, per_text(bare) / w,
-            per_text(lens * (lens > 16)) / n,
-        ], axis=1)
+        if len(word):
+            marked = _MARK[data[stop - 1]] & _MARK[data[np.maximum(stop - 2, 0)]] & (lens > 2)
+            small = np.logical_or.reduceat(_SMALL[data], word)
+            shouted = ~small & (np.add.reduceat(_CLASS[1][data], word, dtype=np.int64) > 2)
+            pairs = np.concatenate((pair(h[:-1], h[1:]), h[:1]))
+            pairs[np.concatenate((doc[1:] != doc[:-1], [True]))] = 0  # a text's last word begins none
+            key = pair(pairs, doc.astype(np.uint64))
+            had = np.ones(len(word), bool)
+            had[np.unique(key, return_index=True)[1]] = False
+            had &= pairs != 0
+        else:
+            marked = had = shouted = again
+        counts = (
+            (symbols, ends - starts - 1), (capitals, letters), (per_text(shouted), self.words), (per_text(marked), self.words), (per_text(ended), self.words), (per_text(again), self.words),
+            (per_text(had), self.words), (per_text(bare), self.words), (per_text(lens * (lens > 16)), ends - starts - 1),
+        )
+        # Shares are drawn towards the middle, where a labeller says nothing, the more so the less they rest on.
+        self.measures = np.stack([(x + weight * (bad + good) / 2) / (of + weight) for (x, of), (_, bad, good, weight) in zip(counts, LABELLERS, strict=True)], axis=1)
+        events = (again, bare, ended, marked, had)
         if features:
-            self.features = self._hashed(data, starts, ends, per_text, again, bare, ended, w)
+            self.features = self._hashed(data, starts, ends, per_text, events, w)
 
-    def _hashed(self, data, starts, ends, per_text, again, bare, ended, w) -> np.ndarray:
+    def _hashed(self, data, starts, ends, per_text, events, w) -> np.ndarray:
         """Byte pairs hashed into FEATURES counts, scaled to a text's length, and the shares of word events."""
         pairs = ((data[:-1].astype(np.uint32) * 251 + data[1:]) * np.uint32(2654435761) >> np.uint32(22)).astype(np.int64)
         out = np.zeros((len(starts), FEATURES), np.float32)
         for k, (a, z) in enumerate(zip(starts.tolist(), (ends - 1).tolist(), strict=True)):
             if z - a > 1:
-                out[k] = np.sqrt(np.bincount(pairs[a : z - 1], minlength=FEATURES) / (z - a - 1)) * min(1.0, (z - a) / FULL)
-        for j, event in enumerate((again, bare, ended)):
+                out[k] = np.sqrt(np.bincount(pairs[a : z - 1], minlength=FEATURES) / (z - a - 1)) * ((z - a) / (z - a + HALF))
+        for j, event in enumerate(events):
             out[:, j] = per_text(event) / w
         return out
 
     def votes(self) -> np.ndarray:
         """Each text's pattern: a ternary digit a labeller, 0 nothing, 1 good, 2 bad."""
         code = np.zeros(len(self.words), np.int64)
-        for k, (_, bad, good) in enumerate(LABELLERS):
+        for k, (_, bad, good, _) in enumerate(LABELLERS):
             x = self.measures[:, k]
-            code += 3**k * np.where(self.words < FEW, 0, np.where(x > bad, 2, np.where(x < good, 1, 0)))
+            code += 3**k * np.where(x > bad, 2, np.where(x < good, 1, 0))
         return code
 
 
-def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
-    """Pattern -> probability of good, by expectation maximisation with independent labellers in each class."""
-    codes = np.array(sorted(counts), np.int64)
-    n = np.array([counts[c] for c in codes.tolist()], np.float64)
-    votes = np.stack([codes // 3**k % 3 for k in range(len(LABELLERS))], axis=1)
-    seen_bad = (votes == 2).any(axis=1)
-    good, unseen = np.where(seen_bad, 0.1, 0.9), np.where(seen_bad, 0.0, np.log(MISSED))
+def latent_classes(votes: np.ndarray, n: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the classes, each one's chance of a bad vote by labeller, and each pattern's posterior over the classes.
+
+    Class 0 is good text, and there is a class of bad text for each labeller to begin with, so that kinds
+    of bad text that only some labellers see need not be taken for one another's errors. Within a class
+    labellers vote independently, and whether one votes at all says nothing. ``votes`` has a row a pattern.
+    """
+    bad, seen = (votes == 2).astype(float), (votes > 0).astype(float)
+    # The start: patterns without bad votes are good, others are shared between the labellers that speak against them.
+    own = np.hstack([(bad.sum(1) == 0)[:, None].astype(float), bad / np.maximum(1, bad.sum(1))[:, None]])
     for _ in range(rounds):
-        logs = []
-        right = good * n
-        for share in (right, (1 - good) * n):
-            log = np.full(len(codes), np.log(share.sum() + 1.0))
-            for k in range(votes.shape[1]):
-                seen = np.bincount(votes[:, k], weights=share, minlength=3) + 0.5
-                chance = seen / seen.sum()
-                if share is right:
-                    chance[2] = min(chance[2], WRONG)
-                log += np.where(votes[:, k] > 0, np.log(chance)[votes[:, k]], 0.0)
-            logs.append(log if share is right else log + unseen)
-        good = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
-    return dict(zip(codes.tolist(), good.tolist(), strict=True))
+        weight = own * n[:, None]
+        share = (weight.sum(0) + PRIOR) / (weight.sum() + PRIOR * own.shape[1])
+        # Of two votes that the prior is worth, a labeller gives a bad text one against it, and a good text a quarter of one.
+        begin = np.where(np.arange(own.shape[1]) == 0, 0.25, 1.0)[:, None] * PRIOR
+        chance = (weight.T @ bad + begin) / (weight.T @ seen + 2 * PRIOR)
+        log = np.log(share) + bad @ np.log(chance).T + (seen - bad) @ np.log(1 - chance).T
+        own = np.exp(log - log.max(1, keepdims=True))
+        own /= own.sum(1, keepdims=True)
+    return share, chance, own
+
+
+def label_model(counts: dict[int, int], labellers: int = len(LABELLERS)) -> dict[int, float]:
+    """Pattern -> probability of good, by expectation maximisation over latent classes.
+
+    A class counts as bad if two labellers or more speak against its texts more often than not: what one
+    labeller alone has against texts that all others call good is taken for its own error.
+    """
+    codes = np.array(sorted(counts), np.int64)
+    votes = np.stack([codes // 3**k % 3 for k in range(labellers)], axis=1)
+    _, chance, own = latent_classes(votes, np.array([counts[c] for c in codes.tolist()], np.float64))
+    good = own[:, (chance > 0.5).sum(1) < 2].sum(1)
+    return dict(zip(codes.tolist(), np.clip(good, 0.0, 1.0).tolist(), strict=True))
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 600, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -145,8 +176,7 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
     """doc_id, votes, label, score, keep and the columns of ``docs``: one row a document.
 
     ``label`` is the label model's probability of good, ``score`` the scorer's; a document is kept if its
-    score reaches ``threshold``. Documents of fewer than four words (null and empty texts among them) get
-    no votes and are judged by the scorer alone. Scores depend on the text and the corpus statistics
+    score reaches ``threshold``. Short texts (null and empty ones, too) give labellers little to vote on. Scores depend on the text and the corpus statistics
     only, so equal texts fare alike. No rows give no rows; columns of those names are replaced.
     """
     spark = docs.sparkSession
