@@ -45,7 +45,7 @@ def clash(df):
     return df.select("*", *[F.lit("x").alias(c) for c in CLASHING])
 
 
-LAST = 2**63 - 1
+LAST = 2**63
 
 
 def order(i):

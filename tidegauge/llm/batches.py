@@ -1,7 +1,7 @@
 """Exchange of content keys between batches of documents.
 
 A batch is a set of documents of some megabytes, chosen by a hash of id and text and held as compressed rows.
-A batch names its content (chunks, strings) by 64-bit keys and sends each distinct key once, with the
+A batch names its content (chunks, strings) by keys and sends each distinct key once, with the
 smallest document that holds it, to the key's bucket. The bucket finds which batches' keys occur
 elsewhere or belong to a smaller document, and answers every batch with one bit a key, in the order in
 which the batch sent them. A frequent key thus costs a bucket at most one entry a batch, however many
@@ -21,12 +21,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import cut, parallelism
 
-#: Text bytes of a batch, on average.
-BATCH_BYTES = 4 << 20
-#: Stands for a null id: after all others.
-LAST = 2**63 - 1
+#: Text bytes of a batch and key bytes of a bucket, on average.
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Stands for a null id inside the operators: after all others. Ids are moved by one where one of them is this number.
+LAST, FIRST = 2**63 - 1, -(2**63)
+#: A group of equal keys is hot from one in so many rows on; there are fewer of them than that.
+HOT = 10_000
 
 SENT = "bucket int, batch int, keys binary, docs binary, counts binary"
 ANSWER = "batch int, kind int, bucket int, bits binary"
@@ -34,31 +36,77 @@ ANSWER = "batch int, kind int, bucket int, bits binary"
 
 @dataclass(frozen=True)
 class Sizes:
-    """Number of batches and buckets, and bytes of a key that are sent."""
+    """Numbers of batches, buckets and keys, and the free id below which ids stay as they are, if there is one to fill."""
 
     batches: int
+    buckets: int
     n_keys: float
-
-    @property
-    def buckets(self) -> int:
-        return self.batches
+    gap: int | None = None
 
     def width(self, exact: bool) -> int:
-        """Bytes that keep chance collisions below 1 in 256 for a key, or (``exact``) for all keys together."""
-        n = max(2.0, self.n_keys)
-        bits = (2 if exact else 1) * math.log2(n) + 8 - math.log2(self.buckets)
-        return min(8, max(4, math.ceil(bits / 8)))
+        """Bytes that keep chance collisions below 1 in 256 for a key, or (``exact``) for all keys together.
+
+        The bits that choose the bucket are not among those sent, so they count, too. Up to 8 bytes come
+        from the first half of a key of 128 bits, more from the second.
+        """
+        bits = (2 if exact else 1) * math.log2(max(2.0, self.n_keys)) + 8 - math.log2(self.buckets)
+        return min(12, max(4, math.ceil(bits / 8)))
+
+    def inside(self, doc_id: Column) -> Column:
+        """An id as the operators use it: null is LAST, and no other is."""
+        i = doc_id.cast("long")
+        return F.coalesce(i if self.gap is None else F.when(i > self.gap, i - 1).otherwise(i), F.lit(LAST))
+
+    def outside(self, doc: Column) -> Column:
+        """The id again."""
+        return F.when(doc != LAST, doc if self.gap is None else F.when(doc >= self.gap, doc + 1).otherwise(doc))
 
 
 def sizes(docs: DataFrame, bytes_per_key: float, batch_bytes: int = BATCH_BYTES) -> Sizes:
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(parallelism(docs.sparkSession), -(-total // batch_bytes), 1)
-    return Sizes(int(n), total / bytes_per_key + 1)
+    i = F.col("doc_id").cast("long")
+    total, least, most = docs.agg(F.sum(F.octet_length("text")), F.min(i), F.max(i)).first()
+    workers, keys, gap = parallelism(docs.sparkSession), (total or 0) / bytes_per_key + 1, None
+    if most == LAST:
+        gap = FIRST
+        if least == FIRST:  # both ends are taken: the first free id between them
+            ids = docs.select(i.alias("i")).distinct()
+            gap = ids.filter(F.col("i") < LAST).select((F.col("i") + 1).alias("i")).join(ids, "i", "left_anti").agg(F.min("i")).first()[0]
+    return Sizes(int(max(workers, -(-(total or 0) // batch_bytes))), int(max(workers, 8 * keys // BUCKET_BYTES)), keys, gap)
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``table`` (a row a key, and in ``rows_of`` how many rows have it) says on their key.
+
+    Keys with more than one in HOT of the rows are fewer than HOT, so they are broadcast and their rows stay
+    where they are; no other key can weigh on the task that it is dealt to.
+    """
+    table = cut(table)
+    total = table.agg(F.sum("rows_of")).first()[0] or 0
+    hot = F.broadcast(table.filter(F.col("rows_of") * HOT > total).drop("rows_of"))
+    cold = table.filter(F.col("rows_of") * HOT <= total).drop("rows_of")
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def copies_of(docs: DataFrame, n: Sizes, counts: Column) -> DataFrame:
+    """doc, least, h1: documents whose text a smaller one has, among the texts for which ``counts`` holds."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    facts = docs.filter(counts).select(n.inside(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.octet_length(text).alias("n"))
+    facts, same = cut(facts), ["h1", "h2", "n"]
+    least = facts.groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("rows_of")).filter("least < most").drop("most")
+    return cut(joined(facts, least, same).filter("doc > least").select("doc", "least", "h1").distinct())
+
+
+def told(copies: DataFrame, n: Sizes) -> DataFrame:
+    """Kind 0 of a batch's answers: a copy's id and text hash, 8 bytes each, in ``bits``."""
+    return copies.select(
+        batch_of(F.col("doc"), F.col("h1"), n).alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
+        F.expr("unhex(concat(lpad(hex(doc), 16, '0'), lpad(hex(h1), 16, '0')))").alias("bits"),
+    ).distinct()
 
 
 def gather(docs: DataFrame, n: Sizes) -> DataFrame:
     """batch, docs, lens, texts: documents by batch, many to a row, texts compressed; dealt out by batch."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(n.inside(F.col("doc_id")).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("batch", batch_of(F.col("doc"), F.xxhash64("text"), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,19 +197,28 @@ def released_both(run):
 class Sending:
     """A batch's distinct keys in the order in which they are sent, and the smallest document of each.
 
-    ``keys`` and ``docs`` (ordinals in the batch) have an entry for each occurrence, documents ascending.
+    ``keys``, ``docs`` (ordinals in the batch) and, for keys of 128 bits, ``more`` have an entry for each
+    occurrence, documents ascending.
     """
 
-    def __init__(self, keys: np.ndarray, docs: np.ndarray, n: Sizes) -> None:
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, n: Sizes, more: np.ndarray | None = None) -> None:
         self.n, self.docs = n, docs
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, bool)
+        if more is not None and len(keys):
+            second = more[order]
+            if np.any(~new[1:] & (second[1:] != second[:-1])):  # equal first halves of different keys
+                order = np.lexsort((more, keys))
+                ranked, second = keys[order], more[order]
+            new = np.concatenate(([True], (ranked[1:] != ranked[:-1]) | (second[1:] != second[:-1])))
         at = np.flatnonzero(new)
         self.of = np.empty(len(keys), np.int64)  # each occurrence's distinct key
         self.of[order] = np.cumsum(new) - 1
         self.keys, self.first = ranked[at], docs[order][at]
-        bucket = ((self.keys >> np.uint64(32)) * np.uint64(n.buckets) >> np.uint64(32)).astype(np.int64)
+        self.more = None if more is None else more[order][at]
+        chooses = self.keys if more is None else self.more
+        bucket = ((chooses >> np.uint64(32)) * np.uint64(n.buckets) >> np.uint64(32)).astype(np.int64)
         self.sent = np.argsort(bucket * (int(docs.max()) + 1 if len(docs) else 1) + self.first, kind="stable")
         self.bucket = bucket[self.sent]
         self.cuts = np.flatnonzero(np.diff(self.bucket)) + 1
@@ -173,7 +230,10 @@ class Sending:
         return out
 
     def rows(self, batch: int, ids: np.ndarray, exact: bool, owners: bool) -> pa.Table:
-        raw = self.keys[self.sent].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.n.width(exact)]
+        width = self.n.width(exact)
+        raw = self.keys[self.sent].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        if width > 8 and self.more is not None:
+            raw = np.hstack([raw, self.more[self.sent].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width - 8]])
         cols: list[list] = [[], [], [], [], []]
         for own in np.split(np.arange(len(self.sent)), self.cuts) if len(self.sent) else []:
             first = self.first[self.sent[own]]
@@ -199,16 +259,19 @@ def answer(sent: DataFrame, n: Sizes, kind: int, exact: bool, owners: bool) -> D
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["batch"].to_pylist(), table["keys"].to_pylist(), table["docs"].to_pylist(), table["counts"].to_pylist(), strict=True), key=lambda r: r[0])
         lens = [len(r[1]) // width for r in rows]
-        raw = np.zeros((sum(lens), 8), np.uint8)
+        raw = np.zeros((sum(lens), 16), np.uint8)
         raw[:, :width] = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, width)
-        keys = raw.view("<u8").ravel()
+        halves = [np.ascontiguousarray(raw[:, k : k + 8]).view("<u8").ravel() for k in range(0, width, 8)]
+        keys = halves[0]
+        del raw
         if owners:
             doc = np.concatenate([np.repeat(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.uint32)) for r in rows])
-            order = np.lexsort((doc, keys))
+            order = np.lexsort((doc, *halves[::-1]))
         else:
-            order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        same = ranked[1:] == ranked[:-1]
+            order = np.argsort(keys, kind="stable") if len(halves) == 1 else np.lexsort(halves[::-1])
+        same = np.ones(len(keys) - 1, bool)
+        for h in halves:
+            same &= h[order[1:]] == h[order[:-1]]
         bit = np.zeros(len(keys), bool)
         if owners:
             new = np.concatenate(([True], ~same))

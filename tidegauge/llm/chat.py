@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Runs of control characters and line separators, which a name in a header must not have.
+BREAKS = "[\\x00-\\x1F\\x7F\u0085\u2028\u2029]+"
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -18,17 +20,20 @@ def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, speaker, rendered, train, n_chars: a row for each turn and perspective.
 
     Participants are a conversation's distinct roles but ``system``; a null role is the participant
-    ``unknown``, a null text is empty. Conversations with system turns alone appear once, with a null
-    perspective and nothing to train on. The template's marks inside a text are broken up by a space.
+    ``unknown`` (a role of that name gets an underscore), a null text is empty. Conversations with system turns alone appear once, with a null
+    perspective and nothing to train on. The template's marks inside a text or a
+    role are broken up by a space, and line breaks inside a role become one.
     Null conv_ids are one conversation; repeated rows are repeated segments; no rows give no rows.
     """
-    speaker = F.coalesce(F.col("role"), F.lit("unknown"))
+    role = F.col("role")
+    speaker = F.when(role.isNull(), "unknown").when(role.rlike(r"^unknown_*\z"), F.concat(role, F.lit("_"))).otherwise(role)
     said = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    rows = turns.select("conv_id", "turn", speaker.alias("speaker"), said.alias("said"))
+    name = F.replace(F.regexp_replace(speaker, BREAKS, " "), F.lit("<|"), F.lit("< |"))
+    rows = turns.select("conv_id", "turn", speaker.alias("speaker"), name.alias("name"), said.alias("said"))
     parts = rows.filter(F.col("speaker") != "system").select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     seen = rows.join(parts, F.col("conv_id").eqNullSafe(F.col("of")), "left")
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
-    head = F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise(F.concat(F.lit("user name="), F.col("speaker")))
+    head = F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise(F.concat(F.lit("user name="), F.col("name")))
     rendered = F.concat(F.lit(BEGIN), head, F.lit("\n"), F.col("said"), F.lit(END + "\n"))
     return seen.select("conv_id", "perspective", "turn", "speaker", rendered.alias("rendered"), own.alias("train"), F.length("said").cast("long").alias("n_chars"))
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import batches as B
 
@@ -96,15 +97,16 @@ def remove_passages(docs: DataFrame, apart: int = 12, most: int = 256, passage:
     def keyed(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[list[int]], B.Sending]:
         ids, texts = B.unpack(table)
         ends = chunked(texts, apart, most)
-        keys: list[int] = []
+        keys: list[bytes] = []
         for t, e in zip(texts, ends, strict=True):
             a = 0
             for z in e:
-                keys.append(xxhash.xxh3_64_intdigest(t[a:z]))
+                keys.append(xxhash.xxh3_128_digest(t[a:z]))
                 a = z
+        digest = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         group = np.repeat(first, np.diff(np.append(first, len(ids))))
-        return ids, texts, ends, B.Sending(np.array(keys, np.uint64), np.repeat(group, [len(e) for e in ends]), n)
+        return ids, texts, ends, B.Sending(digest[:, 0], np.repeat(group, [len(e) for e in ends]), n, digest[:, 1])
 
     def send(table: pa.Table) -> pa.Table:
         ids, _, _, sent = keyed(table)
@@ -134,10 +136,11 @@ def remove_passages(docs: DataFrame, apart: int = 12, most: int = 256, passage:
                         kept.append(t[start:z])
                     start = z
             hashed = int.from_bytes(xxhash.xxh64_digest(t, seed=42), "big", signed=True)  # the seed of Spark's function
-            rows.append((None if i == B.LAST else i, hashed, len(t), len(e), removed, spans, b"".join(kept).decode()))
+            rows.append((i, hashed, len(t), len(e), removed, spans, b"".join(kept).decode()))
         return pa.table([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=names)
 
     names = ["doc_id", "text_hash", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_text"]
     kinds = [pa.int64()] * 6 + [pa.string()]
     answers = B.answer(by.applyInArrow(B.released(send), B.SENT), n, 1, exact=True, owners=True)
-    return by.cogroup(answers.groupBy("batch")).applyInArrow(B.released_both(finish), "doc_id long, text_hash long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_text string")
+    found = by.cogroup(answers.groupBy("batch")).applyInArrow(B.released_both(finish), "doc_id long, text_hash long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_text string")
+    return found.withColumn("doc_id", n.outside(F.col("doc_id")))

@@ -26,14 +26,24 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: its lineage ends there, and a lost executor costs no earlier work.
 
-    The files go when the driver's JVM ends.
+    The files go with ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that ``cut`` gave and nothing reads any more."""
+    for t in tables:
+        if (path := getattr(t, "cut_path", None)) is not None:
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def words(text: Column) -> Column:

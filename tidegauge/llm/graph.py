@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(links: DataFrame, jumps: int = 3) -> DataFrame:
@@ -19,17 +19,20 @@ def components(links: DataFrame, jumps: int = 3) -> DataFrame:
     found = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("to")))
+        near = to = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("to")))
         for _ in range(jumps):
             to = to.alias("x").join(to.alias("y"), F.col("x.to") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.to").alias("to"))
         to = cut(to)
-        if found is None:
+        first = found is None
+        if first:
             found = to.select(F.col("v").alias("doc"), F.col("to").alias("component"))
         else:
             moved = found.join(to, F.col("component") == F.col("v"), "left")
-            found = cut(moved.select("doc", F.coalesce("to", "component").alias("component")))
+            old, found = found, cut(moved.select("doc", F.coalesce("to", "component").alias("component")))
+            discard(old)
         at = lambda side: F.col(f"{side}.to")
         drawn = links.join(to.alias("p"), F.col("a") == F.col("p.v")).join(to.alias("q"), F.col("b") == F.col("q.v"))
         drawn = drawn.select(F.least(at("p"), at("q")).alias("a"), F.greatest(at("p"), at("q")).alias("b"))
-        links = cut(drawn.filter("a <> b").distinct())
+        old, links = links, cut(drawn.filter("a <> b").distinct())
+        discard(old, near, None if first else to)  # the first round's is read by ``found``
     return found if found is not None else links.select(F.col("a").alias("doc"), F.col("b").alias("component"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import cut, parallelism
 
 #: Vectors (those of the smallest hash) on which centroids are fitted and bounds are taken; also the bound of what is broadcast.
 SAMPLE = 20_000
@@ -26,8 +26,10 @@ SAMPLE = 20_000
 BOUND = 16
 #: Share of the vectors that the probed lists hold. Vectors without any structure need more than half of them for a recall of 0.9.
 PROBE = 0.75
-#: Vectors and queries of a tile, about.
-TILE, QUERIES = 8192, 16384
+#: Vectors of a tile, at least and at most, in between so many that each worker has some tiles; queries of a block, about.
+TILES, QUERIES = (256, 8192), 65536
+#: Vectors of the sample for each list, at least.
+PER_LIST = 4
 #: Columns of a block; standard deviations below its share at which a pair is abandoned; pairs that are scored at once.
 BLOCK, DEVIATIONS, PAIRS = 16, 2.5, 1 << 20
 
@@ -111,10 +113,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = P
     rows = classes.select("cid", "embedding").orderBy(F.xxhash64("cid"), "cid").limit(sample).toArrow()
     some, some_ids = _matrix(rows["embedding"]), rows["cid"].to_numpy()
     total = classes.count()
-    lists = int(np.clip(round(total**0.5), 1, 1024))
-    lists = min(lists, len(some))
+    lists = max(1, min(round(total**0.5), len(some) // PER_LIST))
     middle = centroids(some, lists)
-    bounding = slice(0, -(-len(some) // BOUND) if total <= sample else min(len(some), total // BOUND))
+    bounding = slice(0, min(len(some), -(-total // BOUND)))
+    tile_size = int(np.clip(total // (4 * parallelism(spark)), *TILES))
     shared = spark.sparkContext.broadcast((middle, some[bounding], some_ids[bounding], rotation(size)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,26 +126,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = P
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     listed = cut(classes.select("cid", "embedding", "ids").mapInArrow(assign, f"cid long, embedding {kind}, ids array<long>, list int"))
-    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 1024 rows
+    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list: at most a quarter of the sample
     # Small lists share a tile, a large one is spread over several by id.
     first: dict[int, tuple[int, int]] = {}
     tile, filled = 0, 0
     for x in range(lists):
         n = counts.get(x, 0)
-        if n > TILE:
+        if n > tile_size:
             tile, filled = tile + (filled > 0), 0
-            first[x] = (tile, -(-n // TILE))
+            first[x] = (tile, -(-n // tile_size))
             tile += first[x][1]
         else:
-            if filled + n > TILE:
+            if filled + n > tile_size:
                 tile, filled = tile + 1, 0
             first[x] = (tile, 1)
             filled += n
     searched = cut(mine.groupBy("embedding").agg(F.coalesce(F.min("cid"), F.xxhash64("embedding")).alias("cid")))
     parts = max(1, -(-int(searched.count() * min(1.0, probe * 1.5)) // QUERIES))
-    where = F.create_map(*[F.lit(v) for x, (t, n) in first.items() for v in (x, t)])
-    spread = F.create_map(*[F.lit(v) for x, (t, n) in first.items() for v in (x, n)])
-    cells = listed.withColumn("tile", where[F.col("list")] + F.pmod(F.xxhash64("cid"), spread[F.col("list")]).cast("int"))
+    where, spread = (F.get(F.lit([first[x][k] for x in range(lists)]), F.col("list")) for k in (0, 1))
+    cells = listed.withColumn("tile", where + F.pmod(F.xxhash64("cid"), spread).cast("int"))
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else cells.withColumn("part", F.lit(0))
 
     held = np.array([counts.get(x, 0) for x in range(lists)])

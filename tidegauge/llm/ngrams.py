@@ -21,6 +21,7 @@ each, and two documents differ in at least as many tokens as their parities do.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -34,13 +35,12 @@ from .common import WORD, cut
 from .graph import components
 from .suffixes import pair
 
-#: Highest document frequency of each class but the last; tokens of class i > 0 are combined by i.
-CLASSES = (1, 8, 256)
+#: Highest document frequency of each class but the last; tokens of class i > 0 are combined by i, but never by more than MOST.
+CLASSES = (1, 8, 256, 1 << 12, 1 << 16, 1 << 20, 1 << 24)
+MOST = 3
 #: Tokens that a group of combined ones holds, about, if a whole prefix is frequent.
 GROUP = 8
 PARITY = 512
-#: Sizes up to which a document's tokens are all indexed alone.
-TINY = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(1).integers(0, 2**64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -99,33 +99,53 @@ def spare(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den)
 
 
+def _groups(size: int, num: int, den: int) -> int:
+    return max(1, -(-spare(size, num, den) // GROUP))
+
+
+@lru_cache
+def tiny(num: int, den: int) -> int:
+    """Size up to which a class of sizes has documents that combinations may not cover: each group can lose one token of those combined by 2 and two of others."""
+    bounds, most = size_classes(num, den, 1000).tolist(), 0
+    for k, size in enumerate(bounds[:-1]):
+        sizes = range(bounds[max(0, k - 1)], bounds[k + 1])
+        if any(n - 3 * _groups(size, num, den) < spare(n, num, den) + 1 for n in sizes):
+            most = size
+    return most
+
+
 def index_keys(toks: np.ndarray, level: np.ndarray, num: int, den: int, bounds: np.ndarray) -> np.ndarray:
     """The keys under which a document is indexed; none if it has no partner. ``level``: the frequency class of each token."""
     n = len(toks)
     need = spare(n, num, den) + 1 - int(np.count_nonzero(level == 0))
     if need <= 0:
         return np.zeros(0, np.uint64)
+    if spare(n, num, den) == 0 and n * den // num == n:  # only an equal set can link
+        key = np.full(1, np.uint64(n))
+        for t in toks:
+            key = pair(key, t.reshape(1))
+        return key
     order = np.lexsort((toks, level))
     order = order[np.searchsorted(level[order], 1) :]
     toks, level = toks[order], level[order]
     rare = int(np.searchsorted(level, 2))
     if rare >= need:
         return toks[:need]
-    keys = [toks[:rare]]
+    keys, by_k = [toks[:rare]], np.minimum(level, MOST)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
     for context in (own, own + 1):
         size = int(bounds[context])
-        if size <= TINY:
+        if size <= tiny(num, den):
             keys.append(toks[rare:need])
             continue
-        groups = max(1, -(-spare(size, num, den) // GROUP))
+        groups = _groups(size, num, den)
         # What each token adds once its group holds as many as it combines, until the prefix cannot be missed.
-        cell = level[rare:].astype(np.int64) * groups + (toks[rare:] >> np.uint64(20)).astype(np.int64) % groups
+        cell = by_k[rare:].astype(np.int64) * groups + (toks[rare:] >> np.uint64(20)).astype(np.int64) % groups
         by = np.argsort(cell, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], cell[by][1:] != cell[by][:-1])))
         place = np.empty(len(cell), np.int64)
         place[by] = np.arange(len(cell)) - np.repeat(first, np.diff(np.append(first, len(cell))))
-        counts = np.cumsum(place >= level[rare:] - 1)
+        counts = np.cumsum(place >= by_k[rare:] - 1)
         upto = int(np.searchsorted(counts, need - rare)) + 1
         held: dict[int, list[int]] = {}
         for c, t in zip(cell[:upto].tolist(), toks[rare : rare + upto].tolist(), strict=True):
@@ -140,7 +160,7 @@ def index_keys(toks: np.ndarray, level: np.ndarray, num: int, den: int, bounds:
 
 
 def _frequencies(sent: DataFrame, n: B.Sizes) -> DataFrame:
-    """The frequency class of each key sent, as two planes of bits; ``docs`` holds its count in the batch, a byte each."""
+    """The frequency class of each key sent, as three planes of bits; ``docs`` holds its count in the batch, a byte each."""
     width = n.width(False)
 
     def run(table: pa.Table) -> pa.Table:
@@ -159,7 +179,7 @@ def _frequencies(sent: DataFrame, n: B.Sizes) -> DataFrame:
         keep = [k for k, p in enumerate(parts) if p.any()]
         return pa.table([
             pa.array([rows[k][0] for k in keep], pa.int32()), pa.array([1] * len(keep), pa.int32()), pa.array([table["bucket"][0].as_py()] * len(keep), pa.int32()),
-            pa.array([np.packbits(np.concatenate((parts[k] & 1, parts[k] >> 1))).tobytes() for k in keep], pa.binary()),
+            pa.array([np.packbits(np.concatenate((parts[k] & 1, parts[k] >> 1 & 1, parts[k] >> 2))).tobytes() for k in keep], pa.binary()),
         ], names=["batch", "kind", "bucket", "bits"])
 
     return sent.groupBy("bucket").applyInArrow(B.released(run), B.ANSWER)
@@ -171,22 +191,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Texts are lower-cased in A-Z and split at the six ASCII white-space characters; n_shingles is the
     number of distinct shingles. Documents link when den * shared >= num * union; component_id is the
     smallest doc_id that links reach. A document without words links with nothing, a null text has no
-    words. Rows with the same id are one node of the graph; a null id comes after all others, and where
+    words. The threshold is one half at least. Rows with the same id are one node of the graph; a null id comes after all others, and where
     it has no smaller id to name, its component is null. No rows give no rows; other columns are ignored.
     """
+    if 2 * num < den:
+        raise ValueError("the threshold must be at least one half")
     n = B.sizes(docs, bytes_per_key=6)
     by = B.gather(docs, n).groupBy("batch")
     bounds = size_classes(num, den)
     # Equal texts: all but the smallest of a group link to it at once and are indexed no further.
-    text, doc = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(B.LAST))
-    facts = docs.filter(text.rlike(WORD)).select(doc.alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.octet_length(text).alias("n"))
-    same = ["h1", "h2", "n"]
-    least = facts.groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    copies = cut(facts.join(least, same).filter("doc > least").select("doc", "least", "h1").distinct())
-    known = copies.select(
-        B.batch_of(F.col("doc"), F.col("h1"), n).alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
-        F.expr("unhex(concat(lpad(hex(doc), 16, '0'), lpad(hex(h1), 16, '0')))").alias("bits"),
-    )
+    copies = B.copies_of(docs, n, F.coalesce(F.col("text"), F.lit("")).rlike(WORD))
+    known = B.told(copies, n)
 
     def opened(table: pa.Table, side: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[bool], B.Sending]:
         ids, texts = B.unpack(table)
@@ -224,8 +239,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             level = np.zeros(len(sent.keys), np.uint8)
             for own in np.split(np.arange(len(sent.sent)), sent.cuts) if len(sent.sent) else []:
                 if (got := bits.get(int(sent.bucket[own[0]]))) is not None:
-                    planes = np.unpackbits(np.frombuffer(got, np.uint8), count=2 * len(own))
-                    level[sent.sent[own]] = planes[: len(own)] + 2 * planes[len(own) :]
+                    planes = np.unpackbits(np.frombuffer(got, np.uint8), count=3 * len(own)).reshape(3, -1)
+                    level[sent.sent[own]] = planes[0] + 2 * planes[1] + 4 * planes[2]
             level, at = level[sent.of], 0
             for i, t, ok in zip(ids.tolist(), toks, live, strict=True):
                 add(0, None, i, len(t), None, None, None)
@@ -249,16 +264,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     keys = indexed.filter("kind = 1").select("key", "doc", "own")
     sets = indexed.filter("kind = 2").select("doc", "n", "own", "tokens", "parity")
-    shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min_by("doc", "own").alias("centre")).filter("least < most").drop("least", "most")
-    shared = cut(keys.join(shared, "key").select("key", "doc", "centre"))
+    shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min_by("doc", "own").alias("centre"), F.count("*").alias("rows_of")).filter("least < most").drop("least", "most")
+    shared = cut(B.joined(keys, shared, ["key"]).select("key", "doc", "centre"))
     to_least = shared.filter("doc <> centre").select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
     links = cut(verified(to_least, sets, num, den))
     equal = copies.select(F.col("least").alias("a"), F.col("doc").alias("b"))
     found = cut(components(links))
     # Under each key, what is in different components now.
-    placed = shared.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    mixed = cut(placed.join(mixed, "key").join(sets.select("doc", "n", "own", "parity"), "doc"))
+    placed = cut(shared.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows_of")).filter("lo < hi").select("key", "rows_of")
+    mixed = cut(B.joined(placed, mixed, ["key"]).join(sets.select("doc", "n", "own", "parity"), "doc"))
     x, y = mixed.alias("x"), mixed.alias("y")
     differ = " + ".join(f"bit_count(x.parity[{k}] ^ y.parity[{k}])" for k in range(PARITY // 64))
     # den s >= num (n + m - s) is the same as (num + den) (tokens that differ) <= (den - num) (n + m).
@@ -269,8 +284,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     found = components(links.unionByName(more).unionByName(equal))
     rows = indexed.filter("kind = 0").select("doc", "n").join(found, "doc", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
-    known_id = lambda c: F.when(c != B.LAST, c)
-    return rows.select(known_id(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), known_id(component).alias("component_id"))
+    return rows.select(n.outside(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), n.outside(component).alias("component_id"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

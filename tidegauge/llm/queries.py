@@ -80,12 +80,13 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op10_chat": """
-        with t as (select conv_id, turn, coalesce(role, 'unknown') as speaker, replace(coalesce(text, ''), '<|', '< |') as said from conversations),
+    "op10_chat": r"""
+        with t as (select conv_id, turn, case when role is null then 'unknown' when regexp_matches(role, '^unknown_*\z') then role || '_' else role end as speaker, replace(coalesce(text, ''), '<|', '< |') as said from conversations),
+        n as (select *, replace(regexp_replace(speaker, '[\x00-\x1F\x7F' || chr(133) || chr(8232) || chr(8233) || ']+', ' ', 'g'), '<|', '< |') as name from t),
         p as (select distinct conv_id as c, speaker as perspective from t where speaker <> 'system')
         select conv_id, perspective, turn, speaker,
-               '<|im_start|>' || case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user name=' || speaker end
+               '<|im_start|>' || case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user name=' || name end
                  || chr(10) || said || '<|im_end|>' || chr(10) as rendered,
                coalesce(speaker = perspective, false) as train, cast(length(said) as bigint) as n_chars
-        from t left join p on t.conv_id is not distinct from p.c""",
+        from n left join p on n.conv_id is not distinct from p.c""",
 }

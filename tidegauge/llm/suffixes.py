@@ -15,6 +15,7 @@ leaves about one position in thirteen for 50 bytes and loses no string.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,28 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
 
 
+_OTHER = np.random.default_rng(51).integers(0, 2**64, 256, dtype=np.uint64)
+#: An odd number and its inverse modulo 2**64.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse, ``n`` of each."""
+    out = []
+    for x in (_BASE, _INVERSE):
+        p = np.full(n, x, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from a table for lengths up to the next power of two, which the next slice can use again."""
+    return _powers(1 << max(20, (n - 1).bit_length())) if n <= 1 << 22 else _powers.__wrapped__(n)
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The fingerprint of a pair of ranks."""
     x = a * _M1
@@ -63,7 +86,7 @@ class Slice:
     def __init__(self, first: int, texts: list[bytes], length: int) -> None:
         self.half = length // 2 + 1
         self.lens = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        self.data = data = np.frombuffer(b"".join(texts), np.uint8)
         end = np.repeat(np.cumsum(self.lens), self.lens)
         self.doc = np.repeat(np.arange(first, first + len(texts)), self.lens)
         self.rank = ranks(data, self.half)
@@ -77,11 +100,17 @@ class Slice:
         self.runs, self.run_lens = runs[own], lens[own]
         self.keys, self.key_docs = self.least[self.runs], self.doc[self.runs]
 
-    def strings(self, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of the strings in ``shared`` runs, their ranks, and their documents."""
+    def strings(self, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the strings in ``shared`` runs, their ranks, second fingerprints of their bytes, and their documents."""
         start, n = self.runs[shared], self.run_lens[shared]
         at = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return at, pair(self.rank[at], self.rank[at + length - self.half]), self.doc[at]
+        return at, pair(self.rank[at], self.rank[at + length - self.half]), self._second(at, length), self.doc[at]
+
+    def _second(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Fingerprints that have nothing in common with the ranks: sums of byte values times powers, from prefix sums."""
+        up, down = powers(len(self.data) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_OTHER[self.data] * up[: len(self.data)], dtype=np.uint64)))
+        return pair((sums[at + length] - sums[at]) * down[at], np.full(len(at), _M3))
 
 
 def _parts(texts: list[bytes], live: np.ndarray, length: int) -> list[Slice]:
@@ -106,16 +135,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False) -
     n = B.sizes(docs, bytes_per_key=(length - length // 2) / 2)
     packed = B.gather(docs, n)
     # Equal texts first: but for the smallest document of a group they go as a whole, and take no part.
-    text, doc = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(B.LAST))
-    facts = docs.select(doc.alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.octet_length(text).alias("n")).filter(F.col("n") >= length)
-    same = ["h1", "h2", "n"]
-    least = facts.groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    copies = facts.join(least, same).filter("doc > least").select("doc", "h1").distinct()
-    # Kind 0 of a batch's answers: such a copy's id and text hash, 8 bytes each, in ``bits``.
-    copies = copies.select(
-        B.batch_of(F.col("doc"), F.col("h1"), n).alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
-        F.expr("unhex(concat(lpad(hex(doc), 16, '0'), lpad(hex(h1), 16, '0')))").alias("bits"),
-    )
+    copies = B.told(B.copies_of(docs, n, F.octet_length(F.coalesce(F.col("text"), F.lit(""))) >= length), n)
 
     def opened(table: pa.Table, side: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         ids, texts = B.unpack(table)
@@ -130,16 +150,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False) -
 
     def second_round(ids: np.ndarray, parts: list[Slice], sent: B.Sending, side: pa.Table) -> tuple[list[np.ndarray], B.Sending]:
         shared = (sent.answered(B.bits_of(side, 1)) | sent.many())[sent.of]
-        places, keys, own, at = [], [], [], 0
+        places, keys, more, own, at = [], [], [], [], 0
         for p in parts:
             k = len(p.keys)
-            pos, key, doc = p.strings(shared[at : at + k], length)
+            pos, key, second, doc = p.strings(shared[at : at + k], length)
             places.append(pos)
             keys.append(key)
+            more.append(second)
             own.append(doc)
             at += k
         docs_of = _join(own, np.int64)
-        return places, B.Sending(_join(keys, np.uint64), _group(ids)[docs_of] if len(docs_of) else docs_of, n)
+        return places, B.Sending(_join(keys, np.uint64), _group(ids)[docs_of] if len(docs_of) else docs_of, n, _join(more, np.uint64))
 
     def send_first(table: pa.Table, side: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -181,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False) -
                     spans = int(cov[0]) + int(np.count_nonzero(cov[1:] & ~cov[:-1]))
                 else:
                     kept, removed, spans = text, 0, 0
-                rows.append((None if ids[k] == B.LAST else int(ids[k]), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
+                rows.append((int(ids[k]), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
             first += len(p.lens)
         names = [c.split()[0] for c in schema.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
@@ -192,7 +213,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False) -
     one = B.answer(by.cogroup(copies.groupBy("batch")).applyInArrow(B.released_both(send_first), B.SENT), n, 1, exact=False, owners=False)
     side = copies.unionByName(one)
     two = B.answer(by.cogroup(side.groupBy("batch")).applyInArrow(B.released_both(send_second), B.SENT), n, 2, exact=True, owners=True)
-    return by.cogroup(side.unionByName(two).groupBy("batch")).applyInArrow(B.released_both(finish), schema)
+    found = by.cogroup(side.unionByName(two).groupBy("batch")).applyInArrow(B.released_both(finish), schema)
+    return found.withColumn("doc_id", n.outside(F.col("doc_id")))
 
 
 def _group(ids: np.ndarray) -> np.ndarray:
