@@ -101,7 +101,7 @@ def told(copies: DataFrame, n: Sizes) -> DataFrame:
     return copies.select(
         batch_of(F.col("doc"), F.col("h1"), n).alias("batch"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
         F.expr("unhex(concat(lpad(hex(doc), 16, '0'), lpad(hex(h1), 16, '0')))").alias("bits"),
-    ).distinct()
+    )
 
 
 def gather(docs: DataFrame, n: Sizes) -> DataFrame:
