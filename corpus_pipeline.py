@@ -18,7 +18,11 @@ ORACLE_SQL = None
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches one half."""
+    """Documents whose quality score reaches one half.
+
+    The score depends on the text alone, so equal texts fare alike; null and empty texts are scored like very
+    short ones. Rows stay as they are, repeated ones, too; no rows give no rows; other columns go.
+    """
     return quality.score(docs.select(*COLUMNS)).filter("keep").select(*COLUMNS)
 
 
@@ -31,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group whose five-word shingles are at least 0.8 alike: that of the smallest id, null after all others. Of rows with the same id and text one stays.
 
     Rows are told apart by a 64-bit key of id and text, so rows that share an id, or have none, link on their own.
+    Texts without words link with nothing and stay, once for each id. No rows give no rows; other columns go.
     """
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
     keyed = docs.select(*COLUMNS, key.alias("key"))
@@ -44,7 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that documents of smaller ids hold; what has no word left goes."""
+    """Documents without the passages that documents of smaller ids hold; what has no word left goes.
+
+    Rows of one id take nothing from one another, and null ids come after all others and count as one. Texts
+    that lost nothing stay as they are, null and empty ones, too. No rows give no rows; other columns go.
+    """
     cut_ones = chunks.remove_passages(docs).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("h"), "kept_text").dropDuplicates(["cut_id", "h"])
     rows = _hashed(docs).join(cut_ones.withColumnRenamed("h", "cut_h"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("h") == F.col("cut_h")), "left")
     rows = rows.filter(F.col("kept_text").isNull() | F.col("kept_text").rlike(WORD))
@@ -53,7 +62,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and again where its source's share asks for it: half as many words more, by weight, at most twice each."""
+    """Every document once, and again where its source's share asks for it: half as many words more, by weight, at most twice each.
+
+    Rows of equal id and text are one document here; a document with null or empty text or without words stays
+    once. Ties in the mixing order are between documents of equal hash and are broken by id and size. A null
+    source is a source. No rows give no rows; other columns go.
+    """
     mixed = mixing.mix(_hashed(docs), weights=(5, 2, 1), share=1.5, cap=2.0, floor=1.0, keep=("h",))
     times = F.greatest(F.lit(1), F.round(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int"))
     # Texts stay out of the mixing: a row's number of copies is joined to it at the end.
@@ -63,7 +77,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of 2048."""
+    """The documents' tokens in sequences of 2048: a row a piece.
+
+    Null and empty texts are a piece of one token. Repeated rows are packed each; no rows give no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
