@@ -101,3 +101,8 @@ def components(rows, k, num, den):
 def bag(text):
     w = (text or "").lower().split()
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)
+
+
+def jaccard(a, b):
+    x, y = bag(a), bag(b)
+    return sum((x & y).values()) / sum((x | y).values()) if x or y else 1.0

@@ -319,6 +319,45 @@ def test_mix_targets(spark):
     assert got == {"a": 200.0, "b": 200.0, None: 100.0, "c": 1.5 * 1250 - 500}
 
 
+def water(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    """Targets by sharing what is left among the sources that are not full, until none is above its cap."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full, left = {}, share * sum(sizes.values())
+    while True:
+        open_ = [s for s in names if s not in full]
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > cap * sizes[s] + 1e-9]
+        if not over:
+            return full | {s: left * weight[s] / total for s in open_}
+        for s in over:
+            full[s] = cap * sizes[s]
+        left = share * sum(sizes.values()) - sum(full.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_by_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    names = [*(f"s{k}" for k in range(9)), None, ""]
+    rows = [(int(k), " ".join(["w"] * int(r.integers(0, 30) ** (1 + k % 2))), "", names[int(r.integers(0, 11) * r.random())], 0) for k in range(300)]
+    rows += rows[:20]  # ties: rows that are equal in all
+    got = mixing.mix(cases.frame(spark, rows)).join(spark.createDataFrame([(r[0], r[3]) for r in rows[:300]], "doc_id long, s string"), "doc_id").collect()
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    goal, taken, parts = water(sizes), defaultdict(int), Counter()
+    for x in got:
+        assert x.source_size == sizes[x.s] and x.target == pytest.approx(goal[x.s])
+        taken[x.s] += x.taken
+        parts[x.s] += bool(x["size"]) and x.taken % x["size"] > 0
+    for s in sizes:
+        assert abs(taken[s] - goal[s]) <= 0.5 + 1e-6 and parts[s] <= 1  # one document at most is taken in part
+    blocks = mixing.mixed_rows(mixing.mix(cases.frame(spark, rows))).collect()
+    assert len(blocks) == sum(len(x.shards) for x in got) and {b.shard for b in blocks} == set(range(8))
+    first = [b.doc_id for b in sorted(blocks, key=lambda b: b["at"]) if b.shard == 0]
+    assert len(first) > 10 and first != sorted(first)
+
+
 def test_split_tree_is_exact_and_fair(spark):
     q = spark.createDataFrame([("0a", 700), ("0b", 300), ("0c", 1), ("1", 23)], "skey string, blocks long")
     begins = {x.skey: [*x.begins] for x in mixing.split_tree(q, 8, 1).collect()}
@@ -488,6 +527,24 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert got == pytest.approx(np.mean(want), abs=0.03)
 
 
+def test_likeness_of_each_pair(docs):
+    """At the production number of samples every likeness lies within chance of the exact similarity, and their mean on it."""
+    line = sorted({(cases.order(i), t or "") for i, t, *_ in ROWS}, key=lambda x: -x[0])
+    unique = {i for i, n in Counter(i for i, _ in line).items() if n == 1}
+    exact = {}
+    for k, (i, t) in enumerate(line):
+        nxt = line[(k + 1) % len(line)]
+        if i in unique and nxt[0] in unique:
+            half = len(t) // 2
+            exact[i] = [cases.jaccard(t, x) for x in (t[: len(t) - half] + nxt[1][:half], nxt[1])]
+    errors = []
+    for x in fingerprints.edited_and_fingerprinted(docs).collect():
+        for near, j in zip((x.near_edited, x.near_next), exact.get(x.doc_id, ()), strict=False):
+            errors.append(near - j)
+            assert abs(near - j) <= 4 * np.sqrt(j * (1 - j) / fingerprints.SAMPLES) + 1.5 / fingerprints.SAMPLES, (x.doc_id, near, j)
+    assert len(errors) > 80 and abs(np.mean(errors)) < 0.04
+
+
 # --- 10
 
 def test_chat(spark):

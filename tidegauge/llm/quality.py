@@ -48,6 +48,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Votes that the prior of a labeller in a class is worth, halved.
 PRIOR = 1.0
+#: Bytes of texts that are measured at once.
+SLICE = 1 << 18
 #: Characters on which a text's byte pairs have to rest to count half.
 HALF = 100
 
@@ -185,7 +187,7 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, held in B.slices(t.as_py() for t in b.column(0)):
+            for _, held in B.slices((t.as_py() for t in b.column(0)), SLICE):
                 code, n = np.unique(Measured(held, False).votes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["votes", "n"])
             B.release()
@@ -198,7 +200,7 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, held in B.slices(t.as_py() for t in b.column(1)):
+            for first, held in B.slices((t.as_py() for t in b.column(1)), SLICE):
                 m = Measured(held, True)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), pa.array(m.votes()), pa.array([r.tobytes() for r in m.features], pa.binary())], names=["h", "votes", "x"])
 
@@ -218,7 +220,7 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, labels = model.value
         for b in batches:
-            for first, held in B.slices(t.as_py() or b"" for t in b.column(0).cast(pa.binary())):
+            for first, held in B.slices((t.as_py() or b"" for t in b.column(0).cast(pa.binary())), SLICE):
                 m = Measured(held, True)
                 votes = m.votes()
                 p = 1 / (1 + np.exp(-np.clip(m.features @ w + bias, -50, 50)))
