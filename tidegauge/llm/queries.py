@@ -79,7 +79,55 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+
+
+def _half_byte(x: int) -> int:
+    """What four bits add to a CRC32, whose polynomial this is, bits reversed."""
+    for _ in range(4):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
 ORACLES = {
+    # Shingles of each distinct text, pairs of texts by what they share, and what can be reached by links.
+    "op1_ngrams": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        t as (select w, min(doc_id) as node from d group by w),
+        g as (select node, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from t),
+        n as (select node, cast(len(s) as bigint) as n from g),
+        i as (select s, row_number() over () as id from (select unnest(s) as s from g) group by s having count(*) > 1),
+        k as (select node, id from (select node, unnest(s) as s from g) join i using (s)),
+        p as (select x.node as a, y.node as b, count(*) as common from k x join k y on x.id = y.id and x.node < y.node group by all),
+        l as (select a, b from p join n x on x.node = a join n y on y.node = b where 100 * common >= 90 * (x.n + y.n - common)),
+        e as (select a, b from l union all select b, a from l),
+        c as (select node, node as other from n union select c.node, e.b from c join e on c.other = e.a),
+        m as (select node, min(other) as component from c group by node)
+        select d.doc_id, n.n as n_shingles, case when n.n = 0 then d.doc_id else m.component end as component_id
+        from d join t using (w) join n using (node) join m using (node)""",
+    # The CRC is taken half byte by half byte, the lower one of a byte first.
+    "op3_sharding": rf"""
+        with d as (select doc_id, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\2\1', 'g') as digits from documents),
+        r as (select doc_id, size, xor(4294967295, list_reduce(list_transform(regexp_extract_all(digits, '.'), lambda x: cast('0x' || x as bigint)),
+                lambda c, x: xor(c >> 4, list_extract({[_half_byte(x) for x in range(16)]}, 1 + (xor(c, x) & 15))), cast(4294967295 as bigint))) as text_crc32 from d),
+        p as (select *, cast(sum(size) over (order by doc_id nulls last, text_crc32, size rows unbounded preceding) as bigint) - size as start_byte, cast(sum(size) over () as bigint) as total from r),
+        s as (select *, cast((2 * start_byte + size) * 8 // (2 * total) as int) as shard from p)
+        select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by start_byte) - 1 as slot, cast(null as int) as grown_shard, start_byte from s""",
+    # Strings of 50 bytes with the smallest document of each; runs of what they cover; what is left between runs.
+    "op5_suffixes": r"""
+        with d as (select doc_id, encode(coalesce(text, '')) as b, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents),
+        q as (select doc_id, i, array_slice(b, i, i + 49) as s from (select doc_id, b, unnest(range(1, n - 48)) as i from d)),
+        m as (select s, min(doc_id) as least from q group by s having min(doc_id) < max(doc_id)),
+        h as (select doc_id, i from q join m using (s) where doc_id > least),
+        r as (select doc_id, i, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as run
+              from (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from h)),
+        y as (select doc_id, min(i) as a, max(i) + 49 as z from r group by doc_id, run),
+        g as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as f, a - 1 as t from y
+              union all select doc_id, coalesce(max(z), 0) + 1, n from d left join y using (doc_id) group by doc_id, n),
+        k as (select doc_id, string_agg(case when f <= t then hex(array_slice(b, f, t)) else '' end, '' order by f) as kept from g join d using (doc_id) group by doc_id),
+        v as (select doc_id, cast(sum(z - a + 1) as bigint) as n_removed, count(*) as n_spans from y group by doc_id)
+        select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256
+        from d join k using (doc_id) left join v using (doc_id)""",
     "op10_chat": r"""
         with t as (select conv_id, turn, case when role is null then 'unknown' when regexp_matches(role, '^unknown_*\z') then role || '_' else role end as speaker, replace(coalesce(text, ''), '<|', '< |') as said from conversations),
         n as (select *, replace(regexp_replace(speaker, '[\x00-\x1F\x7F' || chr(133) || chr(8232) || chr(8233) || ']+', ' ', 'g'), '<|', '< |') as name from t),
