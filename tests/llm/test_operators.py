@@ -47,6 +47,24 @@ def test_near_duplicates_among_many_near_copies(spark):
         assert tuples(ngrams.near_duplicates(cases.frame(spark, rows), words, num, 100)) == cases.components(rows, words, num, 100)
 
 
+@pytest.mark.parametrize("words,num", [(3, 90), (1, 80)])
+def test_near_duplicates_among_texts_of_a_template(spark, words, num):
+    """Texts with slots of many widths, whose fillings are unique, rare or frequent: some pairs link, most are just not alike enough."""
+    r = np.random.default_rng(11)
+    rows = []
+    for k in range(240):
+        w = [f"t{j}" for j in range(100 + k % 3)]
+        at, wide, kind = int(r.integers(0, 80)), int(r.integers(0, 9 if words == 3 else 20)), k % 4
+        filling = {0: f"u{k}", 1: f"r{k // 12}", 2: f"f{r.integers(0, 3)}", 3: f"m{k // 60}"}[kind]
+        w[at : at + wide] = [f"{filling}x{j}" for j in range(wide)]
+        if k % 5 == 0:
+            w[90:92] = ["at", f"p{k % 7}"]
+        rows.append((int(k * 11 % 241), " ".join(w), "", "", 0))
+    assert tuples(ngrams.near_duplicates(cases.frame(spark, rows), words, num, 100)) == cases.components(rows, words, num, 100)
+    expected = cases.components(rows, words, num, 100)
+    assert 5 < len({c for _, _, c in expected}) < 235
+
+
 @pytest.mark.parametrize("length", [50, 20, 7])
 def test_substrings(docs, length):
     assert tuples(suffixes.remove_repeats(docs, length)) == cases.substrings(ROWS, length)

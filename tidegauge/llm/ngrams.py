@@ -12,8 +12,15 @@ prefixes of one order, so what the shorter one shares lies in the longer one). C
 inside groups of a class by token hash; the number of groups follows the document's size, and each
 document is indexed for its own class of sizes and the next, so that the partners agree on it.
 
-Documents under one key are verified against the one with the fewest tokens of its own, and components
-formed. What is then left under the same key in different components is compared in pairs, so no link is
+Two documents that meet under a combination either share a rare token, and meet under that, too, or each
+misses all rare tokens of the other one. So a document has a number of tokens that it is known not to share
+under a key. Links allow (den - num) / (den + num) of both sizes together, so one of two partners has no
+more than that part of its own size (it is light); the others (heavy ones) are compared with light ones
+only, and only as far as the lightest one under the key leaves room for them. Texts from one template
+whose variable parts are rare are heavy and make no pairs, however many they are.
+
+Documents under one key are verified against the lightest one, and components formed. What is then left
+under the same key in different components is compared in pairs with light ones, so no link is
 lost while a group of copies of any size costs a verification a document. Pairs are told apart before
 their tokens are looked up: each document has PARITY bits, the parities of how many of its tokens hash to
 each, and two documents differ in at least as many tokens as their parities do.
@@ -226,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     names = ["kind", "key", "doc", "n", "own", "tokens", "parity"]
 
     def index(table: pa.Table, side: pa.Table) -> pa.Table:
-        """Kind 0: a document's size; 1: a key of a document; 2: the tokens of an indexed document that others hold, too."""
+        """Kind 0: a document's size; 1: a key of a document, ``own`` being what it shares with none that it first meets there; 2: the tokens of an indexed document that others hold, too."""
         cols: list[list] = [[] for _ in names]
 
         def add(*values) -> None:
@@ -249,9 +256,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                 own = level[at : at + len(t)]
                 at += len(t)
                 keys = index_keys(t, own, num, den, bounds)
-                single = int(np.count_nonzero(own == 0))
-                for key in keys.view(np.int64).tolist():
-                    add(1, key, i, len(t), single, None, None)
+                single, rare = int(np.count_nonzero(own == 0)), t[own == 1]
+                # Where only equal sets link, rare tokens have no keys of their own.
+                missed = np.where(np.isin(keys, rare), single, single + len(rare)) if spare(len(t), num, den) else np.full(len(keys), single)
+                for key, m in zip(keys.view(np.int64).tolist(), missed.tolist(), strict=True):
+                    add(1, key, i, len(t), m, None, None)
                 if len(keys):
                     held = t[own > 0]
                     odd = np.bincount((held >> np.uint64(33)).astype(np.int64) % PARITY, minlength=PARITY).astype(np.uint8) & 1
@@ -262,24 +271,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     levels = _frequencies(asked, n)
     indexed = cut(by.cogroup(known.unionByName(levels).groupBy("batch")).applyInArrow(B.released_both(index), "kind int, key long, doc long, n long, own long, tokens binary, parity array<long>"))
 
-    keys = indexed.filter("kind = 1").select("key", "doc", "own")
+    # den s >= num (n + m - s) is the same as (num + den) (tokens that differ) <= (den - num) (n + m), so two whose weights add up to more than 0 do not link.
+    keys = indexed.filter("kind = 1").select("key", "doc", F.expr(f"({num} + {den}) * own - ({den} - {num}) * n").alias("weight"))
     sets = indexed.filter("kind = 2").select("doc", "n", "own", "tokens", "parity")
-    shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min_by("doc", "own").alias("centre"), F.count("*").alias("rows_of")).filter("least < most").drop("least", "most")
-    shared = cut(B.joined(keys, shared, ["key"]).select("key", "doc", "centre"))
+    lightest = F.min(F.struct("weight", "doc")).alias("x")
+    shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), lightest, F.count("*").alias("rows_of")).filter("least < most and x.weight <= 0")
+    shared = shared.select("key", F.col("x.doc").alias("centre"), F.col("x.weight").alias("low"), "rows_of")
+    shared = cut(B.joined(keys, shared, ["key"]).filter("weight + low <= 0").select("key", "doc", "centre", "weight"))
     to_least = shared.filter("doc <> centre").select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
     links = cut(verified(to_least, sets, num, den))
     equal = copies.select(F.col("least").alias("a"), F.col("doc").alias("b"))
     found = cut(components(links))
     # Under each key, what is in different components now.
-    placed = cut(shared.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")))
+    placed = cut(shared.join(found, "doc", "left").select("key", "doc", "weight", F.coalesce("component", "doc").alias("component")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows_of")).filter("lo < hi").select("key", "rows_of")
     mixed = cut(B.joined(placed, mixed, ["key"]).join(sets.select("doc", "n", "own", "parity"), "doc"))
-    x, y = mixed.alias("x"), mixed.alias("y")
+    x, y = mixed.filter("weight <= 0").alias("x"), mixed.alias("y")
     differ = " + ".join(f"bit_count(x.parity[{k}] ^ y.parity[{k}])" for k in range(PARITY // 64))
-    # den s >= num (n + m - s) is the same as (num + den) (tokens that differ) <= (den - num) (n + m).
     near = f"({num} + {den}) * ({differ} + x.own + y.own) <= ({den} - {num}) * (x.n + y.n)"
-    apart = x.join(y, F.expr(f"x.key = y.key and x.doc < y.doc and x.component <> y.component and {near}"))
-    rest = apart.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(to_least, ["a", "b"], "left_anti")
+    apart = x.join(y, F.expr(f"x.key = y.key and x.component <> y.component and x.weight + y.weight <= 0 and (y.weight > 0 or x.doc < y.doc) and {near}"))
+    rest = apart.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct().join(to_least, ["a", "b"], "left_anti")
     more = verified(rest, sets, num, den)
     found = components(links.unionByName(more).unionByName(equal))
     rows = indexed.filter("kind = 0").select("doc", "n").join(found, "doc", "left")
