@@ -18,7 +18,7 @@ def by_value(rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     asked = con.execute(queries.ORACLES[name])
     names = [x[0] for x in asked.description]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunks, fingerprints, mixing, neighbours, ngrams, packing, quality, sharding, suffixes
+from . import chat, chunks, fingerprints, infill, mixing, neighbours, ngrams, packing, quality, resampling, sharding, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.transform(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +89,9 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_fingerprints": op9_fingerprints,
     "op10_chat": op10_chat,
+    "op11_toxicity": op11_toxicity,
+    "op12_infill": op12_infill,
+    "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
 
@@ -137,4 +153,31 @@ ORACLES = {
                  || chr(10) || said || '<|im_end|>' || chr(10) as rendered,
                coalesce(speaker = perspective, false) as train, cast(length(said) as bigint) as n_chars
         from n left join p on n.conv_id is not distinct from p.c""",
+    # Cuts, then the parts in their order. What is rebuilt is the text itself.
+    "op12_infill": r"""
+        with d as (select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        k as (select *, cast('0x' || h[1:8] as bigint) % (n + 1) as u, cast('0x' || h[9:16] as bigint) % (n + 1) as v, cast('0x' || h[17:24] as bigint) % 100 as rate, cast('0x' || h[25:32] as bigint) % 100 as first from d),
+        f as (select *, least(u, v) as a, greatest(u, v) as z, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or rate >= 90 then 'plain' when first < 20 then 'spm' else 'psm' end as form from k),
+        p as (select *, substring(t, 1, a) as p, substring(t, a + 1, z - a) as m, substring(t, z + 1, n - z) as s from f)
+        select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then z - a end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+        from p""",
+    # The CRC of each distinct feature is taken half byte by half byte, as for op3.
+    "op13_resampling": rf"""
+        with words as (select 0 as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+            union all select 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+        f as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from words),
+        g as (select side, id, f, count(*) as c from f group by all),
+        x as (select f, xor(4294967295, list_reduce(list_transform(regexp_extract_all(regexp_replace(hex(encode(f)), '(.)(.)', '\2\1', 'g'), '.'), lambda x: cast('0x' || x as bigint)),
+                lambda c, x: xor(c >> 4, list_extract({[_half_byte(x) for x in range(16)]}, 1 + (xor(c, x) & 15))), cast(4294967295 as bigint))) % 10000 as b from (select distinct f from g)),
+        b as (select side, id, b, sum(c) as c from g join x using (f) group by all),
+        s as (select b, coalesce(sum(c) filter (side = 0), 0)::double as s, coalesce(sum(c) filter (side = 1), 0)::double as t from b group by b),
+        n as (select sum(s) as s, sum(t) as t from s),
+        y as (select s.b, cast(floor(1000 * ln((s.t + 1) * (n.s + 10000) / ((s.s + 1) * (n.t + 10000)))) as bigint) as gain from s, n),
+        m as (select id as doc_id, cast(sum(c) as bigint) as n_features, cast(sum(c * gain) as bigint) as total from b join y using (b) where side = 0 group by id),
+        w as (select w.id as doc_id, len(w.w) as n_words, coalesce(n_features, 0) as n_features, coalesce(case when total >= 0 then total // n_features else -((n_features - 1 - total) // n_features) end, 0) as weight,
+                cast('0x' || sha256('7:' || coalesce(cast(w.id as varchar), ''))[1:8] as bigint) as h from words w left join m on m.doc_id = w.id where w.side = 0),
+        z as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) as score from w),
+        r as (select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as n from z where n_words >= 20)
+        select z.doc_id, cast(z.n_features as bigint) as n_features, cast(z.weight as bigint) as weight, z.score, case when r.r <= r.n * 25 // 100 then r.r end as rank from z left join r using (doc_id)""",
 }
