@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: in
                     apart = _APART[np.minimum(chars, len(_APART) - 1)]
                     start = np.flatnonzero(~apart & np.concatenate(([True], apart[:-1])))[::PASSAGE]
                     # Of very long words a passage takes the first characters, here only: the sample is bounded.
-                    cuts = [p[a:z][: 64 * PASSAGE] for a, z in zip(start, [*start[1:], len(p)], strict=True)]
+                    cuts = [p[a:z][: 64 * PASSAGE] for a, z in zip(start, [*start[1:], len(p)], strict=False)]
                     found += [(hash_of(x), x) for x in cuts]
                     found = sorted(found)[:passages]
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([int(toxic)], pa.int32()), pa.array([[x for _, x in found]], pa.list_(pa.string()))], names=["at", "toxic", "passages"])
