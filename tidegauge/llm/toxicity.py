@@ -25,7 +25,7 @@ from . import batches as B
 #: Characters of n-grams, vectors, their dimensions, words of a passage.
 GRAMS, BUCKETS, DIM, PASSAGE = (3, 4, 5), 1 << 16, 8, 8
 #: Labelled documents of the smallest hashes that are fitted on, and passages (of the smallest hashes, too) of each.
-SAMPLE, PASSAGES = 10_000, 64
+SAMPLE, PASSAGES = 8_000, 48
 #: Characters of a text that are read at once.
 SLICE = 1 << 17
 #: What stands between words: white space, and ASCII marks but for those that stand for letters; longer runs of anything are one word.
@@ -101,6 +101,31 @@ class Bags:
         return np.add.reduceat(word[self.words], self.first) / self.size + bias
 
 
+class Sample:
+    """The bags of many passages, read slice by slice: as in ``Bags``, with each passage's number as its owner."""
+
+    def __init__(self, passages: list[str]) -> None:
+        known: dict[int, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+        at, total = 0, 0
+        for k, p in enumerate(passages, 1):
+            total += len(p)
+            if total < SLICE and k < len(passages):
+                continue
+            bags = Bags(passages[at:k])
+            number = np.array([known.setdefault(h, len(known)) for h in bags.hashes.tolist()], np.int64)
+            fresh = np.flatnonzero(number >= (parts[-1][5] if parts else 0))
+            order = fresh[np.argsort(number[fresh])]
+            size = bags.many[order]
+            row = np.repeat(bags.of[order] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(order) else np.zeros(0, np.int64)
+            parts.append((bags.owner + at, bags.size, number[bags.words], bags.grams[row], size, len(known)))
+            at, total = k, 0
+        whole = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
+        self.owner, self.size, self.words, self.grams, self.many = (whole(k) for k in range(5))
+        self.first = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)
+        self.of = np.concatenate(([0], np.cumsum(self.many)[:-1])).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Model:
     """Vectors of n-grams, and a softmax over them for (clean, toxic); ``lean`` and ``bias`` are what scoring needs."""
@@ -130,7 +155,7 @@ def fit(passages: list[str], doc: np.ndarray, toxic: np.ndarray, rounds: int = 1
     step a share ``drop`` of the n-grams is left out, so that none has to be there.
     """
     r = np.random.default_rng(seed)
-    bags = Bags(passages)
+    bags = Sample(passages)
     vectors = r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weights = r.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
