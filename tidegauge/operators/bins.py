@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..errors import ConfigurationError
 from ..functions.scalar import bin_of
-from .ordered import Ordered
+from .ordered import KEYS, PIECE_ROWS, Ordered
 
 
 def rms(x: Column) -> Column:
@@ -31,11 +31,37 @@ def median(x: Column) -> Column:
 OF = {"rms": rms, "peak": peak, "average": average, "median": median}
 
 
-def frames(rows: DataFrame, track: str, order: list[str], value: Column | str, pieces: int | None = None) -> DataFrame:
+def frames(rows: DataFrame, track: str, order: list[str], value: Column | str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """track, frame, frames, v of rows in order, for tracks of any length: see ``ordered``."""
     v = F.col(value) if isinstance(value, str) else value
     named = rows.select(F.col(track).alias("track"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], v.cast("double").alias("v"))
-    return Ordered(named, "track", [f"_o{k}" for k in range(len(order))], pieces).numbered().select("track", "frame", "frames", "v")
+    o = Ordered(named, "track", [f"_o{k}" for k in range(len(order))], piece_rows)
+    out = o.numbered().select("track", "frame", "frames", "v")
+    out.longest = o.longest
+    return out
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: Column | str, name: str = "median", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """keys, ``name``: the exact median of each group, for groups of any size: null where a group has no value.
+
+    Equal values are counted before the shuffle, so a group with one value for all is one row; a group's distinct
+    values are ordered in pieces, and the piece in which the middle ranks fall is known from the counts of those
+    before it. No task holds a group. An even group gives the mean of its two middle values.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    counted = rows.select(F.struct(*keys).alias("group"), v.cast("double").alias("v")).groupBy("group", "v").agg(F.count("v").alias("n"))
+    o = Ordered(counted, "group", ["v"], piece_rows)
+    inside = o.rows.withColumn("_upto", F.sum("n").over(o.upto))
+    if o.whole:
+        placed = inside.withColumn("_before", F.lit(0)).withColumn("_all", F.sum("n").over(W.partitionBy(*KEYS)))
+    else:
+        table = o.pieces(F.sum("n").alias("_sum"))
+        table = table.select(*KEYS, F.coalesce(F.sum("_sum").over(o.before), F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy("_t", "_none")).alias("_all"))
+        placed = inside.join(table, KEYS)
+    end = F.col("_before") + F.col("_upto")
+    at = lambda rank: F.max(F.when((end - F.col("n") <= rank) & (rank < end), F.col("v")))
+    low, high = at(F.floor((F.col("_all") - 1) / 2)), at(F.floor(F.col("_all") / 2))
+    return placed.groupBy("group").agg(((low + high) / 2).alias(name)).select("group.*", name)
 
 
 def short_frames(rows: DataFrame, track: str, order: list, value: Column | str) -> DataFrame:
@@ -50,11 +76,12 @@ def short_frames(rows: DataFrame, track: str, order: list, value: Column | str)
     )
 
 
-def downsample(framed: DataFrame, resolution: int, algorithm: str = "rms", short: str = "passthrough") -> DataFrame:
+def downsample(framed: DataFrame, resolution: int, algorithm: str = "rms", short: str = "passthrough", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """track, bin, amp: ``resolution`` bins of each track.
 
     A track of no more frames than bins keeps its values (``passthrough``), or has empty bins of 0
-    (``zero_fill``). Frames behind the last edge are in no bin.
+    (``zero_fill``). Frames behind the last edge are in no bin. Medians of bins that may have more than
+    ``piece_rows`` frames are found by ``exact_median``; the result is the same.
     """
     if algorithm not in OF:
         raise ConfigurationError(f"unknown algorithm {algorithm!r}")
@@ -63,10 +90,16 @@ def downsample(framed: DataFrame, resolution: int, algorithm: str = "rms", short
     whole = F.lit(False) if short == "zero_fill" else F.col("frames") <= resolution
     at = F.when(whole, F.col("frame")).otherwise(bin_of(F.col("frame"), F.col("frames"), resolution)).cast("long")
     rows = framed.withColumn("whole", whole).withColumn("bin", at).filter(F.col("bin").isNotNull())
+    if algorithm == "median" and getattr(framed, "longest", float("inf")) > resolution * piece_rows:
+        wide = exact_median(rows.filter(~F.col("whole")), ["track", "bin"], F.abs("v"), "amp", piece_rows).select("track", "bin", F.coalesce("amp", F.lit(0.0)).alias("amp"))
+        made = wide.unionByName(rows.filter("whole").select("track", "bin", F.col("v").alias("amp")))
+        return made if short != "zero_fill" else _filled(framed, made, resolution)
     made = rows.groupBy("track", "bin").agg(OF[algorithm](F.col("v")).alias("binned"), F.first("v").alias("own"), F.first("whole").alias("whole"))
     made = made.select("track", "bin", F.when(F.col("whole"), F.col("own")).otherwise(F.col("binned")).alias("amp"))
-    if short != "zero_fill":
-        return made
+    return made if short != "zero_fill" else _filled(framed, made, resolution)
+
+
+def _filled(framed: DataFrame, made: DataFrame, resolution: int) -> DataFrame:
     grid = framed.select("track").distinct().select("track", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resolution - 1).cast("long"))).alias("bin"))
     return grid.join(made, ["track", "bin"], "left").select("track", "bin", F.coalesce("amp", F.lit(0.0)).alias("amp"))
 
@@ -78,9 +111,9 @@ def explode_frames(signals: DataFrame, track: str, samples: str, channels: int =
     n = F.floor(F.size(samples) / channels).cast("long")
     rows = signals.select(F.col(track).alias("track"), n.alias("frames"), F.posexplode(F.col(samples).cast("array<double>")).alias("i", "x"))
     rows = rows.withColumn("frame", F.floor(F.col("i") / channels).cast("long")).filter(F.col("frame") < F.col("frames"))
-    if channels == 1:
-        return rows.select("track", "frame", "frames", F.col("x").alias("v"))
-    return rows.groupBy("track", "frame", "frames").agg(F.avg("x").alias("v"))
+    out = rows.select("track", "frame", "frames", F.col("x").alias("v")) if channels == 1 else rows.groupBy("track", "frame", "frames").agg(F.avg("x").alias("v"))
+    out.longest = 0  # whole signals fit a row, and so do their bins
+    return out
 
 
 def normalize(bins: DataFrame, method: str = "peak") -> DataFrame:

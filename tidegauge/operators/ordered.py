@@ -1,9 +1,10 @@
 """The order of rows in tracks of any length.
 
-A window over a whole track sorts it in one task, however long it is. Here a track's order is cut into
-pieces: ranges of equal width of the first order column, or, where that is no number or time or has one
-value only, ranges that Spark draws over the whole order. Windows run inside pieces, and what a piece
-needs to know of those before it (counts, sums, last values) comes from a table with a row a piece.
+A window over a whole track sorts it in one task, however long it is. So tracks are counted first, and
+where the longest one is more than a piece, the order of all rows is cut into pieces of about equal numbers
+of rows: ranges of track and all order columns, which Spark draws from a sample of the rows, so that neither
+outliers nor bursts nor one time for all make a piece longer. Windows run inside pieces, and what a
+piece needs to know of those before it (counts, sums, last values) comes from a table with a row a piece.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql.window import Window as W
 
 from ..errors import ConfigurationError
 
-#: Rows of a piece, about.
+#: Rows of a piece, about. A track of no more than these is one piece.
 PIECE_ROWS = 1_000_000
 KEYS = ["_t", "_none", "_piece"]
+#: The part of Spark's increasing ids that counts inside a partition.
+_INSIDE = (1 << 33) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,23 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _number(c: Column, kind: T.DataType) -> Column | None:
-    """``c`` as a double in the same order; None if its type has no such number."""
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return (F.unix_date(F.to_date(c)) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("double")
-    return None
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # what is not there yet is not deleted either
+    files.deleteOnExit(place)
+    return path
 
 
 class Ordered:
-    """``rows`` of tracks in the order of ``order``, with the columns of KEYS: track without nulls, whether it was null, piece."""
+    """``rows`` of tracks in the order of ``order``, with the columns of KEYS: track without nulls, whether it was null, piece.
 
-    def __init__(self, rows: DataFrame, track: str, order: list[str], pieces: int | None = None) -> None:
+    Two aggregates run when this is made, and longer tracks are written once, in pieces of about ``piece_rows`` rows.
+    Rows that are equal in all columns cannot be told apart and stay in one piece.
+    """
+
+    def __init__(self, rows: DataFrame, track: str, order: list[str], piece_rows: int = PIECE_ROWS) -> None:
         kind = rows.schema[track].dataType
         none = F.col(track).isNull()
         if isinstance(kind, (T.StringType, T.NumericType)):  # a null track is a track; joins need a key that is not null
@@ -58,51 +62,56 @@ class Ordered:
         else:
             t = F.struct(track)
         rows = rows.withColumn("_t", t).withColumn("_none", none)
-        self.order = order
-        self.inside = W.partitionBy(*KEYS).orderBy(*order)
+        counts = rows.groupBy("_t", "_none").agg(F.count(F.lit(1)).alias("n"))
+        self.longest, total = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()  # one row
+        self.whole = self.longest <= piece_rows
+        self.order = list(order)
+        if self.whole:
+            self.rows = rows.withColumn("_piece", F.lit(0))
+        else:
+            self.rows = self._cut(rows, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // piece_rows)))
+        self.inside = W.partitionBy(*KEYS).orderBy(*self.order)
         self.upto = self.inside.rowsBetween(W.unboundedPreceding, W.currentRow)
         self.across = W.partitionBy("_t", "_none").orderBy("_piece")
         self.before = self.across.rowsBetween(W.unboundedPreceding, -1)
-        self.rows = self._cut(rows, pieces)
-
-    def _cut(self, rows: DataFrame, pieces: int | None) -> DataFrame:
-        first = self.order[0]
-        x = _number(F.col(first), rows.schema[first].dataType)
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if x is not None:
-            sound = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-            low, high, count = rows.agg(F.min(sound), F.max(sound), F.count("*")).first()  # one row
-            n = pieces or max(n, count // PIECE_ROWS)
-            if not count:
-                return rows.withColumn("_piece", F.lit(0))
-            if low is not None and high > low and (high - low) < float("inf"):
-                at = F.floor((F.greatest(F.lit(low), F.least(F.lit(high), x)) - low) / ((high - low) / n))
-                piece = F.when(x.isNull(), -1).when(F.isnan(x), n).otherwise(F.least(F.lit(n - 1), at.cast("int")))
-                return rows.withColumn("_piece", piece.cast("int"))
+
+    def _cut(self, rows: DataFrame, n: int) -> DataFrame:
+        """The rows in n ranges, sorted; rows that no order column tells apart are told apart by all they hold."""
+        rows = rows.withColumn("_tie", F.xxhash64(*[f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]))
+        self.order.append("_tie")
+        keys = ["_t", "_none", *self.order]
+        laid = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        laid = laid.withColumn("_piece", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_INSIDE)))
         # The bounds of ranges are drawn anew on every run, so the ranges are written once.
-        path = f"{shared_folder(rows.sparkSession)}/ordered-{uuid.uuid4().hex}"
-        ranged = rows.repartitionByRange(n, "_t", "_none", *self.order).withColumn("_piece", F.spark_partition_id())
-        ranged.write.parquet(path)
-        return rows.sparkSession.read.schema(ranged.schema).parquet(path)
+        path = shared_path(rows.sparkSession, "ordered")
+        laid.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(laid.schema).parquet(path)
 
     def pieces(self, *aggregates: Column, rows: DataFrame | None = None) -> DataFrame:
         """A row a piece with ``aggregates`` of its rows."""
         return (self.rows if rows is None else rows).groupBy(*KEYS).agg(*aggregates)
 
-    def given(self, rows: DataFrame, table: DataFrame) -> DataFrame:
-        """``rows`` with what ``table`` has on their piece, without the keys. Both are dealt by the keys already."""
-        return rows.join(table, KEYS).drop(*KEYS)
+    def given(self, rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
+        """``rows`` with what ``table`` has on their piece, without the columns of ours."""
+        return (rows if table is None else rows.join(table, KEYS)).drop(*KEYS, "_tie", "_at")
 
     def numbered(self) -> DataFrame:
         """The rows with ``frame`` (from 0) and ``frames``, the track's number of rows."""
-        counts = self.pieces(F.count(F.lit(1)).alias("_n"))
-        counts = counts.select(*KEYS, F.coalesce(F.sum("_n").over(self.before), F.lit(0)).alias("_from"), F.sum("_n").over(W.partitionBy("_t", "_none")).alias("frames"))
-        rows = self.given(self.rows.withColumn("_at", F.row_number().over(self.inside) - 1), counts)
-        return rows.withColumn("frame", (F.col("_from") + F.col("_at")).cast("long")).drop("_from", "_at")
+        if self.whole:
+            rows = self.rows.withColumn("frame", (F.row_number().over(self.inside) - 1).cast("long"))
+            return self.given(rows.withColumn("frames", F.count(F.lit(1)).over(W.partitionBy(*KEYS))))
+        # A range is sorted, so a row's place in it tells its number: no window over rows.
+        counts = self.pieces(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        before = F.coalesce(F.sum("_n").over(self.before), F.lit(0)) - F.col("_first")
+        counts = counts.select(*KEYS, before.alias("_from"), F.sum("_n").over(W.partitionBy("_t", "_none")).alias("frames"))
+        rows = self.rows.join(counts, KEYS).withColumn("frame", (F.col("_from") + F.col("_at")).cast("long"))
+        return self.given(rows).drop("_from")
 
     def neighbour(self, column: str, name: str, ahead: bool = False) -> DataFrame:
         """The rows with ``name``: ``column`` of the row before or, with ``ahead``, after in the track; null where there is none."""
         pick, step = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
+        if self.whole:
+            return self.given(self.rows.withColumn(name, step(column).over(self.inside)))
         value = F.struct(F.col(column).alias("v"))
         edge = self.pieces(pick(value, F.struct(*self.order)).alias("_edge"))
         edge = edge.select(*KEYS, step("_edge").over(self.across).alias("_edge"))
@@ -111,6 +120,8 @@ class Ordered:
 
     def latest(self, **columns: Column) -> DataFrame:
         """The rows with each of ``columns`` as the last value that was not null, up to the row itself."""
+        if self.whole:
+            return self.given(self.rows.select("*", *[F.last(c, True).over(self.upto).alias(k) for k, c in columns.items()]))
         inside = self.rows.select("*", *[F.last(c, True).over(self.upto).alias(f"_in_{k}") for k, c in columns.items()])
         ends = self.pieces(*[F.max_by(c, F.when(c.isNotNull(), F.struct(*self.order))).alias(k) for k, c in columns.items()])
         ends = ends.select(*KEYS, *[F.last(k, True).over(self.before).alias(f"_past_{k}") for k in columns])

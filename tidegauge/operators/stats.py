@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .ordered import KEYS, Ordered
+from .ordered import KEYS, PIECE_ROWS, Ordered
 
 SLOW_MS, HEAVY_BYTES, HISTORY = 1000, 10 << 20, 100
 
@@ -69,16 +69,21 @@ def benchmark(results: DataFrame, key: str = "results") -> DataFrame:
     return rows.groupBy("name").agg(F.avg("x").alias("avg"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
-def memory_curve(changes: DataFrame, limit: int) -> DataFrame:
+def memory_curve(changes: DataFrame, limit: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """track, seq, used, level: memory after each change (never below 0), and whether it is normal, high (over 80 %) or critical (over 90 %)."""
     # A sum that is held at 0 is the plain sum less the lowest that it has been below 0.
-    o = Ordered(changes, "track", ["seq"])
+    o = Ordered(changes, "track", ["seq"], piece_rows)
     rows = o.rows.withColumn("_s", F.sum("change").over(o.upto)).withColumn("_low", F.min("_s").over(o.upto))
+    if o.whole:
+        return _levels(o.given(rows).select("track", "seq", (F.col("_s") - F.least(F.lit(0), "_low")).cast("long").alias("used")), limit)
     past = o.pieces(F.sum("change").alias("_sum"), F.min("_s").alias("_least"), rows=rows).withColumn("_from", F.coalesce(F.sum("_sum").over(o.before), F.lit(0)))
     past = past.select(*KEYS, "_from", F.least(F.lit(0), F.min(F.col("_from") + F.col("_least")).over(o.before)).alias("_floor"))
     rows = o.given(rows, past)
     low = F.least("_floor", F.col("_from") + F.col("_low"))
-    rows = rows.select("track", "seq", (F.col("_from") + F.col("_s") - low).cast("long").alias("used"))
+    return _levels(rows.select("track", "seq", (F.col("_from") + F.col("_s") - low).cast("long").alias("used")), limit)
+
+
+def _levels(rows: DataFrame, limit: int) -> DataFrame:
     share = F.col("used") / limit
     return rows.withColumn("level", F.when(share > 0.9, "critical").when(share > 0.8, "high").otherwise("normal"))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import shared_folder
+from ..operators.ordered import shared_path
 
 
 def windowed(stream: DataFrame, time: str, track: str, value: str, width: str = "1 day", late: str | None = "2 days") -> DataFrame:
@@ -30,7 +28,7 @@ def read(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFra
 def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """What the stream gives on all there is now: each batch is written to the shared folder, the last one (or, appending, all) is read back."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
