@@ -61,15 +61,16 @@ class Engine:
     def waveforms(self, path: str, config: WaveformConfig | None = None, large: int = P.IN_MEMORY) -> DataFrame:
         """path, amplitudes, duration_us, sample_rate, error of all audio files below ``path``, channels mixed.
 
-        WAVE files of more than ``large`` bytes are read in ranges of frames and binned as rows; all others
-        are decoded whole. Formats without a registered decoder give rows with the error ``unsupported_format``.
+        WAVE and FLAC files of more than ``large`` bytes are read in ranges and binned as rows, all others
+        are decoded whole; both give the same. A file of no more frames than bins passes through as it is, unmixed.
+        Formats without a registered decoder give rows with the error ``unsupported_format``.
         """
         self._open()
         if "." in path.rsplit("/", 1)[-1] and "*" not in path and not self.is_supported(path):
             raise UnsupportedFormat(path)
         c = config or self.config
         rows = wav.read_signals(self.spark, path, most=large)
-        others = [e for f in P.FORMATS for e in f[2] if e != "wav"]
+        others = [e for f in P.FORMATS for e in f[2] if e not in ("wav", "flac")]
         rows = rows.unionByName(wav.read_signals(self.spark, path, "*.{" + ",".join(x for e in others for x in (e, e.upper())) + "}", least=large + 1))
         amps = F.when(F.size("samples") > 0, waveform_array(F.col("samples"), c, F.col("channels")))
         error = F.coalesce("error", F.when(F.size("samples") == 0, "invalid_waveform"))
@@ -77,16 +78,24 @@ class Engine:
         return whole.unionByName(self._streamed(path, c, large + 1))
 
     def _streamed(self, path: str, c: WaveformConfig, least: int) -> DataFrame:
-        """The same of WAVE files of ``least`` bytes or more, no one of which is ever held whole."""
-        chunks = wav.read_chunks(self.spark, path, least=least)
-        bins = Signals(wav.chunk_frames(chunks)).waveform(c).bins
+        """The same of WAVE and FLAC files of ``least`` bytes or more, no one of which is ever held whole. Headers are read once more for facts; FLAC ranges are, too, for damage."""
+        planned = wav.plan_chunks(self.spark, path, least=least)
+        passes = F.lit(False) if c.short == "zero_fill" else F.col("frames") <= c.resolution
+        bins = Signals(wav.chunk_frames(wav.read_planned(planned.filter(~passes)))).waveform(c).bins
         grid = F.sequence(F.lit(0), F.lit(c.resolution - 1))
         # A bin without frames is 0, as in the array form.
-        made = bins.groupBy("track").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), "amp"))).alias("at"), F.max("bin").alias("last"))
+        made = bins.groupBy("track").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), "amp"))).alias("at"))
         made = made.select("track", F.transform(grid, lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0))).alias("amplitudes"))
-        files = chunks.filter("idx = 0").select("path", "frames", "sample_rate", F.coalesce("error", F.when(F.col("frames") == 0, "invalid_waveform")).alias("error"))
-        rows = files.join(made, F.col("path") == F.col("track"), "left")
-        return rows.select("path", "amplitudes", F.round(F.col("frames") / F.col("sample_rate") * 1e6).cast("long").alias("duration_us"), "sample_rate", "error")
+        # Files of no more frames than bins are small, whatever stands around their data.
+        short = wav.read_planned(planned.filter(passes & (F.col("frames") > 0))).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("first", "samples"))).alias("parts"), F.max("channels").alias("channels"))
+        short = short.select(F.col("path").alias("track"), F.flatten(F.col("parts.samples")).alias("samples"), "channels")
+        made = made.unionByName(short.select("track", waveform_array(F.col("samples"), c, F.col("channels")).alias("amplitudes")))
+        damaged = wav.read_planned(planned.filter(F.col("kind") == wav.FLAC)).filter("error is not null").groupBy(F.col("path").alias("track")).agg(F.min("error").alias("damage"))
+        files = planned.filter("idx = 0").select("path", "frames", "sample_rate", F.coalesce("error", F.when(F.col("frames") == 0, "invalid_waveform")).alias("said"))
+        rows = files.join(made, F.col("path") == made["track"], "left").drop("track").join(damaged, F.col("path") == damaged["track"], "left")
+        rows = rows.withColumn("error", F.coalesce("said", "damage"))
+        sound = F.col("damage").isNull()
+        return rows.select("path", F.when(sound, F.col("amplitudes")).alias("amplitudes"), F.when(sound, F.round(F.col("frames") / F.col("sample_rate") * 1e6)).cast("long").alias("duration_us"), F.when(sound, F.col("sample_rate")).alias("sample_rate"), "error")
 
     def waveforms_json(self, path: str, config: WaveformConfig | None = None) -> DataFrame:
         """path and the waveform as JSON, of the files without error."""

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, CorruptedFile, DecodingError, SignalError, UnsupportedFormat
-from ..plans.files import FORMATS, IN_MEMORY, format_of
+from ..functions.arrays import mixdown
+from ..plans.files import FORMATS, format_of
+from . import flac
 
 SIGNALS = "path string, samples array<float>, sample_rate int, channels int, duration_us long, error string"
 
@@ -104,7 +106,7 @@ def decode(content: bytes) -> tuple[np.ndarray, int, int]:
 
 
 #: Decoders by format; more are added with ``register``.
-DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, int, int]]] = {"wav": decode}
+DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, int, int]]] = {"wav": decode, "flac": flac.decode}
 
 
 def register(fmt: str, decoder: Callable[[bytes], tuple[np.ndarray, int, int]]) -> None:
@@ -140,6 +142,9 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
                     us = round(len(samples) / rate * 1e6 / channels)
                 except SignalError as e:
                     error = e.code
+                except Exception:  # whatever a registered decoder does
+                    samples = rate = channels = us = None
+                    error = DecodingError.code
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path], pa.string()), pa.array([None if samples is None else np.asarray(samples, np.float32)], pa.list_(pa.float32())), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.array([us], pa.int64()), pa.array([error], pa.string())],
                     names=["path", "samples", "sample_rate", "channels", "duration_us", "error"],
@@ -164,6 +169,9 @@ def read_signals(spark: SparkSession, path: str, pattern: str = AUDIO, least: in
 
 
 CHUNKS = "path string, idx int, is_last boolean, first long, frames long, sample_rate int, channels int, samples array<float>, error string"
+PLANNED = "path string, idx int, is_last boolean, first long, frames long, sample_rate int, channels int, kind int, bits int, at long, size long, length long, error string"
+#: The kind of planned chunks of FLAC files, beside those of PCM.
+FLAC = -1
 
 
 def open_file(path: str) -> BinaryIO:
@@ -174,30 +182,48 @@ def open_file(path: str) -> BinaryIO:
     return system.open_input_file(at)
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV}", least: int = 0, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
-    """path, idx, is_last, first, frames, sample_rate, channels, samples, error: PCM files in chunks of frames, for files of any size.
+def _planned(name: str, length: int, chunk_frames: int, opener: Callable[[str], BinaryIO]) -> list[tuple]:
+    with opener(name) as file:
+        if name.lower().endswith(".flac"):
+            of = flac.info(file, length)
+            n, step = flac.length_of(file, of, length), max(1, chunk_frames * of.channels * of.bits // 8)
+            starts = range(of.data_at, max(of.data_at + 1, length), step)
+            return [(name, k, at + step >= length, None, n, of.rate, of.channels, FLAC, of.bits, at, min(step, length - at), length, None) for k, at in enumerate(starts)]
+        f = facts(file, length)
+    n = f.data_bytes // f.block
+    starts = range(0, max(1, n), chunk_frames)
+    return [(name, k, at + chunk_frames >= n, at, n, f.rate, f.channels, f.kind, f.bits, f.data_at + at * f.block, min(chunk_frames, n - at) * f.block, length, None) for k, at in enumerate(starts)]
 
-    Only names and sizes are listed by Spark; a task reads a file's chunk headers, and each range of
-    ``chunk_frames`` whole frames is then read by whichever task it falls to. ``samples`` are interleaved,
-    ``first`` is the chunk's first frame of ``frames``. A file that cannot be read is one row with its
-    error; one without frames is one empty chunk. ``opener`` gives a seekable file for a path.
-    """
+
+def plan_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV,flac,FLAC}", least: int = 0, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """What ``read_planned`` is to read: a row a chunk. Spark lists names and sizes, and a task reads a file's headers."""
     listed = _files(spark, path, pattern).filter(F.col("length") >= least).select("path", "length")
+    fields = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for c, t in (x.split() for x in PLANNED.split(", "))])
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    with opener(name) as file:
-                        f = facts(file, length)
-                    n = f.data_bytes // f.block
-                    starts = range(0, max(1, n), chunk_frames)
-                    rows = [(name, k, at + chunk_frames >= n, at, n, f.rate, f.channels, f.kind, f.bits, f.data_at + at * f.block, min(chunk_frames, n - at) * f.block, None) for k, at in enumerate(starts)]
+                    rows = _planned(name, length, chunk_frames, opener)
                 except SignalError as e:
-                    rows = [(name, 0, True, 0, 0, None, None, None, None, None, None, e.code)]
-                yield pa.RecordBatch.from_pylist([dict(zip(plan_schema.names, r, strict=True)) for r in rows], plan_schema)
+                    rows = [(name, 0, True, 0, 0, *[None] * 6, length, e.code)]
+                yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], fields)
+
+    return listed.mapInArrow(plan, PLANNED)
+
+
+def read_planned(planned: DataFrame, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """The chunks of a plan: see ``read_chunks``."""
+    kinds = {"path": pa.string(), "idx": pa.int32(), "is_last": pa.bool_(), "first": pa.int64(), "frames": pa.int64(), "sample_rate": pa.int32(), "channels": pa.int32()}
 
-    plan_schema = pa.schema([("path", pa.string()), ("idx", pa.int32()), ("is_last", pa.bool_()), ("first", pa.int64()), ("frames", pa.int64()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("kind", pa.int32()), ("bits", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("error", pa.string())])
+    def one(r: dict) -> tuple[int, np.ndarray]:
+        with opener(r["path"]) as file:
+            if r["kind"] == FLAC:
+                of = flac.info(file, r["length"])
+                first, x = flac.between(file, of, r["at"], r["at"] + r["size"])
+                return first, flac.floats(x, of.bits)
+            file.seek(r["at"])
+            return r["first"], pcm(file.read(r["size"]), r["kind"], r["bits"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,24 +231,31 @@ def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pat
                 samples, error = None, r["error"]
                 if error is None:
                     try:
-                        with opener(r["path"]) as file:
-                            file.seek(r["at"])
-                            samples = pcm(file.read(r["size"]), r["kind"], r["bits"])
+                        r["first"], samples = one(r)
                     except SignalError as e:
                         error = e.code
-                head = [pa.array([r[c]], plan_schema.field(c).type) for c in ("path", "idx", "is_last", "first", "frames", "sample_rate", "channels")]
-                yield pa.RecordBatch.from_arrays([*head, pa.array([samples], pa.list_(pa.float32())), pa.array([error], pa.string())], names=[c.split()[0] for c in CHUNKS.split(", ")])
+                head = [pa.array([r[c]], kind) for c, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([samples], pa.list_(pa.float32())), pa.array([error], pa.string())], names=[*kinds, "samples", "error"])
 
-    planned = listed.mapInArrow(plan, "path string, idx int, is_last boolean, first long, frames long, sample_rate int, channels int, kind int, bits int, at long, size long, error string")
     return planned.repartition("path", "idx").mapInArrow(read, CHUNKS)
 
 
+def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV}", least: int = 0, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """path, idx, is_last, first, frames, sample_rate, channels, samples, error: PCM and FLAC files in chunks, for files of any size.
+
+    A range of ``chunk_frames`` whole frames is read by whichever task it falls to; of a FLAC file, a range of
+    as many bytes as these would be as PCM, and the frames of the codec that begin in it. ``samples`` are interleaved,
+    ``first`` is the chunk's first frame of ``frames``. A file that cannot be read is one row with its
+    error, a damaged range a chunk with its own; a file without frames is one empty chunk. ``opener`` gives a seekable file for a path.
+    """
+    return read_planned(plan_chunks(spark, path, chunk_frames, pattern, least, opener), opener)
+
+
 def chunk_frames(chunks: DataFrame) -> DataFrame:
-    """track, frame, frames, v of chunks: a row a frame, channels mixed to their mean."""
-    rows = chunks.filter("error is null and frames > 0").select(F.col("path").alias("track"), "first", "frames", "channels", F.posexplode("samples").alias("i", "x"))
-    rows = rows.select("track", (F.col("first") + F.floor(F.col("i") / F.col("channels"))).alias("frame"), "frames", "channels", F.col("x").cast("double").alias("x"))
-    one = rows.filter("channels = 1").select("track", "frame", "frames", F.col("x").alias("v"))
-    return one.unionByName(rows.filter("channels > 1").groupBy("track", "frame", "frames").agg(F.avg("x").alias("v")))
+    """track, frame, frames, v of chunks: a row a frame, channels mixed to their mean where the chunk is, as it holds whole frames."""
+    rows = chunks.filter("error is null and frames > 0")
+    mixed = mixdown(F.col("samples"), F.col("channels"))
+    return rows.select(F.col("path").alias("track"), "first", "frames", F.posexplode(mixed).alias("i", "v")).select("track", (F.col("first") + F.col("i")).alias("frame"), "frames", "v")
 
 
 def header(files: DataFrame) -> DataFrame:
