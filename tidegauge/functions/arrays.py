@@ -103,12 +103,15 @@ def scale(a: Column, name: str = "linear", factor: float = 1.0) -> Column:
     return F.transform(a, lambda x: curve(x, name, factor))
 
 
-def smooth(a: Column, window: int = 3) -> Column:
-    """Centred moving average that is cut at the ends; an even or too small window changes nothing."""
-    if window < 3 or window % 2 == 0:
-        return a
-    half = window // 2
+def smooth(a: Column, window: int | Column = 3) -> Column:
+    """Centred moving average that is cut at the ends; an even or too small window, or a null one, changes nothing. The window may be a column."""
+    if isinstance(window, Column):
+        turned = let(F.greatest(F.coalesce(window.cast("int"), F.lit(1)), F.lit(1)), lambda w: _smooth(a, F.floor(w / 2).cast("int")))
+        return F.when((window >= 3) & (window % 2 == 1), turned).otherwise(a)
+    return a if window < 3 or window % 2 == 0 else _smooth(a, window // 2)
 
+
+def _smooth(a: Column, half: int | Column) -> Column:
     def averaged(a: Column) -> Column:
         n = F.size(a)
         def one(_: Column, i: Column) -> Column:

@@ -15,9 +15,9 @@ def clamp01(x: Column) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def curve(x: Column, name: str = "linear", factor: float = 1.0) -> Column:
+def curve(x: Column, name: str = "linear", factor: float | Column = 1.0) -> Column:
     """An amplitude on a curve, times ``factor``, within [0, 1]."""
-    f = F.lit(float(factor))
+    f = factor if isinstance(factor, Column) else F.lit(float(factor))
     shaped = {
         "linear": lambda: x * f,
         "logarithmic": lambda: F.when(x > 0, F.ln(1 + 9 * x) / math.log(10) * f).otherwise(F.lit(0.0)),
@@ -29,15 +29,15 @@ def curve(x: Column, name: str = "linear", factor: float = 1.0) -> Column:
     return clamp01(shaped[name]())
 
 
-def bin_of(frame: Column, frames: Column, resolution: int) -> Column:
-    """The bin of a frame, null if it is in none.
+def bin_of(frame: Column, frames: Column, resolution: int | Column) -> Column:
+    """The bin of a frame, null if it is in none; the resolution may be a column.
 
     Bin i holds the frames from floor(i * s) up to floor((i + 1) * s) with s = frames / resolution in
     double arithmetic. Integer division gives the bin but for rounding of those products, which shifts an
     edge by one frame at most; the last frame can fall behind the last edge.
     """
     r = F.lit(resolution).cast("long")
-    s = frames.cast("double") / float(resolution)
+    s = frames.cast("double") / r.cast("double")
     k = F.floor(((frame + 1) * r - 1).cast("double") / frames.cast("double"))
     edge = lambda i: F.floor(i * s)
     k = F.when(frame < edge(k), k - 1).when(frame >= edge(k + 1), k + 1).otherwise(k)

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import WaveformConfig
+from .engine import Engine
 from .functions import arrays as A
 from .functions import serde
 from .functions.scalar import clamp01, curve, display_resolution, duration_ms, duration_us, progress_text, seek_position, size_text
 from .operators import bins as B
+from .operators import configured
 from .operators import geometry as G
 from .operators import stats as S
-from .operators.ordered import Ordered
+from .operators.ordered import Ordered, shared_path
 from .operators.signals import Signals, waveform_array
 from .plans import files as P
-from .sources import headers, wav
+from .sources import flac, headers, wav
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,8 +97,19 @@ for _a in ("rms", "peak", "average", "median"):
         lambda s, d, a=_a: rounded(B.downsample(line_frames(s, d), 50, a), "amp"))
 
 _ODD = f"with {sql_bins(49, EVENTS.replace('event_type', 'user_id'))} select track, bin, round(amp, 6) as amp from bins where track in (select track from fr where frames > 49) union all select track, cast(frame as bigint) as bin, round(v, 6) as amp from fr where frames <= 49"
-for _n in ("down_odd_resolution", "down_odd_resolution_all"):
-    query(_n, _ODD)(lambda s, d: rounded(B.downsample(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"), 49, "rms"), "amp"))
+query("down_odd_resolution", _ODD)(lambda s, d: rounded(B.downsample(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"), 49, "rms"), "amp"))
+
+
+def _of_all(spark, d) -> DataFrame:
+    """Bins by all four algorithms; frames are numbered once, where Spark reuses the exchange."""
+    framed = B.frames(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    parts = [rounded(B.downsample(framed, 49, a), "amp").select(F.lit(a).alias("algorithm"), "track", "bin", "amp") for a in B.OF]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+query("down_odd_resolution_all", " union all ".join(f"(select '{a}' as algorithm, * from ({_ODD.replace(SQL_OF['rms'] + ' as amp', SQL_OF[a] + ' as amp')}))" for a in SQL_OF))(_of_all)
+query("median_exact", "select l_returnflag, l_linestatus, round(median(l_extendedprice * (1 - l_discount)), 6) as median from lineitem group by 1, 2")(
+    lambda s, d: rounded(B.exact_median(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice") * (1 - F.col("l_discount"))), "median"))
 
 EMB = "em as (select vec_id as track, cast(embedding as double[]) as a from embeddings)"
 EMB_LONG = f"{EMB}, lo as (select track, unnest(range(len(a))) as i, unnest(a) as x, len(a) as n from em)"
@@ -186,6 +199,32 @@ ARRAY_STEPS = WaveformConfig(16, smooth=True, window=5, curve="logarithmic", fac
 query("wf_array_smooth", sql_pipeline(ARRAY_STEPS).replace(sql_bins(16), f"{EMB_LONG}, fr as (select track, i as frame, n as frames, abs(x) as v from lo), {sql_after(16)}"))(
     lambda s, d: spread(emb(s, d), waveform_array(F.transform("a", lambda x: F.abs(x)), ARRAY_STEPS)))
 
+# --- a configuration for each track
+
+CONFIGS = """cf as (select c_custkey as track, cast(10 + c_nationkey as int) as resolution, (['rms', 'peak', 'average', 'median'])[c_custkey % 4 + 1] as algorithm, (cast([null, 3, 5] as int[]))[c_nationkey % 3 + 1] as w,
+    ([null, 'peak', 'rms'])[c_custkey % 3 + 1] as normalization, (['linear', 'logarithmic', 'exponential', 'sqrt', null])[c_custkey % 5 + 1] as curve, 1 + c_nationkey / 50.0::double as factor from customer)"""
+
+
+def configs(spark, d) -> DataFrame:
+    """Customers as configurations of the users that have their number."""
+    pick = lambda of, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (of + 1).cast("int"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    return table(spark, d, "customer").select(
+        k.alias("track"), (n + 10).cast("int").alias("resolution"), pick(k % 4, "rms", "peak", "average", "median").alias("algorithm"), pick(n % 3, None, 3, 5).cast("int").alias("window"),
+        pick(k % 3, None, "peak", "rms").alias("normalization"), pick(k % 5, "linear", "logarithmic", "exponential", "sqrt", None).alias("curve"), (1 + n / 50).alias("factor"))
+
+
+query("configured_tracks", f"""with {EVENTS.replace('event_type', 'user_id')}, {CONFIGS},
+    g as (select fr.*, cf.resolution as r, algorithm, cast(frames as double) / cf.resolution as s, ((frame + 1) * cf.resolution - 1) // frames as k0 from fr join cf using (track)),
+    h as (select *, case when frames <= r then frame when frame < floor(k0 * s) then k0 - 1 when frame >= floor((k0 + 1) * s) then k0 + 1 else k0 end as k from g),
+    b as (select track, cast(k as bigint) as bin, case when any_value(frames <= r) then any_value(v) when any_value(algorithm) = 'rms' then {SQL_OF['rms']} when any_value(algorithm) = 'peak' then {SQL_OF['peak']} when any_value(algorithm) = 'average' then {SQL_OF['average']} else {SQL_OF['median']} end as amp from h where frames <= r or k < r group by 1, 2),
+    l as (select track, list(bin order by bin) as bins, list(amp order by bin) as a from b group by 1),
+    m as (select l.track, l.bins, cf.*, case when w is null then a else list_transform(range(1, len(a) + 1), lambda i: list_avg(a[greatest(1, i - w // 2):least(len(a), i + w // 2)])) end as a from l join cf on cf.track = l.track),
+    n as (select *, case normalization when 'peak' then list_max(a) when 'rms' then sqrt(list_avg(list_transform(a, lambda x: x * x))) end as unit from m),
+    o as (select track, curve, factor, unnest(bins) as bin, unnest(case when unit is null then a when unit = 0 then list_transform(a, lambda x: 0.0) else list_transform(a, lambda x: x / unit) end) as amp from n)
+    select track, bin, round(case curve when 'linear' then {sql_clamp(SQL_CURVE['linear'].format(f='factor'))} when 'logarithmic' then {sql_clamp(SQL_CURVE['logarithmic'].format(f='factor'))} when 'exponential' then {sql_clamp(SQL_CURVE['exponential'].format(f='factor'))} when 'sqrt' then {sql_clamp(SQL_CURVE['sqrt'].format(f='factor'))} else amp end, 6) as amp from o""")(
+    lambda s, d: rounded(configured.waveforms(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"), configs(s, d)), "amp"))
+
 # --- display
 
 SQL_GROUPS = "gr as (select e.track, t.t as bin, unnest(list_slice(a, cast(floor(t.t * (64.0 / {0})) as int) + 1, cast(least(ceil((t.t + 1) * (64.0 / {0})), 64) as int))) as x from em e cross join (select unnest(range({0})) as t) t)"
@@ -255,7 +294,8 @@ def files(spark, d) -> DataFrame:
 query("format_detect", f"with {FILES} select doc_id, path, fmt, fmt <> 'unknown' as supported from fm")(lambda s, d: files(s, d).select("doc_id", "path", "fmt", (F.col("fmt") != "unknown").alias("supported")))
 query("format_counts", f"with {FILES} select fmt, count(*) as n, cast(sum(size) as bigint) as bytes from fm group by 1")(lambda s, d: files(s, d).groupBy("fmt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
 query("extension_supported", f"with {FILES} select doc_id, {SQL_EXT} in ('mp3','wav','flac','ogg','opus','mp4','m4a') as supported from fl")(lambda s, d: files(s, d).select("doc_id", P.extension_supported(F.concat(F.lit("."), P.extension(F.col("path")))).alias("supported")))
-query("format_table", "select * from (values ('mp3','mp3'),('wav','wav'),('flac','flac'),('ogg','ogg'),('opus','opus'),('mp4','mp4'),('m4a','mp4')) t(extension, format)")(lambda s, d: P.extensions(s))
+query("format_table", f"with {FILES}, t as (select * from (values ('mp3','mp3'),('wav','wav'),('flac','flac'),('ogg','ogg'),('opus','opus'),('mp4','mp4'),('m4a','mp4')) t(extension, format)) select t.extension, t.format, count(*) as n, cast(sum(size) as bigint) as bytes from fl join t on {SQL_EXT} = t.extension group by 1, 2")(
+    lambda s, d: files(s, d).withColumn("extension", P.extension(F.col("path"))).join(F.broadcast(P.extensions(s)), "extension").groupBy("extension", "format").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))  # one row an extension
 query("file_validate", "select doc_id, case when n = 0 then 'empty' when n < 12 then 'too_small' else 'ok' end as status from (select doc_id, strlen(text) - strlen(text) % 5 - 10 * (doc_id % 2) * (case when strlen(text) < 20 then 1 else 0 end) as n from documents)")(
     lambda s, d: table(s, d, "documents").withColumn("b", F.octet_length("text")).select("doc_id", P.status(F.col("b") - F.col("b") % 5 - 10 * (F.col("doc_id") % 2) * F.when(F.col("b") < 20, 1).otherwise(0)).alias("status")))
 query("file_strategy", f"with {FILES} select doc_id, case when size <= 52428800 then 'in_memory' else 'streaming' end as strategy from fl")(lambda s, d: files(s, d).select("doc_id", P.strategy(F.col("size")).alias("strategy")))
@@ -358,18 +398,6 @@ query("samples_concatenate", f"with {EMB_LONG} select cast(track as varchar) as
 
 # --- audio and streams
 
-TONE = "tn as (select f.f as frame, 0.5 * (1 + 0.3 * sin(2 * (f.f / 8000.0::double))) * sin(2 * pi() * 440 * (f.f / 8000.0::double)) * (t.t + 1) / 4 as v, t.t as track from (select unnest(range(4000)) as f) f cross join (select unnest(range(4)) as t) t)"
-
-
-def _tones(spark) -> DataFrame:
-    return wav.encode_rows(wav.tones(spark, 4, 0.5, 8000), 8000, 1)
-
-
-query("wav_decode", f"with {TONE} select 'tone_00' || track || '.wav' as path, cast(4000 as bigint) as samples, 8000 as sample_rate, 1 as channels, cast(500000 as bigint) as duration_us, round(sqrt(avg(v * v)), 3) as rms from tn group by 1")(
-    lambda s, d: wav.decode_files(_tones(s)).select("path", F.size("samples").cast("long").alias("samples"), "sample_rate", "channels", "duration_us", F.round(A.rms(A.doubles(F.col("samples"))), 3).alias("rms")))
-query("wav_format", "select 'tone_00' || t || '.wav' as path, 'wav' as format from (select unnest(range(4)) as t)")(lambda s, d: _tones(s).select("path", P.format_of_content(F.col("content")).alias("format")))
-
-
 def _waves(spark, d) -> DataFrame:
     """Documents as WAVE files of their own rate and width, with their text as data; every third one has a chunk of its source's name (of even length) before it."""
     big = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
@@ -384,12 +412,89 @@ def _waves(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"), F.concat(F.lit(b"RIFF"), little(F.octet_length(body), 4), body).alias("content"))
 
 
+#: Samples of the documents as little-endian numbers of 8 to 32 bits; those of 8 bits have no sign.
+PCM = """w as (select doc_id, 8 * (doc_id % 4 + 1) as bits, doc_id % 2 + 1 as channels, 8000 + doc_id * 10 % 40000 as rate, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::int) as b from documents),
+    p as (select *, doc_id % 4 + 1 as wide, len(b) // (doc_id % 4 + 1) as n from w),
+    x as (select *, list_transform(range(n), lambda i: b[i * wide + 1]::bigint + coalesce(b[i * wide + 2] * case when wide > 1 then 256 else 0 end, 0) + coalesce(b[i * wide + 3]::bigint * case when wide > 2 then 65536 else 0 end, 0) + coalesce(b[i * wide + 4]::bigint * case when wide > 3 then 16777216 else 0 end, 0)) as u from p),
+    pcm as (select doc_id, bits, channels, rate, n, list_transform(u, lambda v: case when bits = 8 then (v - 128) / 128.0::double when v >= 1::bigint << (bits - 1) then (v - (1::bigint << bits)) / (1::bigint << (bits - 1))::double else v / (1::bigint << (bits - 1))::double end) as v from x)"""
+
+
+def _decoded(spark, d, trim: int = 0) -> DataFrame:
+    rows = wav.decode_files(_waves(spark, d), trim)
+    return rows.select("path", F.size("samples").cast("long").alias("samples"), "sample_rate", "channels", "duration_us", F.round(A.rms(A.doubles(F.col("samples"))), 3).alias("rms"), "error")
+
+
+SQL_DECODED = "select doc_id || '.wav' as path, cast({n} as bigint) as samples, cast(rate as int) as sample_rate, cast(channels as int) as channels, cast(round_even({n} / rate::double * 1e6 / channels, 0) as bigint) as duration_us, round(coalesce(sqrt(list_avg(list_transform({v}, lambda x: x * x))), 0), 3) as rms, cast(null as varchar) as error from pcm"
+query("wav_decode", f"with {PCM} " + SQL_DECODED.format(n="n", v="v"))(_decoded)
+query("wav_trim", f"with {PCM} " + SQL_DECODED.format(n="greatest(0, n - 24 * channels)", v="v[24 * channels + 1:]"))(lambda s, d: _decoded(s, d, 24))
+query("wav_format", "select doc_id || '.wav' as path, 'wav' as format, 'unknown' as of_text from documents")(
+    lambda s, d: _waves(s, d).select("path", P.format_of_content(F.col("content")).alias("format"), P.format_of_content(F.substring_index("path", ".", 1).cast("binary")).alias("of_text")))
+
+
+def _recordings(spark, d) -> DataFrame:
+    """Files of the values of each user's events, FLAC for every third user, else WAVE."""
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, ".flac").otherwise(".wav"))
+    rows = B.short_frames(table(spark, d, "events").withColumn("path", name), "path", ["ts", "event_id"], "value")
+    v = F.round("v") / 32767 * F.when(F.col("frame") % 2 == 0, 1).otherwise(-1)
+    return wav.encode_rows(rows.select(F.col("track").alias("path"), "frame", F.lit(0).alias("channel"), v.alias("v")), 8000, 1)
+
+
+def _recorded(spark, d) -> str:
+    folder = shared_path(spark, "recordings")
+    wav.write_files(_recordings(spark, d), folder)
+    return folder
+
+
+RECORDED = """fr as (select 'user_' || user_id || case when user_id % 3 = 0 then '.flac' else '.wav' end as track, row_number() over w - 1 as frame, count(*) over (partition by user_id) as frames,
+    cast(round(value) * case when (row_number() over w - 1) % 2 = 0 then 1 else -1 end as double) / 32768 as v from events window w as (partition by user_id order by ts, event_id))"""
+SQL_CHUNKS = f"with {RECORDED} select track as path, frames, 1 as ends, cast(sum(v * 32768) as bigint) as total, cast(sum(v * 32768 * (frame + 1)) as bigint) as weighted from fr group by 1, 2"
+
+
+def _chunk_facts(chunks: DataFrame) -> DataFrame:
+    """What chunks of a file add up to: its samples, and the samples times their places."""
+    whole = F.transform("samples", lambda x: F.round(x * 32768).cast("long"))
+    rows = chunks.select(F.substring_index("path", "/", -1).alias("path"), "frames", "is_last", "first", whole.alias("x"))
+    total, weighted = F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x), F.aggregate(F.transform("x", lambda x, i: x * (F.col("first") + i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.groupBy("path", "frames").agg(F.count_if("is_last").cast("int").alias("ends"), F.sum(total).alias("total"), F.sum(weighted).alias("weighted"))
+
+
+query("signal_chunks", SQL_CHUNKS)(lambda s, d: _chunk_facts(wav.read_chunks(s, _recorded(s, d), 16, "*.{wav,flac}")))
+query("signal_stream", SQL_CHUNKS)(lambda s, d: _chunk_facts(incremental.settle(wav.stream_chunks(s, _recorded(s, d), 16, files=64), "append")))
+
+
+def _facade(spark, d, large: int) -> DataFrame:
+    rows = Engine(spark, WaveformConfig(20, smooth=True)).waveforms(_recorded(spark, d), large=large)
+    rows = rows.select(F.substring_index("path", "/", -1).alias("path"), "duration_us", "sample_rate", "error", F.posexplode("amplitudes").alias("bin", "amp"))
+    return rows.select("path", "duration_us", "sample_rate", "error", F.col("bin").cast("long").alias("bin"), r6("amp").alias("amp"))
+
+
+SQL_FACADE = f"with {sql_bins(20, RECORDED)}, {sql_smooth(3)}, {SQL_PEAK.format('sm')} select norm.track as path, cast(n.frames * 125 as bigint) as duration_us, 8000 as sample_rate, cast(null as varchar) as error, bin, round(amp, 6) as amp from norm join (select distinct track, frames from fr) n using (track)"
+query("facade_waveforms", SQL_FACADE)(lambda s, d: _facade(s, d, P.IN_MEMORY))
+query("facade_streamed", SQL_FACADE)(lambda s, d: _facade(s, d, 0))
+query("flac_decode", """with t as (select doc_id, doc_id % 2 + 1 as channels, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::int - 128) as b from documents),
+    u as (select *, b[1:len(b) // channels * channels] as x from t)
+    select doc_id || '.flac' as path, cast(len(x) as bigint) as samples, cast(channels as int) as channels, cast(coalesce(list_sum(x), 0) as bigint) as total, cast(coalesce(list_sum(list_transform(x, lambda v: v * v)), 0) as bigint) as squares from u""")(
+    lambda s, d: _flacs(s, d))
+
+
+def _flacs(spark, d) -> DataFrame:
+    """Documents whose bytes are samples of 8 bits, written as FLAC and decoded again."""
+    made = flac.encode_bytes(table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".flac")).alias("path"), (F.col("doc_id") % 2 + 1).cast("int").alias("channels"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content")))
+    x = F.transform("samples", lambda v: F.round(v * 128).cast("long"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
+    return wav.decode_files(made).select("path", F.size("samples").cast("long").alias("samples"), "channels", total(x).alias("total"), total(F.transform(x, lambda v: v * v)).alias("squares"))
+
+
 query("wav_header", """with w as (select *, 8 * (doc_id % 4 + 1) as bits, doc_id % 2 + 1 as channels, 8000 + doc_id * 10 % 40000 as rate, strlen(coalesce(text, '')) as n from documents)
     select doc_id || '.wav' as path, cast(1 as bigint) as kind, channels, rate as sample_rate, cast(bits as bigint) as bits, cast(n as bigint) as data_bytes,
         cast(case when doc_id % 3 = 0 then 52 + strlen(source) + strlen(source) % 2 else 44 end as bigint) as data_at, cast(n * 8000 // (rate * channels * bits) as bigint) as duration_ms from w""")(lambda s, d: wav.header(_waves(s, d)))
 query("stream_bins", "select event_type as track, date_trunc('day', ts) as start, count(*) as n, round(sqrt(avg(value * value)), 6) as rms, round(max(abs(value)), 6) as peak, round(avg(abs(value)), 6) as average from events group by 1, 2")(
     lambda s, d: incremental.settle(incremental.windowed(incremental.read(s, d, "events.parquet"), "ts", "event_type", "value", late=None)).select("track", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("rms").alias("rms"), r6("peak").alias("peak"), r6("average").alias("average")))
 
+def _checksums(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum"))
+
+
 #: Starts of files: formats in the order of doc_id, and one that is none.
 KINDS = ["mp3", "flac", "ogg", "wav", "opus", "none"]
 
@@ -400,7 +505,7 @@ def _marked(spark, d) -> DataFrame:
     byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
     pad = lambda n: F.lit(bytes(n))
     mark = (
-        F.when(k == 0, F.concat(F.lit(b"\xff"), byte(0xE0 + i % 4 * 8 + 2), byte(i % 15 * 16 + i % 3 * 4), byte(i % 4 * 64)))
+        F.when(k == 0, F.concat(F.lit(b"\xff"), byte(0xE0 + i % 4 * 8 + F.floor(i / 4) % 3 * 2), byte(i % 15 * 16 + i % 3 * 4), byte(i % 4 * 64)))
         .when(k == 1, F.concat(F.lit(b"fLaC"), byte(i % 2), pad(3), byte(i % 16 + 1), byte(i % 256), byte(i % 32 + 16), pad(31)))
         .when(k == 2, F.concat(F.lit(b"OggS"), pad(1), byte(i % 8), pad(22)))
         .when(k == 3, F.concat(F.lit(b"RIFF"), pad(4), F.lit(b"WAVE")))
@@ -415,17 +520,18 @@ query("signatures", """with f as (select doc_id, doc_id % 6 as k, case when doc_
     select cast(doc_id as varchar) as path, ['mp3','flac','ogg','wav','opus','unknown'][k + 1] as detected, case fmt when 'mp3' then k = 0 when 'flac' then k = 1 when 'ogg' then k in (2, 4) when 'wav' then k = 3 else false end as matches, k = 0 as is_mp3 from f""")(
     lambda s, d: _marked(s, d).select("path", P.format_of_content(F.col("content")).alias("detected"), headers.signature_matches(F.col("content"), F.col("fmt")).alias("matches"), headers.signature_matches(F.col("content"), F.lit("mp3")).alias("is_mp3")))
 query("header_fields", """with f as (select doc_id as i, doc_id % 6 as k from documents)
-    select cast(i as varchar) as path, cast(case when k = 0 then i % 4 end as int) as version, case when k = 0 then 1 end as layer, cast(case when k = 0 then i % 15 end as int) as bitrate_index, cast(case when k = 0 then i % 3 end as int) as sample_rate_index, cast(case when k = 0 then i % 4 end as int) as channel_mode,
+    select cast(i as varchar) as path, cast(case when k = 0 then i % 4 end as int) as version, cast(case when k = 0 then i // 4 % 3 end as int) as layer, cast(case when k = 0 then i % 15 end as int) as bitrate_index, cast(case when k = 0 then i % 3 end as int) as sample_rate_index, cast(case when k = 0 then i % 4 end as int) as channel_mode,
     cast(case when k = 1 then (i % 16 + 1) * 256 + i % 256 end as int) as min_block, cast(case when k = 1 then (i % 32 + 16) * 256 end as int) as max_block, case when k = 1 then i % 2 = 0 end as has_stream_info, cast(case when k in (2, 4) then i % 8 end as int) as header_type from f""")(
     lambda s, d: _marked(s, d).withColumn("k", F.col("doc_id") % 6).select("path", F.when(F.col("k") == 0, headers.mp3_header(F.col("content"))).alias("m"), F.when(F.col("k") == 1, headers.flac_header(F.col("content"))).alias("f"), F.when(F.col("k").isin(2, 4), headers.ogg_header(F.col("content"))).alias("o")).select("path", "m.version", "m.layer", "m.bitrate_index", "m.sample_rate_index", "m.channel_mode", "f.min_block", "f.max_block", "f.has_stream_info", "o.header_type"))
-query("pattern_counts", """with b as (select doc_id, encode('OggS' || repeat('.', doc_id % 3 * 2046) || 'OggS') as o from documents)
-    select cast(doc_id as varchar) as path, cast(0 as bigint) as mp3_frames, cast(case when doc_id % 3 = 2 then 2 else 1 end as bigint) as ogg_pages from b""")(
-    lambda s, d: headers.count_patterns(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("OggS"), F.repeat(F.lit("."), (F.col("doc_id") % 3 * 2046).cast("int")), F.lit("OggS")).cast("binary").alias("content"))))
-for _n in ("byte_checksum", "byte_checksum_all"):
-    query(_n, "select cast(doc_id as varchar) as path, lpad(lower(to_hex(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint)), 8, '0') as checksum from documents")(
-        lambda s, d: table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum")))
-query("harmonics", "select f as frame, round(greatest(-1.0, least(1.0, (0.5 * sin(w) + 0.25 * sin(2 * w) + 0.125 * sin(3 * w)) * (1 + 0.3 * sin(2 * t)) * 0.7)), 6) as v from (select f, f / 8000.0::double as t, 2 * pi() * 440 * (f / 8000.0::double) as w from (select unnest(range(2000)) as f))")(
-    lambda s, d: s.range(2000).select(F.col("id").alias("frame"), r6(wav.harmonics(F.col("id"), F.lit(0), 8000)).alias("v")))
+#: A frame's mark, the text, the mark again; then a page's mark, the text, the mark again. Texts hold neither, so the second mark counts if the jump does not pass it.
+query("pattern_counts", """with b as (select doc_id, strlen(coalesce(text, '')) as n, contains(coalesce(text, ''), 'OggS') as odd from documents)
+    select cast(doc_id as varchar) as path, cast(case when n + 2 >= 417 then 2 else 1 end as bigint) as mp3_frames, cast(case when n + 4 >= 4096 then 2 else 1 end as bigint) as ogg_pages from b""")(
+    lambda s, d: headers.count_patterns(table(s, d, "documents").withColumn("t", F.coalesce(F.col("text"), F.lit("")).cast("binary")).select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit(b"\xff\xfb"), "t", F.lit(b"\xff\xfbOggS"), "t", F.lit(b"OggS")).alias("content"))))
+query("byte_checksum", "select cast(doc_id as varchar) as path, lpad(lower(to_hex(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint)), 8, '0') as checksum from documents")(lambda s, d: _checksums(s, d).select("path", "checksum"))
+query("byte_checksum_all", "select source, lpad(lower(to_hex(sum(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0))::bigint % 4294967296)), 8, '0') as checksum from documents group by source")(
+    lambda s, d: _checksums(s, d).groupBy("source").agg(wav.checksum_of_all(F.col("checksum")).alias("checksum")))
+query("harmonics", "select event_id, round(greatest(-1.0, least(1.0, (0.5 * sin(w) + 0.25 * sin(2 * w) + 0.125 * sin(3 * w)) * (1 + 0.3 * sin(2 * t)) * 0.7)), 6) as v from (select event_id, event_id / 8000.0::double as t, 2 * pi() * (440 + 220 * (user_id % 2)) * (event_id / 8000.0::double) as w from events)")(
+    lambda s, d: table(s, d, "events").select("event_id", r6(wav.harmonics(F.col("event_id"), F.col("user_id") % 2, 8000)).alias("v")))
 LISTED = f"with {FILES}, li as (select '/d.x/' || ['corrupted_', 'tone_', ''][doc_id % 3 + 1] || ['small', 'large', 'X1'][doc_id % 4 % 3 + 1] || '_' || doc_id || '.' || ['wav', 'MP3'][doc_id % 2 + 1] as path, doc_id from fl), lj as (select *, lower(split_part(path, '.', -1)) as extension, regexp_extract(split_part(path, '/', -1), '_([a-z]+)_[^_]*$', 1) as size_tag from li)"
 
 

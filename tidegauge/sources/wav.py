@@ -157,10 +157,34 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
 AUDIO = "*.{" + ",".join(e for f in FORMATS for x in f[2] for e in (x, x.upper())) + "}"
 
 
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def create_file(path: str) -> BinaryIO:
+    """A new file on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return system.open_output_stream(at)
+
+
+def write_files(files: DataFrame, folder: str, opener: Callable[[str], BinaryIO] = create_file) -> None:
+    """Writes each row's ``content`` to ``path`` below ``folder``, which has to be there. A task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with opener(f"{folder}/{path}") as out:
+                    out.write(content.as_py() or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one row
+
+
 def read_signals(spark: SparkSession, path: str, pattern: str = AUDIO, least: int = 0, most: int | None = None) -> DataFrame:
     """Decoded signals of the files below ``path`` of ``least`` to ``most`` bytes; Spark's reader lists no empty files, so those are missing."""
     files = _files(spark, path, pattern).filter(F.col("length") >= least)
@@ -197,7 +221,11 @@ def _planned(name: str, length: int, chunk_frames: int, opener: Callable[[str],
 
 def plan_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV,flac,FLAC}", least: int = 0, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
     """What ``read_planned`` is to read: a row a chunk. Spark lists names and sizes, and a task reads a file's headers."""
-    listed = _files(spark, path, pattern).filter(F.col("length") >= least).select("path", "length")
+    return _plan(_files(spark, path, pattern).filter(F.col("length") >= least), chunk_frames, opener)
+
+
+def _plan(files: DataFrame, chunk_frames: int, opener: Callable[[str], BinaryIO]) -> DataFrame:
+    listed = files.select("path", "length")  # contents are not read
     fields = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for c, t in (x.split() for x in PLANNED.split(", "))])
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +279,16 @@ def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pat
     return read_planned(plan_chunks(spark, path, chunk_frames, pattern, least, opener), opener)
 
 
+def stream_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV,flac,FLAC}", files: int = 1000, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """The same as a stream: files that come to the folder are read, ``files`` to a batch, each one to its end (``is_last``).
+
+    Spark's checkpoint knows which files a query has read, so a query that goes on from its checkpoint reads each
+    file once. Files have to be moved into the folder when they are complete.
+    """
+    stream = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files)
+    return read_planned(_plan(stream.load(path), chunk_frames, opener), opener)
+
+
 def chunk_frames(chunks: DataFrame) -> DataFrame:
     """track, frame, frames, v of chunks: a row a frame, channels mixed to their mean where the chunk is, as it holds whole frames."""
     rows = chunks.filter("error is null and frames > 0")
@@ -277,6 +315,12 @@ def header(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
+def checksum_of_all(checksums: Column) -> Column:
+    """The checksum of many contents one after another, from theirs: the sum modulo 2**32 again."""
+    total = F.sum(F.conv(checksums, 16, 10).cast("decimal(38,0)")) % F.lit(1 << 32)
+    return F.lpad(F.lower(F.hex(F.coalesce(total, F.lit(0)).cast("long"))), 8, "0")
+
+
 def checksum(content: Column) -> Column:
     """Sum of all bytes modulo 2**32 as eight hex digits; null of null."""
 
@@ -318,12 +362,16 @@ def harmonics(frame: Column, channel: Column, rate: int) -> Column:
 
 
 def encode_rows(rows: DataFrame, rate: int, channels: int, bits: int = 16) -> DataFrame:
-    """path, content: a WAVE file of each path's rows (frame, channel, v). A file is one row, so it is gathered whole."""
+    """path, content: a file of each path's rows (frame, channel, v within [-1, 1]), FLAC where the path says so, else WAVE. A file is one row, so it is gathered whole."""
     each = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "channel", "v"))), lambda x: x["v"]).alias("vs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = [encode(np.array(v.as_py()), rate, channels, bits) for v in b.column(1)]
+            files = []
+            for path, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x, top = np.array(v.as_py(), np.float64), 1 << (bits - 1)
+                whole = path.lower().endswith(".flac")
+                files.append(flac.encode(np.clip(np.round(x * (top - 1)), -top, top - 1), rate, channels, bits) if whole else encode(x, rate, channels, bits))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], names=["path", "content"])
 
     return each.mapInArrow(run, "path string, content binary")
