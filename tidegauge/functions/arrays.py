@@ -123,7 +123,10 @@ def _smooth(a: Column, half: int | Column) -> Column:
 
 
 def peaks(a: Column, threshold: float = 0.1, apart: int = 1) -> Column:
-    """Places of strict local maxima above ``threshold``, from the left, each ``apart`` or more behind the last one taken."""
+    """Places of strict local maxima above ``threshold``, from the left, each ``apart`` or more behind the last one taken.
+
+    What was taken is copied at each step: ``operators.bins.spaced_peaks`` is for signals with many thousands of maxima.
+    """
     none = F.array().cast("array<int>")
 
     def tops(a: Column) -> Column:

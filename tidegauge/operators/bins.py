@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..errors import ConfigurationError
 from ..functions.scalar import bin_of
 from .ordered import KEYS, PIECE_ROWS, Ordered
+from .spaced import WIDTH, spaced
 
 
 def rms(x: Column) -> Column:
@@ -132,13 +133,19 @@ def smooth(bins: DataFrame, window: int = 3) -> DataFrame:
 
 
 def peaks(bins: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """track, bin, amp of strict local maxima above ``threshold``."""
+    """track, bin, amp of strict local maxima above ``threshold``. A window holds a track's bins, of which there are as many as the resolution."""
     w = W.partitionBy("track").orderBy("bin")
     return bins.withColumn("_p", F.lag("amp").over(w)).withColumn("_n", F.lead("amp").over(w)).filter(
         (F.col("amp") > threshold) & (F.col("amp") > F.col("_p")) & (F.col("amp") > F.col("_n"))
     ).drop("_p", "_n")
 
 
+def spaced_peaks(bins: DataFrame, threshold: float = 0.1, apart: int = 1, width: int = WIDTH) -> DataFrame:
+    """track, bin of strict local maxima above ``threshold``, from the left, each ``apart`` or more behind the last one taken: for signals of any length."""
+    found = peaks(bins, threshold)
+    return found.select("track", "bin") if apart <= 2 else spaced(found.select("track", F.col("bin").alias("at")), apart, width).withColumnRenamed("at", "bin")
+
+
 def collect(bins: DataFrame) -> DataFrame:
     """track, amplitudes: a row a track, bins in order. A track has as many as the resolution."""
     return bins.groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "amp"))), lambda x: x["amp"]).alias("amplitudes"))

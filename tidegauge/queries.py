@@ -15,6 +15,7 @@ from .functions.scalar import clamp01, curve, display_resolution, duration_ms, d
 from .operators import bins as B
 from .operators import configured
 from .operators import geometry as G
+from .operators import samples as ST
 from .operators import stats as S
 from .operators.ordered import Ordered, shared_path
 from .operators.signals import Signals, waveform_array
@@ -172,6 +173,11 @@ query("peaks_min_distance", f"""with recursive {EMB_LONG}, bins as (select track
     walk as (select track, min(bin) as bin from top group by track union all select t.track, (select min(u.bin) from top u where u.track = t.track and u.bin >= t.bin + 5) from walk t where t.bin is not null)
     select track, cast(bin as bigint) as bin from walk where bin is not null""")(
     lambda s, d: emb(s, d).select("track", F.explode(A.peaks(F.col("a"), 0.05, 5)).alias("bin")).select("track", F.col("bin").cast("long").alias("bin")))
+# Maxima of a user's own values, 4 or more frames apart: signals as long as they are.
+query("peaks_long", f"""with recursive {EVENTS.replace('event_type', 'user_id')}, bins as (select track, frame as bin, v as amp from fr), {SQL_TOP.format('bins', 20.0)},
+    walk as (select track, min(bin) as bin from top group by track union all select t.track, (select min(u.bin) from top u where u.track = t.track and u.bin >= t.bin + 4) from walk t where t.bin is not null)
+    select track, cast(bin as bigint) as bin from walk where bin is not null""")(
+    lambda s, d: B.spaced_peaks(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value").select("track", F.col("frame").alias("bin"), F.col("v").alias("amp")), 20.0, 4))
 
 
 def sql_pipeline(c: WaveformConfig) -> str:
@@ -362,29 +368,26 @@ query("amp_string_parse", f"with {EMB_LONG} select track, cast(i as bigint) as b
 def samples(spark, d) -> DataFrame:
     """Events as the sample tables of their types: offset, size, time, keyframes."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = table(spark, d, "events").select(F.col("event_type").alias("track"), F.col("event_id").alias("seq"), (F.col("event_id") * 1000).alias("offset"), (F.col("user_id") + 1).alias("size"), ts.alias("ts_us"), (F.col("event_id") % 10 == 0).alias("is_key"))
-    return Ordered(rows, "track", ["ts_us", "seq"]).neighbour("ts_us", "next_us", ahead=True)
+    return table(spark, d, "events").select(F.col("event_type").alias("track"), F.col("event_id").alias("seq"), (F.col("event_id") * 1000).alias("offset"), (F.col("user_id") + 1).alias("size"), ts.alias("ts_us"), (F.col("event_id") % 10 == 0).alias("is_key"))
 
 
 SAMPLES = "sa as (select event_type as track, event_id as seq, event_id * 1000 as \"offset\", user_id + 1 as size, epoch_us(ts) as ts_us, event_id % 10 = 0 as is_key, lead(epoch_us(ts)) over (partition by event_type order by ts, event_id) as next_us from events)"
-query("sample_durations", f"with {SAMPLES} select track, seq, \"offset\" + size as end_offset, next_us - ts_us as us from sa")(lambda s, d: samples(s, d).select("track", "seq", (F.col("offset") + F.col("size")).alias("end_offset"), (F.col("next_us") - F.col("ts_us")).alias("us")))
+query("sample_durations", f"with {SAMPLES} select track, seq, \"offset\" + size as end_offset, next_us - ts_us as us from sa")(lambda s, d: ST.durations(samples(s, d)))
 
 
 def _seek(spark, d) -> DataFrame:
-    """For times spread over each track, the sample that holds the time and the last keyframe at or before it: one ordered pass in pieces, no range join."""
+    """Ten times spread over each track."""
     t = samples(spark, d)
     span = t.groupBy("track").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
     asks = span.select("track", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("q"), "lo", "hi").select("track", "q", (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * F.col("q") / 10)).cast("long").alias("ts_us"))
-    both = t.select("track", "ts_us", "seq", F.when(F.col("is_key"), F.col("seq")).alias("key"), F.lit(None).cast("int").alias("q")).unionByName(asks.select("track", "ts_us", F.lit(2**62).alias("seq"), F.lit(None).cast("long").alias("key"), "q"))
-    at = Ordered(both, "track", ["ts_us", "seq"]).latest(at=F.when(F.col("q").isNull(), F.col("seq")), key_at=F.col("key"))
-    return at.filter("q is not null").select("track", "q", F.col("at").alias("seq"), F.col("key_at").alias("key"))
+    return ST.seek(t, asks)
 
 
 query("sample_table_seek", f"""with {SAMPLES}, sp as (select track, min(ts_us) as lo, max(ts_us) as hi from sa group by 1),
     q as (select track, cast(k as int) as q, cast(lo + floor((hi - lo) * k / 10) as bigint) as t from sp cross join (select unnest(range(10)) as k) r)
     select q.track, q.q, max_by(sa.seq, (sa.ts_us, sa.seq)) as seq, max_by(sa.seq, (sa.ts_us, sa.seq)) filter (is_key) as key from q join sa on sa.track = q.track and sa.ts_us <= q.t group by 1, 2""")(_seek)
 query("container_facts", "select event_type as track, count(*) as samples, round(count(*) * 1000000.0::double / (max(epoch_us(ts)) - min(epoch_us(ts))), 6) as rate, round(max(value) / avg(value), 6) as ratio from events group by 1")(
-    lambda s, d: samples(s, d).groupBy("track").agg(F.count("*").alias("samples"), (F.max("ts_us") - F.min("ts_us")).alias("us")).join(table(s, d, "events").groupBy(F.col("event_type").alias("track")).agg(F.avg("value").alias("b"), F.max("value").alias("m")), "track").select("track", "samples", r6(serde.sample_rate_estimate(F.col("samples"), F.col("us"))).alias("rate"), r6(serde.bitrate_ratio(F.col("b"), F.col("m"))).alias("ratio")))
+    lambda s, d: ST.facts(samples(s, d)).join(table(s, d, "events").groupBy(F.col("event_type").alias("track")).agg(F.avg("value").alias("b"), F.max("value").alias("m")), "track").select("track", "samples", r6(serde.sample_rate_estimate(F.col("samples"), F.col("us"))).alias("rate"), r6(serde.bitrate_ratio(F.col("b"), F.col("m"))).alias("ratio")))
 
 query("container_map", "select c_custkey as k, coalesce(case when c_custkey % 3 > 0 then c_custkey * 1000 end, 0) as duration, coalesce(case when c_custkey % 2 = 0 then c_nationkey end, 0) as bitrate, cast(0 as bigint) as \"maxBitrate\", case when c_custkey % 5 > 0 then c_mktsegment else 'Unknown' end as \"codecName\", cast(case when c_custkey % 7 > 0 then c_nationkey + 2 else 1 end as int) as \"trackId\" from customer")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k"), serde.container(F.map_filter(F.create_map(

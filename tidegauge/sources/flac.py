@@ -12,6 +12,7 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ WIDTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 #: Bytes of the blocks in which the checksum of a frame is taken.
 PART = 4096
+#: Fewer subframes than these are predicted one by one.
+FEW = 8
 
 
 class Damaged(Exception):
@@ -230,7 +233,12 @@ def _summed(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
 def predicted(subframes: list[Subframe]) -> None:
     """Fills in the samples of subframes with linear predictors, all of them side by side."""
     todo = [s for s in subframes if s.samples is None]
-    if not todo:
+    if len(todo) < FEW:
+        for s in todo:
+            x, weights = s.first.tolist(), s.weights[::-1]
+            for r in s.rest.tolist():
+                x.append(r + (sum(map(mul, weights, x[-s.order :])) >> s.shift))
+            s.samples = np.array(x, np.int64)
         return
     order, n = max(s.order for s in todo), max(s.order + len(s.rest) for s in todo)
     weights = np.array([[*s.weights[::-1]] if s.order == order else [0] * (order - s.order) + [*s.weights[::-1]] for s in todo], np.int64)
