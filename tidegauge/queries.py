@@ -330,6 +330,21 @@ query("quality_advice", """select event_id, case when u > 0.9 then 'critical' wh
 query("memory_curve", """with c as (select user_id as track, event_id as seq, case when event_id % 2 = 0 then floor(value) else -floor(value) end as change from events),
     s as (select *, sum(change) over (partition by track order by seq) as s from c), u as (select track, seq, s - least(0, min(s) over (partition by track order by seq)) as used from s)
     select track, seq, cast(used as bigint) as used, case when used / 500 > 0.9 then 'critical' when used / 500 > 0.8 then 'high' else 'normal' end as level from u""")(lambda s, d: S.memory_curve(table(s, d, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, F.floor("value")).otherwise(-F.floor("value")).cast("long").alias("change")), 500))
+
+
+def _memory_stream(spark, d) -> DataFrame:
+    """Events of users in four files, one after another, as a stream with a file to a batch."""
+    folder, e = shared_path(spark, "events"), table(spark, d, "events")
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    change = F.when(F.col("event_id") % 2 == 0, F.floor("value")).otherwise(-F.floor("value")).cast("long")
+    rows = e.select(F.col("user_id").cast("string").alias("track"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("time"), change.alias("change"))
+    for k in range(4):
+        rows.filter((F.col("seq") * 4 > most * k) & (F.col("seq") * 4 <= most * (k + 1)) | (F.lit(k == 0) & (F.col("seq") <= 0))).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return incremental.settle(incremental.memory(stream, 500), "append").filter("kind = 'change'").select(F.col("track").cast("long").alias("track"), "seq", "used", "level")
+
+
+query("memory_stream", ORACLES["memory_curve"])(_memory_stream)
 query("durations", "select c_custkey as k, cast((c_custkey * 1000) // (44100 * (c_custkey % 2 + 1)) as bigint) as ms, cast(round(c_custkey / 44100.0::double * 1000000 / (c_custkey % 2 + 1)) as bigint) as us from customer")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k"), duration_ms(F.col("c_custkey"), F.lit(44100), F.col("c_custkey") % 2 + 1).alias("ms"), duration_us(F.col("c_custkey"), F.lit(44100), F.col("c_custkey") % 2 + 1).alias("us")))
 
