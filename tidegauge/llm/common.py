@@ -58,3 +58,18 @@ def unit(*parts: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of the batches in which texts travel to Python workers: at some kilobytes a text, a few megabytes.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they have been set to something else than Spark's default.
+
+    A batch is held several times on its way to a worker and back, and Spark's 10,000 rows of whole texts are tens of
+    megabytes each time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, BATCH_ROWS)

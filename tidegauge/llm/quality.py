@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches as B
+from .common import small_batches
 from .ngrams import _BYTES, _SPACE
 from .suffixes import pair
 
@@ -34,7 +35,11 @@ LABELLERS = (
     ("again", 0.30, 0.15, 8),  # pairs of words that the text had already
     ("bare", 0.15, 0.05, 8),  # words without a letter or digit
     ("long", 0.60, 0.35, 60),  # characters in words of over 16 bytes
+    ("short", 0.05, 0.025, 0),  # one in so many words: often wrong, as short texts can be good
 )
+#: Columns of shares of word events, beside the hashed ones: the scorer's features.
+EVENTS = 5
+WIDTH = FEATURES + EVENTS
 _CLASS = np.zeros((4, 256), np.uint8)
 _CLASS[0, list(b"%$#*&|~^<>{}[]\\@=+_!")] = 1
 _CLASS[1, 65:91] = 1
@@ -100,6 +105,7 @@ class Measured:
         counts = (
             (symbols, ends - starts - 1), (capitals, letters), (per_text(shouted), self.words), (per_text(marked), self.words), (per_text(ended), self.words), (per_text(again), self.words),
             (per_text(had), self.words), (per_text(bare), self.words), (per_text(lens * (lens > 16)), ends - starts - 1),
+            (np.ones(len(texts)), np.maximum(1, self.words)),
         )
         # Shares are drawn towards the middle, where a labeller says nothing, the more so the less they rest on.
         self.measures = np.stack([(x + weight * (bad + good) / 2) / (of + weight) for (x, of), (_, bad, good, weight) in zip(counts, LABELLERS, strict=True)], axis=1)
@@ -108,14 +114,14 @@ class Measured:
             self.features = self._hashed(data, starts, ends, per_text, events, w)
 
     def _hashed(self, data, starts, ends, per_text, events, w) -> np.ndarray:
-        """Byte pairs hashed into FEATURES counts, scaled to a text's length, and the shares of word events."""
+        """Byte pairs hashed into FEATURES counts, scaled to a text's length, and behind them the shares of word events."""
         pairs = ((data[:-1].astype(np.uint32) * 251 + data[1:]) * np.uint32(2654435761) >> np.uint32(22)).astype(np.int64)
-        out = np.zeros((len(starts), FEATURES), np.float32)
+        out = np.zeros((len(starts), WIDTH), np.float32)
         for k, (a, z) in enumerate(zip(starts.tolist(), (ends - 1).tolist(), strict=True)):
             if z - a > 1:
-                out[k] = np.sqrt(np.bincount(pairs[a : z - 1], minlength=FEATURES) / (z - a - 1)) * ((z - a) / (z - a + HALF))
+                out[k, :FEATURES] = np.sqrt(np.bincount(pairs[a : z - 1], minlength=FEATURES) / (z - a - 1)) * ((z - a) / (z - a + HALF))
         for j, event in enumerate(events):
-            out[:, j] = per_text(event) / w
+            out[:, FEATURES + j] = per_text(event) / w
         return out
 
     def votes(self) -> np.ndarray:
@@ -182,6 +188,7 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
     only, so equal texts fare alike. No rows give no rows; columns of those names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("votes", "label", "score", "keep")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
 
@@ -209,10 +216,10 @@ def score(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> Data
     h = F.xxhash64("doc_id", F.xxhash64("text"))
     drawn = docs.select(h.alias("h"), text.alias("t")).filter(F.pmod("h", F.lit(grain)) <= min(grain, 1.2 * sample * grain / total + 1))
     rows = drawn.mapInArrow(featured, "h long, votes long, x binary").orderBy("h").limit(sample).toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, FEATURES) if rows.num_rows else np.zeros((1, FEATURES), np.float32)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, WIDTH) if rows.num_rows else np.zeros((1, WIDTH), np.float32)
     y = np.array([labels[v] for v in rows["votes"].to_pylist()]) if rows.num_rows else np.full(1, 0.5)
     del rows
-    model = spark.sparkContext.broadcast((*fit(x, y), labels))  # FEATURES weights and a label a pattern
+    model = spark.sparkContext.broadcast((*fit(x, y), labels))  # WIDTH weights and a label a pattern
 
     kept = [c for c in docs.columns if c != "doc_id"]
     schema = docs.select("doc_id", F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(True).alias("keep"), *kept).schema
