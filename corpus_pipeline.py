@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import chunks, mixing, ngrams, packing, quality
-from tidegauge.llm.common import WORD, cut
+from tidegauge.llm.common import WORD, cut, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No stage that fits a model or packs by search can be written in SQL.
@@ -37,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by a 64-bit key of id and text, so rows that share an id, or have none, link on their own.
     Texts without words link with nothing and stay, once for each id. No rows give no rows; other columns go.
     """
+    small_batches(spark)
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
     keyed = docs.select(*COLUMNS, key.alias("key"))
     found = ngrams.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), words=5, num=80, den=100)
@@ -54,6 +55,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one id take nothing from one another, and null ids come after all others and count as one. Texts
     that lost nothing stay as they are, null and empty ones, too. No rows give no rows; other columns go.
     """
+    small_batches(spark)
     cut_ones = chunks.remove_passages(docs).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("h"), "kept_text").dropDuplicates(["cut_id", "h"])
     rows = _hashed(docs).join(cut_ones.withColumnRenamed("h", "cut_h"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("h") == F.col("cut_h")), "left")
     rows = rows.filter(F.col("kept_text").isNull() | F.col("kept_text").rlike(WORD))
@@ -83,6 +85,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
