@@ -145,3 +145,70 @@ def test_a_failing_decoder_is_a_row(spark):
     finally:
         del wav.DECODERS["mp3"]
     assert [(r.samples, r.error) for r in rows] == [(None, "decoding")]
+
+
+class Counted(io.BytesIO):
+    """A file that counts the bytes that are read."""
+
+    read_bytes = 0
+
+    def read(self, *a):
+        out = super().read(*a)
+        Counted.read_bytes += len(out)
+        return out
+
+
+def test_frames_are_found_without_what_is_before():
+    x = signals()["sine"]
+    file = flac.encode(np.tile(x, 10), 44100, 1, 16, block=256)
+    of = flac.info(io.BytesIO(file), len(file))
+    found = flac.frames(file, of, of.data_at, len(file), whole=True)
+    for start, stop in ((of.data_at, len(file)), (5000, 9000), (len(file) - 300, len(file)), (found[5].at, found[5].at + 1), (found[5].at + 1, found[5].at + 3)):
+        want = next((f.first for f in found if start <= f.at < stop), None)
+        Counted.read_bytes = 0
+        assert flac.first_of(Counted(file), of, start, stop) == want
+        assert Counted.read_bytes < 5 * of.largest
+
+
+@pytest.mark.parametrize("ms", [0, 3, 77, 600, 10_000])
+def test_seeking_reads_the_tail_only(spark, tmp_path, ms):
+    x = signals()["sine"]
+    for n in (40, 9_000, 10_000):
+        (tmp_path / f"a{n}.flac").write_bytes(flac.encode(x[:n], 8000, 2, 16, block=64))
+        (tmp_path / f"b{n}.wav").write_bytes(wav.encode(x[:n] / 32767, 8000, 2))
+    (tmp_path / "bad.flac").write_bytes(b"fLaC" + bytes(60))
+    opened = spark.sparkContext.accumulator(0)
+
+    def opener(path):
+        file = wav.open_file(path)
+        opened.add(1)
+        return file
+
+    indexed = wav.index(wav.plan_chunks(spark, str(tmp_path), 300))
+    total = indexed.count()
+    rows = wav.seek_chunks(indexed, ms, opener).collect()
+    assert [r.error for r in rows if r.path.endswith("bad.flac")] == ["corrupted"]
+    for n in (40, 9_000, 10_000):
+        frames, begin = n // 2, ms * 8
+        begin = max(0, frames - 800) if begin >= frames else begin
+        for name in (f"a{n}.flac", f"b{n}.wav"):
+            own = sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.idx)
+            assert np.array_equal(np.concatenate([r.samples for r in own]), (x[2 * begin : n] / 32768).astype(np.float32)), name
+            assert own[0].first == begin and own[-1].is_last
+    assert ms or opened.value == total - 1
+    assert ms < 500 or opened.value < total / 2
+
+
+def test_marks_over_chunks(spark):
+    import random
+
+    from tidegauge.plans import files as P
+    from tidegauge.sources import headers
+
+    r = random.Random(3)
+    pieces = [b"\xff\xfb", b"\xff", b"\xff\xe0", b"OggS", b"Og", b"gS", b"x" * 50, b"y" * 413, b"z" * 4000]
+    rows = [(f"f{k}", b"".join(r.choice(pieces) for _ in range(r.randrange(80)))) for k in range(30)] + [("none", b"plain")]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    want = {tuple(x) for x in headers.count_patterns(files.filter("octet_length(content) > 0")).collect()}
+    for size in (3, 100, 5000):
+        assert {tuple(x) for x in headers.count_in_chunks(P.with_content(files, size), 1000 if size == 3 else 1 << 20).collect()} == want

@@ -101,9 +101,9 @@ def with_content(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
-    """path, content: a file's chunks in order. A file has to fit a row."""
-    whole = F.array_sort(F.collect_list(F.struct("idx", "content")))
-    return parts.groupBy("path").agg(F.aggregate(whole, F.lit(b""), lambda s, c: F.concat(s, c["content"])).alias("content"))
+    """path, content: a file's chunks in order. A file has to fit a row; it is put together once, from its sorted chunks."""
+    whole = F.array_sort(F.collect_list(F.struct("idx", F.hex("content").alias("digits"))))
+    return parts.groupBy("path").agg(F.unhex(F.array_join(F.transform(whole, lambda c: c["digits"]), "")).alias("content"))
 
 
 def decoded_bytes(size: Column, fmt: Column) -> Column:

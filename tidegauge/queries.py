@@ -480,6 +480,16 @@ query("signal_chunks", SQL_CHUNKS)(lambda s, d: _chunk_facts(wav.read_chunks(s,
 query("signal_stream", SQL_CHUNKS)(lambda s, d: _chunk_facts(incremental.settle(wav.stream_chunks(s, _recorded(s, d), 16, files=64), "append")))
 
 
+def _sought(spark, d) -> DataFrame:
+    """Recordings from 4 ms on: what a chunk adds up to of the frames that are left."""
+    folder = _recorded(spark, d)
+    indexed = wav.index(wav.plan_chunks(spark, folder, 16))
+    return _chunk_facts(wav.seek_chunks(indexed, 4)).drop("ends")
+
+
+query("seek_chunks", f"with {RECORDED} select track as path, frames, cast(sum(v * 32768) as bigint) as total, cast(sum(v * 32768 * (frame + 1)) as bigint) as weighted from fr where frame >= 32 group by 1, 2")(_sought)
+
+
 def _facade(spark, d, large: int) -> DataFrame:
     rows = Engine(spark, WaveformConfig(20, smooth=True)).waveforms(_recorded(spark, d), large=large)
     rows = rows.select(F.substring_index("path", "/", -1).alias("path"), "duration_us", "sample_rate", "error", F.posexplode("amplitudes").alias("bin", "amp"))
@@ -542,9 +552,16 @@ query("header_fields", """with f as (select doc_id as i, doc_id % 6 as k from do
     cast(case when k = 1 then (i % 16 + 1) * 256 + i % 256 end as int) as min_block, cast(case when k = 1 then (i % 32 + 16) * 256 end as int) as max_block, case when k = 1 then i % 2 = 0 end as has_stream_info, cast(case when k in (2, 4) then i % 8 end as int) as header_type from f""")(
     lambda s, d: _marked(s, d).withColumn("k", F.col("doc_id") % 6).select("path", F.when(F.col("k") == 0, headers.mp3_header(F.col("content"))).alias("m"), F.when(F.col("k") == 1, headers.flac_header(F.col("content"))).alias("f"), F.when(F.col("k").isin(2, 4), headers.ogg_header(F.col("content"))).alias("o")).select("path", "m.version", "m.layer", "m.bitrate_index", "m.sample_rate_index", "m.channel_mode", "f.min_block", "f.max_block", "f.has_stream_info", "o.header_type"))
 #: A frame's mark, the text, the mark again; then a page's mark, the text, the mark again. Texts hold neither, so the second mark counts if the jump does not pass it.
-query("pattern_counts", """with b as (select doc_id, strlen(coalesce(text, '')) as n, contains(coalesce(text, ''), 'OggS') as odd from documents)
-    select cast(doc_id as varchar) as path, cast(case when n + 2 >= 417 then 2 else 1 end as bigint) as mp3_frames, cast(case when n + 4 >= 4096 then 2 else 1 end as bigint) as ogg_pages from b""")(
-    lambda s, d: headers.count_patterns(table(s, d, "documents").withColumn("t", F.coalesce(F.col("text"), F.lit("")).cast("binary")).select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit(b"\xff\xfb"), "t", F.lit(b"\xff\xfbOggS"), "t", F.lit(b"OggS")).alias("content"))))
+SQL_MARKS = """select cast(doc_id as varchar) as path, cast(case when strlen(coalesce(text, '')) + 2 >= 417 then 2 else 1 end as bigint) as mp3_frames, cast(case when strlen(coalesce(text, '')) + 4 >= 4096 then 2 else 1 end as bigint) as ogg_pages from documents"""
+
+
+def _between_marks(spark, d) -> DataFrame:
+    t = table(spark, d, "documents").withColumn("t", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return t.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit(b"\xff\xfb"), "t", F.lit(b"\xff\xfbOggS"), "t", F.lit(b"OggS")).alias("content"))
+
+
+query("pattern_counts", SQL_MARKS)(lambda s, d: headers.count_patterns(_between_marks(s, d)))
+query("pattern_counts_chunks", SQL_MARKS)(lambda s, d: headers.count_in_chunks(P.with_content(_between_marks(s, d), 1000)))
 query("byte_checksum", "select cast(doc_id as varchar) as path, lpad(lower(to_hex(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint)), 8, '0') as checksum from documents")(lambda s, d: _checksums(s, d).select("path", "checksum"))
 query("byte_checksum_all", "select source, lpad(lower(to_hex(sum(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0))::bigint % 4294967296)), 8, '0') as checksum from documents group by source")(
     lambda s, d: _checksums(s, d).groupBy("source").agg(wav.checksum_of_all(F.col("checksum")).alias("checksum")))

@@ -353,6 +353,22 @@ def between(file, of: Info, start: int, stop: int) -> tuple[int, np.ndarray]:
     return (own[0].first if own else 0), (np.concatenate([samples(f) for f in own]) if own else np.zeros((0, of.channels), np.int64))
 
 
+def first_of(file, of: Info, start: int, stop: int) -> int | None:
+    """The first sample of the first frame that begins in a range of bytes; None if none does."""
+    at = start
+    while at < stop:
+        file.seek(at)
+        end = min(stop, at + of.largest)  # where a frame has to begin
+        data = file.read(end - at + of.largest + 2)
+        for k in [*([0] if at == of.data_at else []), *_marks(data, 0, end - at)]:
+            try:
+                return frame(data, k, of).first
+            except Damaged:
+                continue
+        at = end
+    return None
+
+
 def length_of(file, of: Info, length: int) -> int:
     """Samples of a channel; where the file does not say so, its last frame does."""
     if of.total:

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..operators.spaced import WIDTH, spaced
 from ..plans.files import extension
 
 #: Bytes that a count moves on by after a hit.
@@ -69,6 +71,38 @@ def count_patterns(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, mp3_frames long, ogg_pages long")
 
 
+MARKS = {"mp3_frames": (b"\xff", 2, FRAME_STEP), "ogg_pages": (b"OggS", 4, PAGE_STEP)}
+
+
+def count_in_chunks(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The counts of ``count_patterns`` from chunks (path, idx, offset, content) of files of any size.
+
+    A chunk names the places at which marks begin in it, with a few bytes of the next one; counting with jumps is then
+    keeping those that are a jump apart. A path without content is counted 0 and 0.
+    """
+    far = max(n for _, n, _ in MARKS.values()) - 1
+    w = W.partitionBy("path").orderBy("idx")
+    rows = chunks.withColumn("_next", F.lead(F.substring("content", 1, far)).over(w))  # heads of chunks only
+    rows = rows.select("path", "offset", F.octet_length("content").alias("n"), F.concat("content", F.coalesce("_next", F.lit(b""))).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, offset, n, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                x = content.as_py() or b""
+                for name, (mark, _, _) in MARKS.items():
+                    at, found = x.find(mark, 0, n + len(mark) - 1), []
+                    while 0 <= at < n:
+                        if name != "mp3_frames" or at + 1 < len(x) and x[at + 1] & 0xE0 == 0xE0:
+                            found.append(offset + at)
+                        at = x.find(mark, at + 1, n + len(mark) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([name] * len(found), pa.string()), pa.array(found, pa.int64())], names=["path", "mark", "at"])
+
+    places = rows.mapInArrow(run, "path string, mark string, at long")
+    counts = [spaced(places.filter(F.col("mark") == name).select(F.col("path").alias("track"), "at"), step, width).select(F.col("track").alias("path"), F.lit(name).alias("mark")) for name, (_, _, step) in MARKS.items()]
+    both = counts[0].unionByName(counts[1]).unionByName(chunks.select("path", F.lit("").alias("mark")).distinct())
+    return both.groupBy("path").agg(*[F.count_if(F.col("mark") == name).alias(name) for name in MARKS])
+
+
 def listing(files: DataFrame) -> DataFrame:
     """path, name, extension, size_tag: a row a file; the tag stands between the last two underscores of the name."""
     name = F.substring_index("path", "/", -1)

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..errors import ConfigurationError, CorruptedFile, DecodingError, SignalError, UnsupportedFormat
 from ..functions.arrays import mixdown
@@ -268,6 +269,40 @@ def read_planned(planned: DataFrame, opener: Callable[[str], BinaryIO] = open_fi
     return planned.repartition("path", "idx").mapInArrow(read, CHUNKS)
 
 
+def index(planned: DataFrame, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """A plan in which every chunk says its first frame, FLAC chunks, too: the header of the first frame of each range is read.
+
+    Written as a table beside the files it is what ``seek_chunks`` needs. A range in which no frame begins has the
+    first frame of the range after it, or the file's number of frames.
+    """
+    schema = planned.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                if r["kind"] == FLAC and r["error"] is None:
+                    with opener(r["path"]) as file:
+                        r["first"] = flac.first_of(file, flac.info(file, r["length"]), r["at"], r["at"] + r["size"])
+            yield pa.RecordBatch.from_pylist(rows, b.schema)
+
+    found = planned.repartition("path", "idx").mapInArrow(run, schema)
+    w = W.partitionBy("path").orderBy("idx").rowsBetween(W.currentRow, W.unboundedFollowing)
+    return found.withColumn("first", F.coalesce(F.first("first", True).over(w), "frames"))  # a row a chunk
+
+
+def seek_chunks(indexed: DataFrame, ms: int | Column, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """The chunks of an index from a time on, the first one cut to it; a time past the end gives the last 100 ms. Chunks before it are not read."""
+    begin = F.floor(F.lit(ms) * F.col("sample_rate") / 1000).cast("long")
+    begin = F.when(begin >= F.col("frames"), F.greatest(F.lit(0), F.col("frames") - F.floor(F.col("sample_rate") / 10))).otherwise(begin).cast("long")
+    after = F.lead("first").over(W.partitionBy("path").orderBy("idx"))
+    left = indexed.withColumn("_from", begin).withColumn("_after", F.coalesce(after, "frames")).filter(F.col("error").isNotNull() | (F.col("_after") > F.col("_from")))
+    rows = read_planned(left.select(*indexed.columns), opener).join(left.select(F.col("path").alias("_path"), F.col("idx").alias("_idx"), "_from"), (F.col("path") == F.col("_path")) & (F.col("idx") == F.col("_idx")))
+    over = F.greatest(F.lit(0).cast("long"), F.col("_from") - F.col("first"))
+    cut = F.when(over > 0, F.slice("samples", (over * F.col("channels") + 1).cast("int"), F.size("samples"))).otherwise(F.col("samples"))
+    return rows.select("path", "idx", "is_last", (F.col("first") + over).alias("first"), "frames", "sample_rate", "channels", cut.alias("samples"), "error")
+
+
 def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV}", least: int = 0, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
     """path, idx, is_last, first, frames, sample_rate, channels, samples, error: PCM and FLAC files in chunks, for files of any size.
 
