@@ -212,3 +212,12 @@ def test_marks_over_chunks(spark):
     want = {tuple(x) for x in headers.count_patterns(files.filter("octet_length(content) > 0")).collect()}
     for size in (3, 100, 5000):
         assert {tuple(x) for x in headers.count_in_chunks(P.with_content(files, size), 1000 if size == 3 else 1 << 20).collect()} == want
+
+
+def test_bytes_of_texts_as_samples(spark):
+    texts = ["", "a", "some words, é漢😀 " * 400, "x" * 9000]
+    files = spark.createDataFrame([(f"{k}.flac", k % 2 + 1, t.encode()) for k, t in enumerate(texts)], "path string, channels int, content binary")
+    got = {r.path: r for r in wav.decode_files(flac.encode_bytes(files)).collect()}
+    for k, t in enumerate(texts):
+        x = np.frombuffer(t.encode(), np.uint8).astype(int) - 128
+        assert got[f"{k}.flac"].samples == [v / 128 for v in x[: len(x) // (k % 2 + 1) * (k % 2 + 1)].tolist()]

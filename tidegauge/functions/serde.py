@@ -48,3 +48,14 @@ def sample_rate_estimate(samples: Column, duration_us: Column) -> Column:
 
 def bitrate_ratio(bitrate: Column, most: Column) -> Column:
     return F.when(bitrate == 0, F.lit(1.0)).otherwise(F.try_divide(most, bitrate))
+
+
+def container_to_map(facts: Column) -> Column:
+    """The map<string,string> of which ``container`` makes these facts."""
+    names = ("duration", "bitrate", "maxBitrate", "codecName", "trackId")
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[facts[n].cast("string") for n in names]))
+
+
+def sample_to_map(offset: Column, size: Column, ts_us: Column, is_key: Column) -> Column:
+    """A sample of a container's table as map<string,string>."""
+    return F.create_map(F.lit("offset"), offset.cast("string"), F.lit("size"), size.cast("string"), F.lit("timestampMicros"), ts_us.cast("string"), F.lit("isKeyframe"), is_key.cast("string"))

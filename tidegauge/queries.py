@@ -11,7 +11,7 @@ from .config import WaveformConfig
 from .engine import Engine
 from .functions import arrays as A
 from .functions import serde
-from .functions.scalar import clamp01, curve, display_resolution, duration_ms, duration_us, progress_text, seek_position, size_text
+from .functions.scalar import clamp01, curve, display_resolution, duration_ms, duration_text, duration_us, progress_text, seek_position, size_text
 from .operators import bins as B
 from .operators import configured
 from .operators import geometry as G
@@ -499,20 +499,27 @@ def _facade(spark, d, large: int) -> DataFrame:
 SQL_FACADE = f"with {sql_bins(20, RECORDED)}, {sql_smooth(3)}, {SQL_PEAK.format('sm')} select norm.track as path, cast(n.frames * 125 as bigint) as duration_us, 8000 as sample_rate, cast(null as varchar) as error, bin, round(amp, 6) as amp from norm join (select distinct track, frames from fr) n using (track)"
 query("facade_waveforms", SQL_FACADE)(lambda s, d: _facade(s, d, P.IN_MEMORY))
 query("facade_streamed", SQL_FACADE)(lambda s, d: _facade(s, d, 0))
-query("flac_decode", """with t as (select doc_id, doc_id % 2 + 1 as channels, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::int - 128) as b from documents),
-    u as (select *, b[1:len(b) // channels * channels] as x from t)
-    select doc_id || '.flac' as path, cast(len(x) as bigint) as samples, cast(channels as int) as channels, cast(coalesce(list_sum(x), 0) as bigint) as total, cast(coalesce(list_sum(list_transform(x, lambda v: v * v)), 0) as bigint) as squares from u""")(
-    lambda s, d: _flacs(s, d))
+LINE_TRACKS = f"""li as (select l_suppkey as k, row_number() over w - 1 as i, count(*) over (partition by l_suppkey) as n, cast(round(l_extendedprice / 10) as bigint) % 30000 * case when l_linenumber % 2 = 0 then 1 else -1 end as x
+    from lineitem window w as (partition by l_suppkey order by {', '.join(LINE_ORDER)}))"""
 
 
 def _flacs(spark, d) -> DataFrame:
-    """Documents whose bytes are samples of 8 bits, written as FLAC and decoded again."""
-    made = flac.encode_bytes(table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".flac")).alias("path"), (F.col("doc_id") % 2 + 1).cast("int").alias("channels"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content")))
-    x = F.transform("samples", lambda v: F.round(v * 128).cast("long"))
+    """Suppliers' lines as FLAC files of one channel, decoded again: what samples and squares add up to, and samples by their places."""
+    rows = B.short_frames(table(spark, d, "lineitem").withColumn("path", F.concat(F.col("l_suppkey").cast("string"), F.lit(".flac"))), "path", LINE_ORDER, F.round(F.col("l_extendedprice") / 10).cast("long") % 30000 * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1))
+    files = wav.encode_rows(rows.select(F.col("track").alias("path"), "frame", F.lit(0).alias("channel"), (F.col("v") / 32767).alias("v")), 44100, 1)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
-    return wav.decode_files(made).select("path", F.size("samples").cast("long").alias("samples"), "channels", total(x).alias("total"), total(F.transform(x, lambda v: v * v)).alias("squares"))
-
-
+    decoded = wav.decode_files(files).withColumn("x", F.transform("samples", lambda v: F.round(v * 32768).cast("long")))
+    return decoded.select("path", F.size("x").cast("long").alias("samples"), "channels", "duration_us", total(F.col("x")).alias("total"), total(F.transform("x", lambda v: v * v)).alias("squares"), total(F.transform("x", lambda v, i: v * i)).alias("weighted"))
+
+
+query("flac_decode", f"with {LINE_TRACKS} select k || '.flac' as path, count(*) as samples, 1 as channels, cast(round_even(any_value(n) / 44100.0::double * 1e6, 0) as bigint) as duration_us, cast(sum(x) as bigint) as total, cast(sum(x * x) as bigint) as squares, cast(sum(x * i) as bigint) as weighted from li group by k")(_flacs)
+query("duration_text", "select event_id, (us // 3600000000) || ':' || lpad(cast(us // 60000000 % 60 as varchar), 2, '0') || ':' || lpad(cast(us // 1000000 % 60 as varchar), 2, '0') || '.' || lpad(cast(us % 1000000 as varchar), 6, '0') as text from (select event_id, epoch_us(ts) // 1000 + event_id as us from events)")(
+    lambda s, d: table(s, d, "events").select("event_id", duration_text(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000) + F.col("event_id")).alias("text")))
+query("container_to_map", "select c_custkey as k, c_custkey * 1000 as duration, c_nationkey as bitrate, 'aac' || c_nationkey as codec, 5 as n from customer")(
+    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k"), serde.container_to_map(serde.container(F.create_map(F.lit("duration"), (F.col("c_custkey") * 1000).cast("string"), F.lit("bitrate"), F.col("c_nationkey").cast("string"), F.lit("codecName"), F.concat(F.lit("aac"), F.col("c_nationkey").cast("string"))))).alias("m"))
+    .select("k", F.col("m")["duration"].cast("long").alias("duration"), F.col("m")["bitrate"].cast("long").alias("bitrate"), F.col("m")["codecName"].alias("codec"), F.size("m").alias("n")))
+query("sample_to_map", "select event_id as seq, event_id * 1000 as \"offset\", user_id + 1 as size, epoch_us(ts) as ts_us, cast(event_id % 10 = 0 as varchar) as is_key from events")(
+    lambda s, d: samples(s, d).select("seq", serde.sample_to_map(F.col("offset"), F.col("size"), F.col("ts_us"), F.col("is_key")).alias("m")).select("seq", F.col("m")["offset"].cast("long").alias("offset"), F.col("m")["size"].cast("long").alias("size"), F.col("m")["timestampMicros"].cast("long").alias("ts_us"), F.col("m")["isKeyframe"].alias("is_key")))
 query("wav_header", """with w as (select *, 8 * (doc_id % 4 + 1) as bits, doc_id % 2 + 1 as channels, 8000 + doc_id * 10 % 40000 as rate, strlen(coalesce(text, '')) as n from documents)
     select doc_id || '.wav' as path, cast(1 as bigint) as kind, channels, rate as sample_rate, cast(bits as bigint) as bits, cast(n as bigint) as data_bytes,
         cast(case when doc_id % 3 = 0 then 52 + strlen(source) + strlen(source) % 2 else 44 end as bigint) as data_at, cast(n * 8000 // (rate * channels * bits) as bigint) as duration_ms from w""")(lambda s, d: wav.header(_waves(s, d)))

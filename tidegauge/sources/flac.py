@@ -118,7 +118,7 @@ class Bits:
         self.data, self.at = data, 0
         bits = np.unpackbits(np.frombuffer(data, np.uint8))
         place = np.where(bits, np.arange(len(bits)), len(bits))
-        self.next = np.minimum.accumulate(place[::-1])[::-1].tolist()  # the first bit that is set, from each on
+        self.next = memoryview(np.ascontiguousarray(np.minimum.accumulate(place[::-1])[::-1]))  # the first bit that is set, from each on
         self.padded = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))).astype(np.uint64)
 
     def take(self, n: int, signed: bool = False) -> int:
@@ -265,8 +265,8 @@ class Frame:
     end: int
 
 
-def frame(data: bytes, at: int, of: Info) -> Frame:
-    """The frame that begins at byte ``at``; ``Damaged`` if none does."""
+def frame(data: bytes, at: int, of: Info, near: int = 0) -> Frame:
+    """The frame that begins at byte ``at``; ``Damaged`` if none does. If it may have ``near`` bytes only, no more are looked at before that fails."""
     head = data[at : at + 16]
     if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8:
         raise Damaged("no mark")
@@ -296,9 +296,15 @@ def frame(data: bytes, at: int, of: Info) -> Frame:
     if channels != of.channels or bits != of.bits:
         raise Damaged("another stream")
     most = max(of.largest, 64 + channels * (block * (bits + 1) // 8 + 8))
-    reader = Bits(data[at + p + 1 : at + most + 2])
     side = {8: 1, 9: 0, 10: 1}.get(mode)
-    parts = [_subframe(reader, block, bits + (c == side)) for c in range(channels)]
+    for some in (near, most) if 0 < near < most else (most,):
+        try:
+            reader = Bits(data[at + p + 1 : at + some + 2])
+            parts = [_subframe(reader, block, bits + (c == side)) for c in range(channels)]
+            break
+        except Damaged:
+            if some == most:
+                raise
     end = at + p + 1 + (reader.at + 7 >> 3)
     if end + 2 > len(data) or crc16(data[at:end]) != int.from_bytes(data[end : end + 2], "big"):
         raise Damaged("frame does not add up")
@@ -327,7 +333,7 @@ def frames(data: bytes, of: Info, begin: int, stop: int, whole: bool = False) ->
     out, at = [], begin
     while at < min(stop, len(data)):
         try:
-            found = frame(data, at, of)
+            found = frame(data, at, of, (out[-1].end - out[-1].at) * 5 // 4 + 64 if out else 0)
             if out and found.first != out[-1].first + out[-1].block:
                 raise Damaged("samples are missing")
             out.append(found)
