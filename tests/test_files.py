@@ -146,3 +146,18 @@ def test_chunks_of_samples(spark, tmp_path):
     assert by["bad.wav"][0].error == "corrupted" and by["none.wav"][0].samples == [] and by["none.wav"][0].is_last
     whole = {r.path: r.samples for r in wav.concatenate(wav.read_chunks(spark, str(tmp_path), 700, "16.wav")).collect()}
     assert np.allclose(*whole.values(), x, atol=1e-4)
+
+
+def test_container_maps_come_back(spark):
+    rows = [({"durationMicros": "7", "bitrate": "2", "audioTrackId": "3", "codecName": "aac"},), ({"duration": "5", "trackId": "4"},), ({},)]
+    c = spark.createDataFrame(rows, "m map<string,string>").select(serde.container(F.col("m")).alias("c"))
+    got = c.select("c", serde.container(serde.container_to_map(F.col("c"))).alias("again"), serde.container_to_map(F.col("c")).alias("m")).collect()
+    assert [tuple(r.c) for r in got] == [(7, 2, 0, "aac", 3), (5, 0, 0, "Unknown", 4), (0, 0, 0, "Unknown", 1)] and all(r.c == r.again for r in got)
+    assert got[0].m == {"durationMicros": "7", "bitrate": "2", "maxBitrate": "0", "codecName": "aac", "audioTrackId": "3"}
+
+
+def test_duration_texts(spark):
+    from tidegauge.functions.scalar import duration_text
+
+    got = spark.createDataFrame([(0,), (225_000_001,), (36_000_000_000,), (-61_000_000,), (None,)], "us long").select(duration_text(F.col("us")).alias("t")).collect()
+    assert [r.t for r in got] == ["0:00:00.000000", "0:03:45.000001", "10:00:00.000000", "-0:01:01.000000", None]

@@ -87,7 +87,7 @@ def duration_text(us: Column) -> Column:
     x = F.abs(us.cast("long"))
     part = lambda unit, of: F.floor(x / unit) % of if of else F.floor(x / unit)
     text = F.format_string("%d:%02d:%02d.%06d", part(3_600_000_000, 0), part(60_000_000, 60), part(1_000_000, 60), x % 1_000_000)
-    return F.when(us < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(us < 0, F.concat(F.lit("-"), text)).when(us >= 0, text)
 
 
 def progress_text(share: Column) -> Column:

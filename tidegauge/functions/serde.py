@@ -35,10 +35,15 @@ def amplitudes_from_text(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
+#: Names of container facts in maps, the serialised form first; others are read, too.
+FACTS = {"duration": ("durationMicros", "duration"), "bitrate": ("bitrate",), "maxBitrate": ("maxBitrate",), "codecName": ("codecName",), "trackId": ("audioTrackId", "trackId")}
+
+
 def container(fields: Column) -> Column:
     """Container facts of a map<string,string>: missing ones are 0, empty or Unknown."""
-    num = lambda k: F.coalesce(F.get(F.array(F.try_element_at(fields, F.lit(k))), F.lit(0)).cast("long"), F.lit(0).cast("long")).alias(k)
-    return F.struct(num("duration"), num("bitrate"), num("maxBitrate"), F.coalesce(F.try_element_at(fields, F.lit("codecName")), F.lit("Unknown")).alias("codecName"), F.coalesce(F.try_element_at(fields, F.lit("trackId")).cast("int"), F.lit(1)).alias("trackId"))
+    of = lambda k: F.coalesce(*[F.try_element_at(fields, F.lit(n)) for n in FACTS[k]])
+    num = lambda k: F.coalesce(of(k).cast("long"), F.lit(0).cast("long")).alias(k)
+    return F.struct(num("duration"), num("bitrate"), num("maxBitrate"), F.coalesce(of("codecName"), F.lit("Unknown")).alias("codecName"), F.coalesce(of("trackId").cast("int"), F.lit(1)).alias("trackId"))
 
 
 def sample_rate_estimate(samples: Column, duration_us: Column) -> Column:
@@ -52,8 +57,7 @@ def bitrate_ratio(bitrate: Column, most: Column) -> Column:
 
 def container_to_map(facts: Column) -> Column:
     """The map<string,string> of which ``container`` makes these facts."""
-    names = ("duration", "bitrate", "maxBitrate", "codecName", "trackId")
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[facts[n].cast("string") for n in names]))
+    return F.map_from_arrays(F.array(*[F.lit(n[0]) for n in FACTS.values()]), F.array(*[facts[k].cast("string") for k in FACTS]))
 
 
 def sample_to_map(offset: Column, size: Column, ts_us: Column, is_key: Column) -> Column:

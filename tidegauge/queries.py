@@ -517,7 +517,7 @@ query("duration_text", "select event_id, (us // 3600000000) || ':' || lpad(cast(
     lambda s, d: table(s, d, "events").select("event_id", duration_text(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000) + F.col("event_id")).alias("text")))
 query("container_to_map", "select c_custkey as k, c_custkey * 1000 as duration, c_nationkey as bitrate, 'aac' || c_nationkey as codec, 5 as n from customer")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k"), serde.container_to_map(serde.container(F.create_map(F.lit("duration"), (F.col("c_custkey") * 1000).cast("string"), F.lit("bitrate"), F.col("c_nationkey").cast("string"), F.lit("codecName"), F.concat(F.lit("aac"), F.col("c_nationkey").cast("string"))))).alias("m"))
-    .select("k", F.col("m")["duration"].cast("long").alias("duration"), F.col("m")["bitrate"].cast("long").alias("bitrate"), F.col("m")["codecName"].alias("codec"), F.size("m").alias("n")))
+    .select("k", F.col("m")["durationMicros"].cast("long").alias("duration"), F.col("m")["bitrate"].cast("long").alias("bitrate"), F.col("m")["codecName"].alias("codec"), F.size("m").alias("n")))
 query("sample_to_map", "select event_id as seq, event_id * 1000 as \"offset\", user_id + 1 as size, epoch_us(ts) as ts_us, cast(event_id % 10 = 0 as varchar) as is_key from events")(
     lambda s, d: samples(s, d).select("seq", serde.sample_to_map(F.col("offset"), F.col("size"), F.col("ts_us"), F.col("is_key")).alias("m")).select("seq", F.col("m")["offset"].cast("long").alias("offset"), F.col("m")["size"].cast("long").alias("size"), F.col("m")["timestampMicros"].cast("long").alias("ts_us"), F.col("m")["isKeyframe"].alias("is_key")))
 query("wav_header", """with w as (select *, 8 * (doc_id % 4 + 1) as bits, doc_id % 2 + 1 as channels, 8000 + doc_id * 10 % 40000 as rate, strlen(coalesce(text, '')) as n from documents)
