@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -14,14 +14,37 @@ COLUMNS = ["resolution", "algorithm", "window", "normalization", "curve", "facto
 CURVES = ("linear", "logarithmic", "exponential", "sqrt")
 
 
+def problem(resolution: Column, algorithm: Column, window: Column, normalization: Column, shape: Column, factor: Column) -> Column:
+    """The first column of a configuration that is not as ``WaveformConfig`` wants it, null if all are: for tables of configurations."""
+    among = lambda c, names: F.coalesce(c.isin(*names), F.lit(False))
+    return (
+        F.when(~F.coalesce(resolution > 0, F.lit(False)), "resolution").when(~among(algorithm, B.OF), "algorithm").when((window < 3) | (window % 2 == 0), "window")
+        .when(~F.coalesce(normalization.isin("peak", "rms"), F.lit(True)), "normalization").when(~F.coalesce(shape.isin(*CURVES), F.lit(True)), "curve").when(~F.coalesce(factor >= 0, F.lit(False)), "factor")
+    )
+
+
+#: A configuration as JSON: missing entries are null, unknown ones are passed over.
+JSON = "resolution int, algorithm string, window int, normalization string, curve string, factor double"
+
+
+def to_json(configs: DataFrame) -> DataFrame:
+    """track, json of a table of configurations; entries that are null are left out."""
+    return configs.select("track", F.to_json(F.struct(*COLUMNS)).alias("json"))
+
+
+def from_json(rows: DataFrame) -> DataFrame:
+    """The table of configurations again; what is no JSON gives nulls only."""
+    return rows.select("track", F.from_json("json", JSON).alias("c")).select("track", "c.*")
+
+
 def waveforms(framed: DataFrame, configs: DataFrame) -> DataFrame:
     """track, bin, amp: ``framed`` (track, frame, frames, v) after the configuration that ``configs`` has on its track.
 
     ``window`` null does not smooth, ``normalization`` null does not normalise, ``curve`` null does not scale (nor clamp). A
-    track of no more frames than bins keeps its values. Tracks without a configuration, or of an algorithm that there
-    is none of, are left out, as those of a null track; a track with several configurations is an error of the table.
+    track of no more frames than bins keeps its values. Tracks without a configuration, or with another ``problem``, are left out, as those of a null track; a track with several configurations is an error of the table.
     """
-    known = configs.filter(F.col("algorithm").isin(*B.OF) & (F.col("resolution") > 0)).select("track", *COLUMNS)
+    sound = problem(*[F.col(c) for c in COLUMNS]).isNull()
+    known = configs.filter(sound).select("track", *COLUMNS)
     rows = framed.join(known, "track")  # the smaller side is broadcast if Spark finds it small
     whole = F.col("frames") <= F.col("resolution")
     at = F.when(whole, F.col("frame")).otherwise(bin_of(F.col("frame"), F.col("frames"), F.col("resolution"))).cast("long")

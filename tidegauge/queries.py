@@ -231,6 +231,25 @@ query("configured_tracks", f"""with {EVENTS.replace('event_type', 'user_id')}, {
     select track, bin, round(case curve when 'linear' then {sql_clamp(SQL_CURVE['linear'].format(f='factor'))} when 'logarithmic' then {sql_clamp(SQL_CURVE['logarithmic'].format(f='factor'))} when 'exponential' then {sql_clamp(SQL_CURVE['exponential'].format(f='factor'))} when 'sqrt' then {sql_clamp(SQL_CURVE['sqrt'].format(f='factor'))} else amp end, 6) as amp from o""")(
     lambda s, d: rounded(configured.waveforms(B.frames(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"), configs(s, d)), "amp"))
 
+SHAKY = """sh as (select c_custkey as track, cast(c_nationkey - 1 as int) as resolution, (['rms', 'peak', 'loudest', 'median'])[c_custkey % 4 + 1] as algorithm, cast(case when c_custkey % 6 > 0 then c_nationkey % 8 + 1 end as int) as w,
+    ([null, 'peak', 'sum'])[c_custkey % 3 + 1] as normalization, (['linear', 'cube', 'exponential', null])[c_nationkey % 4 + 1] as curve, round(c_acctbal / 100, 2) as factor from customer)"""
+
+
+def shaky(spark, d) -> DataFrame:
+    """Customers as configurations of which many are wrong."""
+    pick = lambda of, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (of + 1).cast("int"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    return table(spark, d, "customer").select(
+        k.alias("track"), (n - 1).cast("int").alias("resolution"), pick(k % 4, "rms", "peak", "loudest", "median").alias("algorithm"), F.when(k % 6 > 0, n % 8 + 1).cast("int").alias("window"),
+        pick(k % 3, None, "peak", "sum").alias("normalization"), pick(n % 4, "linear", "cube", "exponential", None).alias("curve"), F.round(F.col("c_acctbal") / 100, 2).cast("double").alias("factor"))
+
+
+query("config_problems", f"""with {SHAKY} select track, case when not resolution > 0 then 'resolution' when algorithm = 'loudest' then 'algorithm' when w < 3 or w % 2 = 0 then 'window' when normalization = 'sum' then 'normalization'
+    when curve = 'cube' then 'curve' when factor < 0 then 'factor' end as problem from sh""")(
+    lambda s, d: shaky(s, d).select("track", configured.problem(*[F.col(c) for c in configured.COLUMNS]).alias("problem")))
+query("config_json", f"with {SHAKY} select track, resolution, algorithm, w as window_bins, normalization, curve, factor from sh")(
+    lambda s, d: configured.from_json(configured.to_json(shaky(s, d))).withColumnRenamed("window", "window_bins"))
+
 # --- display
 
 SQL_GROUPS = "gr as (select e.track, t.t as bin, unnest(list_slice(a, cast(floor(t.t * (64.0 / {0})) as int) + 1, cast(least(ceil((t.t + 1) * (64.0 / {0})), 64) as int))) as x from em e cross join (select unnest(range({0})) as t) t)"
@@ -449,6 +468,18 @@ query("wav_format", "select doc_id || '.wav' as path, 'wav' as format, 'unknown'
     lambda s, d: _waves(s, d).select("path", P.format_of_content(F.col("content")).alias("format"), P.format_of_content(F.substring_index("path", ".", 1).cast("binary")).alias("of_text")))
 
 
+def _damaged_waves(spark, d) -> DataFrame:
+    """The documents' files, of which some are cut short, others hold plain text or nothing, or are of a format without a decoder."""
+    k, c = F.col("id") % 5, F.col("content")
+    rows = _waves(spark, d).withColumn("id", F.substring_index("path", ".", 1).cast("long"))
+    body = F.when(k == 1, F.substring(c, 1, 20)).when(k == 2, F.concat(F.lit(b"text "), c)).when(k == 3, F.lit(b"")).otherwise(c)
+    return rows.select(F.when(k == 4, F.concat(F.col("id").cast("string"), F.lit(".mp3"))).otherwise(F.col("path")).alias("path"), body.alias("content"))
+
+
+query("file_errors", "select doc_id || case when doc_id % 5 = 4 then '.mp3' else '.wav' end as path, case doc_id % 5 when 1 then 'corrupted' when 2 then 'corrupted' when 3 then 'decoding' when 4 then 'unsupported_format' end as error, doc_id % 5 = 0 as decoded from documents")(
+    lambda s, d: wav.decode_files(_damaged_waves(s, d)).select("path", "error", F.col("samples").isNotNull().alias("decoded")))
+
+
 def _recordings(spark, d) -> DataFrame:
     """Files of the values of each user's events, FLAC for every third user, else WAVE."""
     name = F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, ".flac").otherwise(".wav"))
