@@ -25,7 +25,7 @@ from . import batches as B
 #: Characters of n-grams, vectors, their dimensions, words of a passage.
 GRAMS, BUCKETS, DIM, PASSAGE = (3, 4, 5), 1 << 16, 8, 8
 #: Labelled documents of the smallest hashes that are fitted on, and passages (of the smallest hashes, too) of each.
-SAMPLE, PASSAGES = 15_000, 48
+SAMPLE, PASSAGES = 12_000, 64
 #: Characters of a text that are read at once.
 SLICE = 1 << 17
 #: What stands between words: white space, and ASCII marks but for those that stand for letters; longer runs of anything are one word.
