@@ -557,8 +557,8 @@ query("wav_header", """with w as (select *, 8 * (doc_id % 4 + 1) as bits, doc_id
 query("stream_bins", "select event_type as track, date_trunc('day', ts) as start, count(*) as n, round(sqrt(avg(value * value)), 6) as rms, round(max(abs(value)), 6) as peak, round(avg(abs(value)), 6) as average from events group by 1, 2")(
     lambda s, d: incremental.settle(incremental.windowed(incremental.read(s, d, "events.parquet"), "ts", "event_type", "value", late=None)).select("track", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("rms").alias("rms"), r6("peak").alias("peak"), r6("average").alias("average")))
 
-def _checksums(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum"))
+def _checksums(spark, d, *keep: str) -> DataFrame:
+    return table(spark, d, "documents").select(*keep, F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum"))
 
 
 #: Starts of files: formats in the order of doc_id, and one that is none.
@@ -602,7 +602,7 @@ query("pattern_counts", SQL_MARKS)(lambda s, d: headers.count_patterns(_between_
 query("pattern_counts_chunks", SQL_MARKS)(lambda s, d: headers.count_in_chunks(P.with_content(_between_marks(s, d), 1000)))
 query("byte_checksum", "select cast(doc_id as varchar) as path, lpad(lower(to_hex(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint)), 8, '0') as checksum from documents")(lambda s, d: _checksums(s, d).select("path", "checksum"))
 query("byte_checksum_all", "select source, lpad(lower(to_hex(sum(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0))::bigint % 4294967296)), 8, '0') as checksum from documents group by source")(
-    lambda s, d: _checksums(s, d).groupBy("source").agg(wav.checksum_of_all(F.col("checksum")).alias("checksum")))
+    lambda s, d: _checksums(s, d, "source").groupBy("source").agg(wav.checksum_of_all(F.col("checksum")).alias("checksum")))
 query("harmonics", "select event_id, round(greatest(-1.0, least(1.0, (0.5 * sin(w) + 0.25 * sin(2 * w) + 0.125 * sin(3 * w)) * (1 + 0.3 * sin(2 * t)) * 0.7)), 6) as v from (select event_id, event_id / 8000.0::double as t, 2 * pi() * (440 + 220 * (user_id % 2)) * (event_id / 8000.0::double) as w from events)")(
     lambda s, d: table(s, d, "events").select("event_id", r6(wav.harmonics(F.col("event_id"), F.col("user_id") % 2, 8000)).alias("v")))
 LISTED = f"with {FILES}, li as (select '/d.x/' || ['corrupted_', 'tone_', ''][doc_id % 3 + 1] || ['small', 'large', 'X1'][doc_id % 4 % 3 + 1] || '_' || doc_id || '.' || ['wav', 'MP3'][doc_id % 2 + 1] as path, doc_id from fl), lj as (select *, lower(split_part(path, '.', -1)) as extension, regexp_extract(split_part(path, '/', -1), '_([a-z]+)_[^_]*$', 1) as size_tag from li)"
