@@ -87,15 +87,18 @@ def count_in_chunks(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            paths, marks, found = [], [], []
             for path, offset, n, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 x = content.as_py() or b""
                 for name, (mark, _, _) in MARKS.items():
-                    at, found = x.find(mark, 0, n + len(mark) - 1), []
+                    at = x.find(mark, 0, n + len(mark) - 1)
                     while 0 <= at < n:
                         if name != "mp3_frames" or at + 1 < len(x) and x[at + 1] & 0xE0 == 0xE0:
+                            paths.append(path)
+                            marks.append(name)
                             found.append(offset + at)
                         at = x.find(mark, at + 1, n + len(mark) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([name] * len(found), pa.string()), pa.array(found, pa.int64())], names=["path", "mark", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(marks, pa.string()), pa.array(found, pa.int64())], names=["path", "mark", "at"])
 
     places = rows.mapInArrow(run, "path string, mark string, at long")
     counts = [spaced(places.filter(F.col("mark") == name).select(F.col("path").alias("track"), "at"), step, width).select(F.col("track").alias("path"), F.lit(name).alias("mark")) for name, (_, _, step) in MARKS.items()]
