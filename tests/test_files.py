@@ -161,3 +161,14 @@ def test_duration_texts(spark):
 
     got = spark.createDataFrame([(0,), (225_000_001,), (36_000_000_000,), (-61_000_000,), (None,)], "us long").select(duration_text(F.col("us")).alias("t")).collect()
     assert [r.t for r in got] == ["0:00:00.000000", "0:03:45.000001", "10:00:00.000000", "-0:01:01.000000", None]
+
+
+def test_size_texts_round_ties_to_even(spark):
+    from tidegauge.functions.scalar import size_text
+
+    sizes = [0, 1023, 1024, 6400, 6912, 7424, 1048575, 1048576 * 5 // 4, 1048576 * 7 // 4, (1 << 30) * 9 // 4, (1 << 53) + 1, *range(1024, 30_000, 77), *range(1 << 20, 1 << 22, 99_991), None]
+    unit = lambda n: (1, "B") if n < 1 << 10 else (1 << 10, "KB") if n < 1 << 20 else (1 << 20, "MB") if n < 1 << 30 else (1 << 30, "GB")
+    want = [None if n is None else f"{n}B" if n < 1024 else f"{n / unit(n)[0]:.1f}{unit(n)[1]}" for n in sizes]  # Python rounds ties of doubles to even
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "k int, n long").select("k", size_text(F.col("n")).alias("t")).collect()
+    assert [t for _, t in sorted((r.k, r.t) for r in rows)] == want
+    assert want[3:6] == ["6.2KB", "6.8KB", "7.2KB"]

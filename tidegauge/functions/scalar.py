@@ -71,14 +71,24 @@ def duration_us(samples: Column, rate: Column, channels: Column) -> Column:
     return F.round(samples.cast("double") / rate * 1e6 / channels).cast("long")
 
 
+def _tenths(n: Column, bits: int) -> Column:
+    """n / 2**bits with one decimal; ties go to the even digit, where format_string would round them up."""
+    unit = 1 << bits
+    whole, rest = F.shiftright(n, bits), n % unit * 10
+    digit, left = F.shiftright(rest, bits), rest % unit * 2
+    up = F.when((left > unit) | (left == unit) & (digit % 2 == 1), 1).otherwise(0)
+    tenths = digit + up
+    return F.concat((whole + F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def size_text(size: Column) -> Column:
-    """Bytes as B, KB, MB or GB with one decimal."""
-    x = size.cast("double")
+    """Bytes as B, KB, MB or GB with one decimal; null of null."""
+    n = size.cast("long")
     return (
-        F.when(size < 1024, F.format_string("%dB", size))
-        .when(size < 1 << 20, F.format_string("%.1fKB", x / 1024))
-        .when(size < 1 << 30, F.format_string("%.1fMB", x / (1 << 20)))
-        .otherwise(F.format_string("%.1fGB", x / (1 << 30)))
+        F.when(n < 1024, F.concat(n.cast("string"), F.lit("B")))
+        .when(n < 1 << 20, F.concat(_tenths(n, 10), F.lit("KB")))
+        .when(n < 1 << 30, F.concat(_tenths(n, 20), F.lit("MB")))
+        .otherwise(F.concat(_tenths(n, 30), F.lit("GB")))
     )
 
 
