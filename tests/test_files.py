@@ -92,6 +92,17 @@ def test_checksum_of_whole_texts(spark, tmp_path):
     assert got == {str(k): f"{sum((t or '').encode()):08x}" for k, t in enumerate(texts)}
 
 
+def test_checksums_of_every_document_and_of_sources(spark, tmp_path):
+    from tidegauge import queries
+
+    texts = ["a" * 500, "é漢😀", "", None, "z", "a" * 500]
+    rows = [(k, t, "xy"[k % 2]) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    of = lambda *ts: f"{sum(sum((t or '').encode()) for t in ts):08x}"
+    assert {r.path: r.checksum for r in queries.QUERIES["byte_checksum_all"](spark, str(tmp_path)).collect()} == {str(k): of(t) for k, t in enumerate(texts)}
+    assert {r.source: r.checksum for r in queries.QUERIES["byte_checksum_sources"](spark, str(tmp_path)).collect()} == {"x": of(*texts[::2]), "y": of(*texts[1::2])}
+
+
 def test_json(spark):
     row = spark.createDataFrame([([0.1, 0.5], "[0.1, 0.5, 0.8]", "no list")], "a array<double>, t string, u string")
     w = row.select(serde.waveform_from_json(serde.waveform_to_json(serde.waveform(F.col("a"), kind="odd"))).alias("w")).first().w
