@@ -65,3 +65,19 @@ def test_running_memory(spark, tmp_path):
                 due[t, x[1]] = n
     last = {(t, max(x[1] for x in rows if x[0] == t)) for t in "ab"}
     assert due and {k: v for k, v in checks.items() if k not in last} == due
+
+
+def test_many_small_files_in_few_batches(spark, tmp_path):
+    r, folder = np.random.default_rng(3), tmp_path / "in"
+    folder.mkdir()
+    for k in range(40):
+        x = r.integers(-999, 999, 160)
+        (folder / f"{k}.wav").write_bytes(wav.encode(x / 32767, 8000))
+        (folder / f"{k}.flac").write_bytes(flac.encode(x, 8000))
+    rows = wav.read_planned(wav.plan_chunks(spark, str(folder), 16))
+    assert rows.count() > 400 and rows.rdd.getNumPartitions() == 4  # plans are small, and still read by all
+    assert [wav.files_of(n) for n in (0, 150, 9_000, 90_000, 540_000)] == [64, 64, 563, 5_625, 10_000]
+    listers = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listers)
+    streamed = incremental.settle(wav.stream_chunks(spark, str(folder), 16, files=wav.files_of(80)), "append", str(tmp_path / "state"))
+    assert chunk_rows(streamed) == chunk_rows(rows) and spark.conf.get(listers) == before

@@ -489,9 +489,18 @@ def _recordings(spark, d) -> DataFrame:
 
 
 def _recorded(spark, d) -> str:
+    return _counted(spark, d)[0]
+
+
+def _counted(spark, d) -> tuple[str, int]:
+    """The folder of the recordings, and how many there are."""
     folder = shared_path(spark, "recordings")
-    wav.write_files(_recordings(spark, d), folder)
-    return folder
+    return folder, wav.write_files(_recordings(spark, d), folder)
+
+
+def _streamed(spark, d) -> DataFrame:
+    folder, n = _counted(spark, d)
+    return incremental.settle(wav.stream_chunks(spark, folder, 16, files=wav.files_of(n)), "append")
 
 
 RECORDED = """fr as (select 'user_' || user_id || case when user_id % 3 = 0 then '.flac' else '.wav' end as track, row_number() over w - 1 as frame, count(*) over (partition by user_id) as frames,
@@ -508,7 +517,7 @@ def _chunk_facts(chunks: DataFrame) -> DataFrame:
 
 
 query("signal_chunks", SQL_CHUNKS)(lambda s, d: _chunk_facts(wav.read_chunks(s, _recorded(s, d), 16, "*.{wav,flac}")))
-query("signal_stream", SQL_CHUNKS)(lambda s, d: _chunk_facts(incremental.settle(wav.stream_chunks(s, _recorded(s, d), 16, files=64), "append")))
+query("signal_stream", SQL_CHUNKS)(lambda s, d: _chunk_facts(_streamed(s, d)))
 
 
 def _sought(spark, d) -> DataFrame:

@@ -173,8 +173,8 @@ def create_file(path: str) -> BinaryIO:
     return system.open_output_stream(at)
 
 
-def write_files(files: DataFrame, folder: str, opener: Callable[[str], BinaryIO] = create_file) -> None:
-    """Writes each row's ``content`` to ``path`` below ``folder``, which has to be there. A task that runs again writes the same files again."""
+def write_files(files: DataFrame, folder: str, opener: Callable[[str], BinaryIO] = create_file) -> int:
+    """Writes each row's ``content`` to ``path`` below ``folder``, which has to be there, and says how many there are. A task that runs again writes the same files again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +183,7 @@ def write_files(files: DataFrame, folder: str, opener: Callable[[str], BinaryIO]
                     out.write(content.as_py() or b"")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
-    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one row
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0  # one row
 
 
 def read_signals(spark: SparkSession, path: str, pattern: str = AUDIO, least: int = 0, most: int | None = None) -> DataFrame:
@@ -197,6 +197,8 @@ CHUNKS = "path string, idx int, is_last boolean, first long, frames long, sample
 PLANNED = "path string, idx int, is_last boolean, first long, frames long, sample_rate int, channels int, kind int, bits int, at long, size long, length long, error string"
 #: The kind of planned chunks of FLAC files, beside those of PCM.
 FLAC = -1
+#: Bytes of samples and rows of an Arrow batch of chunks, about.
+BATCH_BYTES, BATCH_CHUNKS = 1 << 20, 1000
 
 
 def open_file(path: str) -> BinaryIO:
@@ -207,6 +209,10 @@ def open_file(path: str) -> BinaryIO:
     return system.open_input_file(at)
 
 
+def _columns(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+
 def _planned(name: str, length: int, chunk_frames: int, opener: Callable[[str], BinaryIO]) -> list[tuple]:
     with opener(name) as file:
         if name.lower().endswith(".flac"):
@@ -231,19 +237,32 @@ def _plan(files: DataFrame, chunk_frames: int, opener: Callable[[str], BinaryIO]
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows: list[tuple] = []
             for name, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows = _planned(name, length, chunk_frames, opener)
+                    rows += _planned(name, length, chunk_frames, opener)
                 except SignalError as e:
-                    rows = [(name, 0, True, 0, 0, *[None] * 6, length, e.code)]
-                yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], fields)
+                    rows.append((name, 0, True, 0, 0, *[None] * 6, length, e.code))
+                if len(rows) >= BATCH_CHUNKS:
+                    yield _columns(rows, fields)
+                    rows = []
+            if rows:
+                yield _columns(rows, fields)
 
     return listed.mapInArrow(plan, PLANNED)
 
 
+def _dealt(planned: DataFrame) -> DataFrame:
+    """Chunks over all tasks. Rows of a plan are small and the work behind them is not, so Spark must not merge partitions by their bytes: their number is given."""
+    return planned.repartition(int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "idx")
+
+
 def read_planned(planned: DataFrame, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
-    """The chunks of a plan: see ``read_chunks``."""
-    kinds = {"path": pa.string(), "idx": pa.int32(), "is_last": pa.bool_(), "first": pa.int64(), "frames": pa.int64(), "sample_rate": pa.int32(), "channels": pa.int32()}
+    """The chunks of a plan: see ``read_chunks``. They leave a task in batches of about BATCH_BYTES."""
+    fields = pa.schema([
+        ("path", pa.string()), ("idx", pa.int32()), ("is_last", pa.bool_()), ("first", pa.int64()), ("frames", pa.int64()), ("sample_rate", pa.int32()), ("channels", pa.int32()),
+        ("samples", pa.list_(pa.float32())), ("error", pa.string()),
+    ])
 
     def one(r: dict) -> tuple[int, np.ndarray]:
         with opener(r["path"]) as file:
@@ -255,18 +274,24 @@ def read_planned(planned: DataFrame, opener: Callable[[str], BinaryIO] = open_fi
             return r["first"], pcm(file.read(r["size"]), r["kind"], r["bits"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
             for r in b.to_pylist():
                 samples, error = None, r["error"]
                 if error is None:
                     try:
                         r["first"], samples = one(r)
+                        held += samples.nbytes
                     except SignalError as e:
                         error = e.code
-                head = [pa.array([r[c]], kind) for c, kind in kinds.items()]
-                yield pa.RecordBatch.from_arrays([*head, pa.array([samples], pa.list_(pa.float32())), pa.array([error], pa.string())], names=[*kinds, "samples", "error"])
+                rows.append((*[r[c] for c in fields.names[:7]], samples, error))
+                if held >= BATCH_BYTES or len(rows) >= BATCH_CHUNKS:
+                    yield _columns(rows, fields)
+                    rows, held = [], 0
+        if rows:
+            yield _columns(rows, fields)
 
-    return planned.repartition("path", "idx").mapInArrow(read, CHUNKS)
+    return _dealt(planned).mapInArrow(read, CHUNKS)
 
 
 def index(planned: DataFrame, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
@@ -286,7 +311,7 @@ def index(planned: DataFrame, opener: Callable[[str], BinaryIO] = open_file) ->
                         r["first"] = flac.first_of(file, flac.info(file, r["length"]), r["at"], r["at"] + r["size"])
             yield pa.RecordBatch.from_pylist(rows, b.schema)
 
-    found = planned.repartition("path", "idx").mapInArrow(run, schema)
+    found = _dealt(planned).mapInArrow(run, schema)
     w = W.partitionBy("path").orderBy("idx").rowsBetween(W.currentRow, W.unboundedFollowing)
     return found.withColumn("first", F.coalesce(F.first("first", True).over(w), "frames"))  # a row a chunk
 
@@ -314,11 +339,17 @@ def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pat
     return read_planned(plan_chunks(spark, path, chunk_frames, pattern, least, opener), opener)
 
 
+def files_of(total: int, least: int = 64, most: int = 10_000, batches: int = 16) -> int:
+    """Files to a batch of a stream over ``total`` files: about ``batches`` batches, but none of fewer than ``least`` or more than ``most`` files, whose names the driver holds."""
+    return max(least, min(most, -(-total // batches)))
+
+
 def stream_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, pattern: str = "*.{wav,WAV,flac,FLAC}", files: int = 1000, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
     """The same as a stream: files that come to the folder are read, ``files`` to a batch, each one to its end (``is_last``).
 
     Spark's checkpoint knows which files a query has read, so a query that goes on from its checkpoint reads each
-    file once. Files have to be moved into the folder when they are complete.
+    file once. Files have to be moved into the folder when they are complete. A batch costs about a second whatever is in
+    it, so many small files that are there already go in few batches: ``files_of`` says how many to a batch.
     """
     stream = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files)
     return read_planned(_plan(stream.load(path), chunk_frames, opener), opener)

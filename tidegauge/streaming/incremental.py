@@ -90,7 +90,12 @@ def settle(stream: DataFrame, mode: str = "complete", base: str | None = None) -
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    # Spark lists the files of each batch again, by a task a file unless it is told otherwise.
+    listers, before = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.conf.set(listers, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.set(listers, before)
     out = spark.read.schema(schema).option("recursiveFileLookup", "true")
     return out.parquet(f"{base}/out")
