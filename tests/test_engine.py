@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import WaveformConfig
 from tidegauge.engine import Engine, format_code, format_name
 from tidegauge.errors import BY_CODE, Disposed, SignalError, UnsupportedFormat, from_code
-from tidegauge.sources import headers, wav
+from tidegauge.sources import flac, headers, wav
 
 
 def test_waveforms_of_files(spark, tmp_path):
@@ -67,3 +67,15 @@ def test_headers(spark):
 def test_seek_past_the_end(spark):
     frames = spark.range(1000).selectExpr("'a' as track", "id as frame", "1000L as frames", "0D as v")
     assert wav.seek(frames, 500, 1000).count() == 500 and wav.seek(frames, 5000, 1000).count() == 100
+
+
+def test_files_are_listed_once_for_all_parts(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.wav").write_bytes(wav.encode(np.sin(np.arange(900 + k)), 8000))
+        (tmp_path / f"{k}.flac").write_bytes(flac.encode(np.arange(900) % 77 + k, 8000))
+    e, c = Engine(spark), WaveformConfig(20)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("binaryFile")
+    whole, streamed = e.waveforms(str(tmp_path), c), e.waveforms(str(tmp_path), c, large=0)
+    assert scans(whole) <= 2 and scans(streamed) <= 1  # what is read in ranges was planned before
+    of = lambda df: {r.path: ([round(a, 6) for a in r.amplitudes], r.duration_us, r.error) for r in df.collect()}
+    assert len(of(whole)) == 6 and of(whole) == of(streamed)

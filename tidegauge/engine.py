@@ -29,7 +29,7 @@ def format_name(code: int) -> str:
 
 
 class Engine:
-    """Lazy: every method that gives a table only plans it. After ``dispose`` nothing is planned any more; the session stays open."""
+    """Lazy: methods that give a table only plan it, but ``waveforms`` writes down which ranges of files it is to read. After ``dispose`` nothing is planned any more; the session stays open."""
 
     def __init__(self, spark: SparkSession, config: WaveformConfig | None = None, log_level: int = 3) -> None:
         self.spark, self.config, self.disposed = spark, config or WaveformConfig(), False
@@ -69,17 +69,18 @@ class Engine:
         if "." in path.rsplit("/", 1)[-1] and "*" not in path and not self.is_supported(path):
             raise UnsupportedFormat(path)
         c = config or self.config
-        rows = wav.read_signals(self.spark, path, most=large)
         others = [e for f in P.FORMATS for e in f[2] if e not in ("wav", "flac")]
-        rows = rows.unionByName(wav.read_signals(self.spark, path, "*.{" + ",".join(x for e in others for x in (e, e.upper())) + "}", least=large + 1))
+        rows = wav.read_signals(self.spark, path, "*.{" + ",".join(x for e in others for x in (e, e.upper())) + "}", least=large + 1)
+        if large > 0:  # no file that Spark lists is empty
+            rows = rows.unionByName(wav.read_signals(self.spark, path, most=large))
         amps = F.when(F.size("samples") > 0, waveform_array(F.col("samples"), c, F.col("channels")))
         error = F.coalesce("error", F.when(F.size("samples") == 0, "invalid_waveform"))
         whole = rows.select("path", amps.alias("amplitudes"), "duration_us", "sample_rate", error.alias("error"))
         return whole.unionByName(self._streamed(path, c, large + 1))
 
     def _streamed(self, path: str, c: WaveformConfig, least: int) -> DataFrame:
-        """The same of WAVE and FLAC files of ``least`` bytes or more, no one of which is ever held whole. Headers are read once more for facts; FLAC ranges are, too, for damage."""
-        planned = wav.plan_chunks(self.spark, path, least=least)
+        """The same of WAVE and FLAC files of ``least`` bytes or more, no one of which is ever held whole. Headers are read once; FLAC ranges are read once more for damage."""
+        planned = wav.planned_once(wav.plan_chunks(self.spark, path, least=least))
         passes = F.lit(False) if c.short == "zero_fill" else F.col("frames") <= c.resolution
         bins = Signals(wav.chunk_frames(wav.read_planned(planned.filter(~passes)))).waveform(c).bins
         grid = F.sequence(F.lit(0), F.lit(c.resolution - 1))

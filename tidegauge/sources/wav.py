@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from ..errors import ConfigurationError, CorruptedFile, DecodingError, SignalError, UnsupportedFormat
 from ..functions.arrays import mixdown
+from ..operators.ordered import shared_path
 from ..plans.files import FORMATS, format_of
 from . import flac
 
@@ -130,7 +131,10 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
     """
     decoders = dict(DECODERS)
 
+    fields = pa.schema([("path", pa.string()), ("samples", pa.list_(pa.float32())), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("duration_us", pa.int64()), ("error", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
             for path, fmt, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 samples = rate = channels = us = error = None
@@ -139,17 +143,20 @@ def decode_files(files: DataFrame, trim: int = 0) -> DataFrame:
                     if fmt not in decoders:
                         raise UnsupportedFormat(fmt)
                     samples, rate, channels = decoders[fmt](raw or b"")
-                    samples = samples[trim * channels :]
+                    samples = np.asarray(samples[trim * channels :], np.float32)
                     us = round(len(samples) / rate * 1e6 / channels)
+                    held += samples.nbytes
                 except SignalError as e:
                     error = e.code
                 except Exception:  # whatever a registered decoder does
                     samples = rate = channels = us = None
                     error = DecodingError.code
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path], pa.string()), pa.array([None if samples is None else np.asarray(samples, np.float32)], pa.list_(pa.float32())), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.array([us], pa.int64()), pa.array([error], pa.string())],
-                    names=["path", "samples", "sample_rate", "channels", "duration_us", "error"],
-                )
+                rows.append((path, samples, rate, channels, us, error))
+                if held >= BATCH_BYTES or len(rows) >= BATCH_CHUNKS:
+                    yield _columns(rows, fields)
+                    rows, held = [], 0
+        if rows:
+            yield _columns(rows, fields)
 
     return files.select("path", format_of(F.col("path")).alias("format"), "content").mapInArrow(run, SIGNALS)
 
@@ -252,6 +259,13 @@ def _plan(files: DataFrame, chunk_frames: int, opener: Callable[[str], BinaryIO]
     return listed.mapInArrow(plan, PLANNED)
 
 
+def planned_once(planned: DataFrame) -> DataFrame:
+    """A plan that is used more than once, written to the shared folder: files are listed and their headers read this one time."""
+    path = shared_path(planned.sparkSession, "planned")
+    _dealt(planned).write.mode("overwrite").parquet(path)
+    return planned.sparkSession.read.schema(planned.schema).parquet(path)
+
+
 def _dealt(planned: DataFrame) -> DataFrame:
     """Chunks over all tasks. Rows of a plan are small and the work behind them is not, so Spark must not merge partitions by their bytes: their number is given."""
     return planned.repartition(int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "idx")
