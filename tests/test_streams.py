@@ -81,3 +81,14 @@ def test_many_small_files_in_few_batches(spark, tmp_path):
     before = spark.conf.get(listers)
     streamed = incremental.settle(wav.stream_chunks(spark, str(folder), 16, files=wav.files_of(80)), "append", str(tmp_path / "state"))
     assert chunk_rows(streamed) == chunk_rows(rows) and spark.conf.get(listers) == before
+
+
+def test_memory_of_events_whose_times_do_not_follow_their_ids(spark, tmp_path):
+    from tidegauge import queries
+
+    r = random.Random(8)
+    rows = [(k, f"2024-01-{r.randint(1, 28):02d} {r.randint(0, 23):02d}:00:00", k % 3, r.randint(0, 900) / 7) for k in range(120)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "value")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got, want = ({(x.track, x.seq, x.used, x.level) for x in queries.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("memory_stream", "memory_curve"))
+    assert len(want) == 120 and got == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def memory(stream: DataFrame, limit: int, every: float = 5.0, late: str = "1 min
     as far as the watermark has got. Rows that come more than ``late`` behind the newest time are dropped, as Spark does
     with event times. State is one row a track; a task holds a batch's rows of a track.
     """
-    tick = round(every * 1e6)
+    tick, names = round(every * 1e6), [c.split()[0] for c in USED.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used, seen, seq = state.get if state.exists else (0, None, None)
@@ -51,22 +52,26 @@ def memory(stream: DataFrame, limit: int, every: float = 5.0, late: str = "1 min
             if seen is not None and until > seen:
                 n = until // tick - seen // tick
                 if n and (level := level_of(used, limit)) != "normal":
-                    out.append((key[0], seq, pd.Timestamp((seen // tick + 1) * tick, unit="us"), "check", used, level, n))
+                    out.append((key[0], seq, (seen // tick + 1) * tick, "check", used, level, n))
                 seen = until
 
         if state.hasTimedOut:
             looked(state.getCurrentWatermarkMs() * 1000)
         else:
-            rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-            times = rows["time"].astype("datetime64[us]").astype("int64")
-            for seq_, at, change in zip(rows["seq"].tolist(), times.tolist(), rows["change"].tolist()):
+            held = list(parts)  # most groups are a few rows: columns are taken as arrays, which costs least
+            column = lambda c, kind: np.concatenate([x[c].to_numpy().astype(kind) for x in held])
+            seqs, times, changes = column("seq", "int64"), column("time", "datetime64[us]").astype("int64"), column("change", "int64")
+            order = np.argsort(seqs, kind="stable")
+            for seq_, at, change in zip(seqs[order].tolist(), times[order].tolist(), changes[order].tolist(), strict=True):
                 looked(at)
                 used, seen, seq = max(0, used + change), at if seen is None else max(seen, at), seq_
-                out.append((key[0], seq, pd.Timestamp(at, unit="us"), "change", used, level_of(used, limit), 0))
+                out.append((key[0], seq, at, "change", used, level_of(used, limit), 0))
         state.update((used, seen, seq))
         if level_of(used, limit) != "normal":
             state.setTimeoutTimestamp(max((seen // tick + 1) * tick // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in USED.split(", ")])
+        if out:
+            made = dict(zip(names, zip(*out), strict=True))
+            yield pd.DataFrame({**made, "time": np.array(made["time"], "datetime64[us]")})
 
     rows = stream.select(F.col("track").cast("string").alias("track"), F.col("seq").cast("long").alias("seq"), F.col("time").cast("timestamp").alias("time"), F.col("change").cast("long").alias("change"))
     return rows.withWatermark("time", late).groupBy("track").applyInPandasWithState(run, USED, "used long, seen long, seq long", "append", "EventTimeTimeout")
