@@ -183,3 +183,17 @@ def test_size_texts_round_ties_to_even(spark):
     rows = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "k int, n long").select("k", size_text(F.col("n")).alias("t")).collect()
     assert [t for _, t in sorted((r.k, r.t) for r in rows)] == want
     assert want[3:6] == ["6.2KB", "6.8KB", "7.2KB"]
+
+
+def test_pattern_counts_take_contents_in_small_batches(spark):
+    from tidegauge.sources import headers
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10_000)
+    try:
+        rows = spark.range(3000, numPartitions=1).selectExpr("cast(id as string) as path", "concat(X'FFFB', cast(repeat('x', cast(id % 900 as int)) as binary), X'FFFB') as content")
+        got = {int(r.path): (r.mp3_frames, r.ogg_pages) for r in headers.count_patterns(rows).collect()}
+        assert got == {k: (2 if k % 900 + 2 >= headers.FRAME_STEP else 1, 0) for k in range(3000)} and spark.conf.get(name) == "500"
+    finally:
+        spark.conf.set(name, before)

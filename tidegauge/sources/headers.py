@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -49,6 +49,13 @@ def ogg_header(content: Column) -> Column:
     return F.when(F.octet_length(content) >= 27, F.struct(byte(content, 4).alias("version"), byte(content, 5).alias("header_type")))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Sets the session's Arrow batches to ``rows`` rows, where it is Spark's 10,000: whole contents are held several times on their way to a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, rows)
+
+
 def count_patterns(files: DataFrame) -> DataFrame:
     """path, mp3_frames, ogg_pages: hits of the sync word and the page mark, after each of which the count jumps ahead (an estimate)."""
 
@@ -63,11 +70,14 @@ def count_patterns(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [x.as_py() or b"" for x in b.column(1)]
-            frames = [jump(x, b"\xff", lambda d, k: d[k + 1] & 0xE0 == 0xE0, FRAME_STEP) for x in held]
-            pages = [jump(x, b"OggS", lambda d, k: True, PAGE_STEP) for x in held]
+            frames, pages = [], []
+            for c in b.column(1):  # one content at a time is a copy
+                x = c.as_py() or b""
+                frames.append(jump(x, b"\xff", lambda d, k: d[k + 1] & 0xE0 == 0xE0, FRAME_STEP))
+                pages.append(jump(x, b"OggS", lambda d, k: True, PAGE_STEP))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(frames, pa.int64()), pa.array(pages, pa.int64())], names=["path", "mp3_frames", "ogg_pages"])
 
+    small_batches(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "path string, mp3_frames long, ogg_pages long")
 
 
