@@ -103,6 +103,24 @@ def test_checksums_of_every_document_and_of_sources(spark, tmp_path):
     assert {r.source: r.checksum for r in queries.QUERIES["byte_checksum_sources"](spark, str(tmp_path)).collect()} == {"x": of(*texts[::2]), "y": of(*texts[1::2])}
 
 
+def test_checksums_of_documents_with_those_of_their_sources(spark, tmp_path):
+    import duckdb
+
+    from tidegauge import queries
+
+    texts = ["a" * 500, "é漢😀", "", None, "z", "a" * 500, "y", "b"]
+    sources = ["x", "y", "x", "y", None, "x", None, "only"]
+    spark.createDataFrame(list(zip(range(8), texts, sources, strict=True)), "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    of = lambda *ts: f"{sum(sum((t or '').encode()) for t in ts):08x}"
+    want = {(str(k), of(t), u, of(*[v for v, w in zip(texts, sources, strict=True) if w == u])) for k, (t, u) in enumerate(zip(texts, sources, strict=True))}
+    rows = [(r.path, r.checksum, r.source, r.source_checksum) for r in queries.QUERIES["byte_checksum_all"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(queries.ORACLES["byte_checksum_all"])
+    assert [c[0] for c in sql.description] == ["path", "checksum", "source", "source_checksum"]
+    assert len(rows) == 8 and set(rows) == want == set(sql.fetchall())
+
+
 def test_json(spark):
     row = spark.createDataFrame([([0.1, 0.5], "[0.1, 0.5, 0.8]", "no list")], "a array<double>, t string, u string")
     w = row.select(serde.waveform_from_json(serde.waveform_to_json(serde.waveform(F.col("a"), kind="odd"))).alias("w")).first().w

@@ -575,6 +575,12 @@ def _checksums(spark, d, *keep: str) -> DataFrame:
     return table(spark, d, "documents").select(*keep, F.col("doc_id").cast("string").alias("path"), wav.checksum(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("checksum"))
 
 
+def _with_sources(c: DataFrame) -> DataFrame:
+    """path, checksum, source, and the checksum of all contents of that source (null is a source, too)."""
+    whole = c.groupBy(F.col("source").alias("of")).agg(wav.checksum_of_all(F.col("checksum")).alias("source_checksum"))
+    return c.join(whole, F.col("source").eqNullSafe(F.col("of"))).select("path", "checksum", "source", "source_checksum")
+
+
 #: Starts of files: formats in the order of doc_id, and one that is none.
 KINDS = ["mp3", "flac", "ogg", "wav", "opus", "none"]
 
@@ -614,9 +620,11 @@ def _between_marks(spark, d) -> DataFrame:
 
 query("pattern_counts", SQL_MARKS)(lambda s, d: headers.count_patterns(_between_marks(s, d)))
 query("pattern_counts_chunks", SQL_MARKS)(lambda s, d: headers.count_in_chunks(P.with_content(_between_marks(s, d), 1000)))
-for _n in ("byte_checksum", "byte_checksum_all"):
-    query(_n, "select cast(doc_id as varchar) as path, lpad(lower(to_hex(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint)), 8, '0') as checksum from documents")(
-        lambda s, d: _checksums(s, d).select("path", "checksum"))
+query("byte_checksum", "select cast(doc_id as varchar) as path, lpad(lower(to_hex(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint)), 8, '0') as checksum from documents")(
+    lambda s, d: _checksums(s, d).select("path", "checksum"))
+#: Both whole: a row a document with its own checksum, and with that of all contents of its source.
+query("byte_checksum_all", """with c as (select doc_id, source, coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0)::bigint as n from documents)
+    select cast(doc_id as varchar) as path, lpad(lower(to_hex(n)), 8, '0') as checksum, source, lpad(lower(to_hex(sum(n) over (partition by source)::bigint % 4294967296)), 8, '0') as source_checksum from c""")(lambda s, d: _with_sources(_checksums(s, d, "source")))
 query("byte_checksum_sources", "select source, lpad(lower(to_hex(sum(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::int)), 0))::bigint % 4294967296)), 8, '0') as checksum from documents group by source")(
     lambda s, d: _checksums(s, d, "source").groupBy("source").agg(wav.checksum_of_all(F.col("checksum")).alias("checksum")))
 query("harmonics", "select event_id, round(greatest(-1.0, least(1.0, (0.5 * sin(w) + 0.25 * sin(2 * w) + 0.125 * sin(3 * w)) * (1 + 0.3 * sin(2 * t)) * 0.7)), 6) as v from (select event_id, event_id / 8000.0::double as t, 2 * pi() * (440 + 220 * (user_id % 2)) * (event_id / 8000.0::double) as w from events)")(
